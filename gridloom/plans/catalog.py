@@ -1,16 +1,11 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from gridloom.plans import panels, tables  # noqa: F401  they register their queries
+from gridloom.plans.base import ORACLE_SQL, QUERIES
 
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
 
-def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy(F.col("event_type").alias("series_id"), F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-
-
-QUERIES = {"daily_panel": daily_panel}
-ORACLE_SQL = {"daily_panel": "select event_type as series_id, ts::date as day, count(*) as n from events group by all"}
-FLAGSHIP = "daily_panel"
+#: A seasonal forecast scored on the last week of the daily panel: scan, aggregate, windows, folds and joins in one plan.
+FLAGSHIP = "point_metrics"
