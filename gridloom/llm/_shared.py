@@ -40,14 +40,12 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def sized_join(left: DataFrame, right: DataFrame, on: list[str] | Column, how: str, width: Column | None = None) -> DataFrame:
+def sized_join(left: DataFrame, right: DataFrame, on: list[str] | Column, how: str) -> DataFrame:
     """Join a wide table with a staged narrow one: by broadcast when it is counted to be small, else by shuffle.
 
-    Small is at most BROADCAST_ROWS rows of a few fixed-size values; ``width`` is the number of such values in a row, where
-    rows differ.
+    Small is at most BROADCAST_ROWS rows of a few fixed-size values.
     """
-    size = right.agg(F.count(F.lit(1)) if width is None else F.sum(1 + width / 8)).first()[0] or 0
-    return left.join(F.broadcast(right) if size <= BROADCAST_ROWS else right, on, how)
+    return left.join(F.broadcast(right) if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else right, on, how)
 
 
 def text_key(text: Column | str) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm._shared import map_arrow, sized_join, stage, text_key, text_slices
+from gridloom.llm._shared import map_arrow, stage, text_key, text_slices
 
 MIN_WORDS, LONG_WORDS = 20, 50
 _BREAK = re.compile(rb"(?<=[.!?])[ \t\r\v\f]+|[ \t\r\v\f]*\n\s*")
@@ -74,17 +74,18 @@ def _hashed(min_words: int, long_words: int):
 def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
     """``_id``, ``_key`` (128 bits of the text) and ``cut`` (numbers of sentences) for documents that lose any.
 
-    Run hashes are counted with partial sums; only the runs whose 64 first bits repeat go on to the exact step, by a
-    broadcast of those if their counted rows are few, else by a shuffle that adaptive execution can split at a hot run.
+    Run hashes are counted with partial sums; only the runs whose 64 first bits repeat go on to the exact step, by a shuffle
+    that adaptive execution can split at a hot run. The plan is the same at every size.
     """
     keyed = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), text_key(text_col).alias("_key"), F.col(text_col).alias("_text"))
     hashed = stage(map_arrow(keyed, _hashed(min_words, long_words), "_id long, _key binary, _spans array<struct<s:int,e:int,h:long,g:long>>").withColumn("_row", F.monotonically_increasing_id()), "spans")
     often = stage(hashed.select(F.explode("_spans.h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("h"), "often")
     each = hashed.select("_row", F.explode("_spans").alias("x")).select("_row", "x.*")
-    repeated = stage(sized_join(each, often, ["h"], "left_semi"), "repeated")
+    repeated = stage(each.join(often, ["h"], "left_semi"), "repeated")
     place = F.struct(F.col("_id").isNull().alias("x"), "_id", "_key", "s")
     placed = stage(repeated.join(hashed.select("_row", "_id", "_key"), "_row").select("h", "g", "e", "_id", "_key", "s"), "placed")
-    first = placed.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last")).select("h", "g", "first")
+    first = placed.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last"))
+    first = stage(first.select("h", "g", "first"), "first")  # so that both sides of the join are dealt anew, and a hot run's rows are split
     later = placed.join(first, ["h", "g"]).where(place != F.col("first"))
     return later.groupBy("_id", "_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("s", F.col("e") - 1))))).alias("cut"))
 
@@ -96,7 +97,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = names.index(text_col)
     flat = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(f"`{id_col}`").cast("long").alias("_mine"), text_key(F.col(f"`{text_col}`")).alias("_mykey"))
     on = flat["_mine"].eqNullSafe(cut["_id"]) & (flat["_mykey"] == cut["_key"])
-    joined = sized_join(flat, cut, on, "left", F.size("cut")).drop("_mine", "_mykey", "_id", "_key")
+    joined = flat.join(cut, on, "left").drop("_mine", "_mykey", "_id", "_key")
     schema = T.StructType([*joined.schema.fields[:-1], T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches):
