@@ -29,13 +29,13 @@ def read_series_csv(spark: SparkSession, path: str, timestamp: str, target: str,
     return raw.select((F.col(series) if series else F.lit("__single__")).alias("series_id"), parse_timestamp(F.col(timestamp)).alias("ts"), F.col(target).cast("double").alias("y"))
 
 
-_GEOJSON = "struct<features:array<struct<id:string,properties:map<string,string>,geometry:struct<type:string,coordinates:variant>>>>"
-
-
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """id, properties, kind and coordinates (variant) of each feature."""
+def read_geojson(spark: SparkSession, path: str, geometry: str = "geometry") -> DataFrame:
+    """id, ord (order in the file), properties, kind and coordinates (variant) of each feature; ``geometry`` is the key that
+    holds a feature's shape."""
+    shape = f"struct<features:array<struct<id:string,properties:map<string,string>,`{geometry}`:struct<type:string,coordinates:variant>>>>"
     text = spark.read.option("wholetext", True).text(path)
-    return text.select(F.explode(F.from_json("value", _GEOJSON)["features"]).alias("f")).select("f.id", "f.properties", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))
+    each = text.select(F.posexplode(F.from_json("value", shape)["features"]).alias("ord", "f"))
+    return each.select("f.id", "ord", "f.properties", F.col("f")[geometry]["type"].alias("kind"), F.col("f")[geometry]["coordinates"].alias("coordinates"))
 
 
 def geo_points(features: DataFrame, numbers: Sequence[str] = ()) -> DataFrame:
@@ -45,9 +45,9 @@ def geo_points(features: DataFrame, numbers: Sequence[str] = ()) -> DataFrame:
 
 
 def geo_zones(features: DataFrame) -> DataFrame:
-    """id, ord (order of ids in the file's rows), priority (1 by default) and the outer ring of polygon features."""
+    """id, ord, priority (1 by default) and the outer ring of polygon features."""
     ring = F.transform(F.get(F.try_variant_get("coordinates", "$", "array<array<array<double>>>"), F.lit(0)), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
-    return features.where(F.col("kind") == "Polygon").select("id", F.monotonically_increasing_id().alias("ord"), F.coalesce(F.col("properties")["priority"].cast("double"), F.lit(1.0)).alias("priority"), ring.alias("ring"))
+    return features.where(F.col("kind") == "Polygon").select("id", "ord", F.coalesce(F.col("properties")["priority"].cast("double"), F.lit(1.0)).alias("priority"), ring.alias("ring"))
 
 
 def read_tsf(spark: SparkSession, path: str) -> DataFrame:
@@ -56,7 +56,7 @@ def read_tsf(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split("value", ":")
     n = F.size(parts)
     rows = lines.select(F.get(parts, F.lit(0)).alias("series_id"), F.slice(parts, 2, F.greatest(n - 2, F.lit(0))).alias("attributes"), F.posexplode(F.split(F.element_at(parts, -1), ",")).alias("step", "v"))
-    return rows.select("series_id", "attributes", "step", F.try_to_number(F.nullif(F.trim("v"), F.lit("?")), F.lit("S999999999999999D999999")).cast("double").alias("_n"), F.trim("v").alias("v")).select("series_id", "attributes", "step", F.when(F.col("v") != "?", F.expr("try_cast(v as double)")).alias("y"))
+    return rows.select("series_id", "attributes", "step", F.expr("try_cast(trim(v) as double)").alias("y"))
 
 
 def unpivot_days(sales: DataFrame, keys: Sequence[str], prefix: str = "d_") -> DataFrame:
