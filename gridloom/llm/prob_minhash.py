@@ -16,8 +16,10 @@ Copies are collapsed first: the nodes of all later steps are distinct texts. In
 members are compared with one pivot, the member that shares most buckets with others, and classes are formed. Buckets that
 then still hold several classes go through an exact prefix filter: with a text's elements ordered from the corpus' rarest
 on, two texts that reach the threshold share one of those elements behind which (itself included) at least ``threshold`` of
-the weight lies. Texts of different classes that share such an element are verified, those outside an element's largest class
-against all. So no link between classes is lost, while n near copies cost about n pairs rather than n squared.
+the weight lies. Texts of different classes that share such an element meet, those outside an element's largest class with all; the join's
+condition holds two exact bounds against each meeting: the elements from that one on must be enough for the overlap, and the
+distance of two parity bitmaps, which is at most the size of the symmetric difference, must not be too large. What passes is
+verified. So no link between classes is lost, while n near copies cost about n pairs rather than n squared.
 
 Defined results. Null text: never a duplicate, a class of its own. Texts without words: a duplicate of the same text only.
 Null doc_id: takes part; it never names a class that has another id. Repeated rows: one class; each row is returned. Empty
@@ -106,12 +108,23 @@ def _signed(bands: int, rows: int):
     return run
 
 
+#: Longs of the parity bitmap that stands for a set in join conditions.
+BITMAP = 16
+
+
+def parity(value: np.ndarray) -> np.ndarray:
+    """A bitmap in which each element flips one bit: two bitmaps differ in at most as many bits as the sets in elements."""
+    flips = np.bincount((mix64(value) >> _U(54)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
 def _element_sets(batches):
     for got, texts in text_slices(batches, "_text"):
         text, value, count = shingles(texts)
         at = np.searchsorted(text, np.arange(len(texts) + 1))
-        rows = [(value[a:b].tobytes(), count[a:b].astype(np.uint32).tobytes()) for a, b in zip(at, at[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([got.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["_key", "_set", "_count"])
+        rows = [(value[a:b].tobytes(), count[a:b].astype(np.uint32).tobytes(), parity(value[a:b]).tolist(), b - a, bool((count[a:b] == 1).all())) for a, b in zip(at, at[1:], strict=False)]
+        kinds = (pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([got.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["_key", "_set", "_count", "_bits", "size", "even"])
 
 
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -179,7 +192,9 @@ def _tokens(batches):
 
 
 def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(token, n) of the elements by which a text must meet another one; elements of one text only are left out.
+    """(token, n, after) of the elements by which a text must meet another one; elements of one text only are left out.
+
+    ``after`` is the number of the text's elements from that one on.
 
     The suffix from an element on, in the order (texts that have it, element), must hold the threshold's share of the
     text's elements or of its weight; for a pair that reaches the threshold by either measure, its first common element
@@ -199,9 +214,9 @@ def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
                 count = np.arange(len(w), 0, -1)
                 ok = (count >= threshold * size.as_py() - 1e-9) | (after >= threshold * mass.as_py() - 1e-9)
                 token = flat.field("token").to_numpy()[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.full(len(token), n.as_py()))], ["token", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.full(len(token), n.as_py())), pa.array(count[ok])], ["token", "n", "after"])
 
-    return map_arrow(lists.join(size, "n"), run, "token long, n long")
+    return map_arrow(lists.join(size, "n"), run, "token long, n long, after long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -222,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = stage(member.groupBy(F.col("node").alias("_key")).agg(F.sum("n").alias("degree")), "wanted")
     texts = sized_join(keyed.where(F.col("_key").isNotNull()).select("_key", "_text"), wanted.select("_key"), ["_key"], "left_semi")
     one = texts.groupBy("_key").agg(F.first("_text").alias("_text"))
-    sets = stage(map_arrow(one, _element_sets, "_key binary, _set binary, _count binary").withColumn("n", F.monotonically_increasing_id()), "elements")
+    sets = stage(map_arrow(one, _element_sets, "_key binary, _set binary, _count binary, _bits array<long>, size long, even boolean").withColumn("n", F.monotonically_increasing_id()), "elements")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("_key").alias("a"), F.col("_set").alias("_sa"), F.col("_count").alias("_ca"))
@@ -239,13 +254,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(F.col("x") != F.col("y")).select("bucket")
     open_texts = stage(rooted.join(several, "bucket").select("node", "root").distinct(), "open")
     if not open_texts.isEmpty():
-        mine = sets.join(open_texts.select(F.col("node").alias("_key"), "root"), "_key")
-        mine = stage(mine.select("n", "_key", "root", "_set", "_count"), "open-elements")
-        meet = stage(prefixes(mine, threshold).join(mine.select("n", F.col("_key").alias("node"), "root"), "n").select("token", "node", "root"), "meet")
+        mine = stage(sets.join(open_texts.select(F.col("node").alias("_key"), "root"), "_key"), "open-elements")
+        bits = [F.get("_bits", F.lit(i)).alias(f"b{i}") for i in range(BITMAP)]
+        meet = stage(prefixes(mine, threshold).join(mine.select("n", F.col("_key").alias("node"), "root", "size", "even", *bits), "n").drop("n"), "meet")
         largest = meet.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "root")).alias("m"), F.count(F.lit(1)).alias("classes")).where(F.col("classes") > 1)
-        stray = meet.join(largest.select("token", F.col("m.root").alias("main")), "token").where(F.col("root") != F.col("main")).select("token", F.col("node").alias("s"), F.col("root").alias("s_root"))
-        far = meet.join(stray, "token").where((F.col("root") != F.col("s_root")) & (F.col("node") != F.col("s")))
-        links = links.union(verified(far.select(F.least("node", "s").alias("a"), F.greatest("node", "s").alias("b")).distinct()))
+        stray = meet.join(largest.select("token", F.col("m.root").alias("main")), "token").where(F.col("root") != F.col("main")).drop("main")
+        stray = stray.select("token", *(F.col(c).alias(f"s_{c}") for c in stray.columns if c != "token"))
+        both = F.col("size") + F.col("s_size")
+        apart = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"s_b{i}"))) for i in range(BITMAP)), F.lit(0))
+        plain = (F.least("after", "s_after") >= threshold / (1 + threshold) * both - 1e-9) & (apart <= (1 - threshold) / (1 + threshold) * both + 1e-9)
+        far = meet.join(stray, (meet["token"] == stray["token"]) & (F.col("root") != F.col("s_root")) & (F.col("node") != F.col("s_node")) & (plain | ~(F.col("even") & F.col("s_even"))))
+        links = links.union(verified(far.select(F.least("node", "s_node").alias("a"), F.greatest("node", "s_node").alias("b")).distinct()))
         named = components(links)
     classed = stage(nodes.select("node", "id").join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "classed")
     # the text of the smallest id stands for the class; a class without any id is stood for by its smallest key
