@@ -48,6 +48,17 @@ def sized_join(left: DataFrame, right: DataFrame, on: list[str] | Column, how: s
     return left.join(F.broadcast(right) if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else right, on, how)
 
 
+def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with its columns named c0, c1, ..., so that no name clashes with helper columns, and the new names."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names
+
+
+def unshielded(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of ``shielded`` under their own names."""
+    return df.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 def text_key(text: Column | str) -> Column:
     """128 bits that stand for a text; null for a null text."""
     return F.unhex(F.md5(F.col(text) if isinstance(text, str) else text))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import stage, text_key
+from gridloom.llm._shared import shielded, stage, text_key, unshielded
 
 WEIGHTS = (5, 2, 1)
 
@@ -133,8 +133,9 @@ def apply_mix(docs: DataFrame, **settings) -> DataFrame:
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
     # rows alike in id and text share one entry, with a number of copies for each row
     plan = stage(mixed.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).agg(F.sum(copies).alias("_copies"), F.count(F.lit(1)).alias("_rows")).where(F.col("_copies") > 0), "plan")
-    keyed = docs.withColumn("_key", text_key("text"))
-    joined = keyed.join(plan, keyed["doc_id"].cast("long").eqNullSafe(plan["_id"]) & keyed["_key"].eqNullSafe(plan["_k"]))
+    flat, names = shielded(docs)
+    keyed = flat.withColumn("_key", text_key(names["text"]))
+    joined = keyed.join(plan, F.col(names["doc_id"]).cast("long").eqNullSafe(plan["_id"]) & keyed["_key"].eqNullSafe(plan["_k"]))
     if not plan.where(F.col("_rows") > 1).isEmpty():
-        joined = joined.dropDuplicates(["doc_id", "_key"])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*(f"`{c}`" for c in docs.columns))
+        joined = joined.dropDuplicates([names["doc_id"], "_key"])
+    return unshielded(joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))), names)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import hashed_words, map_arrow, mix64, sized_join, stage, text_key, text_slices
+from gridloom.llm._shared import hashed_words, map_arrow, mix64, shielded, sized_join, stage, text_key, text_slices, unshielded
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 18, 4
 _U = np.uint64
@@ -286,11 +286,11 @@ def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """
     judged = stage(near_duplicates(docs, **settings), "judged")
     gone = stage(judged.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), "_key").distinct(), "gone")
-    keyed = docs.withColumn("_key", text_key("text"))
-    names = [f"`{c}`" for c in docs.columns]
-    few = sized_join(keyed, gone, keyed["_key"].eqNullSafe(gone["_key"]) & keyed["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    flat, names = shielded(docs)
+    keyed = flat.withColumn("_key", text_key(names["text"]))
+    rows = sized_join(keyed, gone, keyed["_key"].eqNullSafe(gone["_key"]) & F.col(names["doc_id"]).cast("long").eqNullSafe(gone["_gone"]), "left_anti")
     kept = judged.where(F.col("kept") & F.col("_key").isNotNull())
     counts = kept.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_key").alias("k")).first()
     if counts["n"] > counts["k"]:
-        few = few.where(F.col("_key").isNotNull()).dropDuplicates(["_key"]).union(few.where(F.col("_key").isNull()))
-    return few.select(*names)
+        rows = rows.where(F.col("_key").isNotNull()).dropDuplicates(["_key"]).union(rows.where(F.col("_key").isNull()))
+    return unshielded(rows, names)

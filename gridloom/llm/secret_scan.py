@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import map_arrow, stage, text_slices
+from gridloom.llm._shared import map_arrow, shielded, sized_join, stage, text_key, text_slices, unshielded
 
 # fixed values: the base patterns, over UTF-8 bytes (all classes are ASCII, so bytes and characters match alike)
 ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -120,8 +120,9 @@ def digest(scanned: DataFrame) -> DataFrame:
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kinds[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"] < 3)
     count = lambda keep: F.size(F.filter("spans", keep)).cast("long")
+    of_kind = lambda k: count(lambda s: s["kind"] == k)
     return scanned.select(
-        "doc_id", *(count(lambda s, k=k: s["kind"] == k).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"),
+        "doc_id", *(of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"),
         count(lambda s: s["live"]).alias("n_live"), count(lambda s: s["example"]).alias("n_example"),
     )
 
@@ -132,19 +133,20 @@ def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
     The verdict of a span depends on the text and the corpus alone, so spans are joined by the text's 128-bit key: documents
     with spans are few beside the corpus, and the join broadcasts them only if their counted rows are few.
     """
-    from gridloom.llm._shared import sized_join, text_key
-
     keyed = docs.select(text_key("text").alias("_id"), F.col("source").cast("string").alias("_owner"), F.col("text").alias("_text"))
     found = stage(map_arrow(keyed, _scanned, f"_id binary, _owner string, _found {_SPANS_DDL}").where(F.size("_found") > 0).withColumn("_row", F.monotonically_increasing_id()), "secrets")
     spans = judged_spans(found).join(found.select("_row", "_id"), "_row").groupBy("_id").agg(F.first("spans").alias("_spans"))
     narrow = stage(spans.withColumnRenamed("_id", "_key"), "redact")
-    joined = sized_join(docs.withColumn("_key", text_key("text")), narrow, ["_key"], "left")
+    flat, names = shielded(docs)
+    body, chars = F.col(names["text"]), F.col(names["n_chars"])
+    joined = sized_join(flat.withColumn("_key", text_key(body)), narrow, ["_key"], "left")
     # overlapping spans are merged from the left: what lies before the reach of the earlier ones is not kept again
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     step = lambda acc, s: F.struct(
-        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(acc["out"]).alias("out"),
+        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(acc["out"]).alias("out"),
         F.greatest(acc["at"], s["end"]).alias("at"),
     )
-    end = lambda acc: F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), F.length("text")))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", start, step, end))
-    return joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    end = lambda acc: F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), F.length(body)))
+    clean = joined.withColumn("_text", F.when(F.col("_spans").isNull(), body).otherwise(F.aggregate("_spans", start, step, end)))
+    clean = clean.withColumn(names["n_chars"], F.when(F.col("_spans").isNull(), chars).otherwise(F.length("_text").cast("long")))
+    return unshielded(clean.withColumn(names["text"], F.col("_text")), names)

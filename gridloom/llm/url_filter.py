@@ -82,7 +82,8 @@ def train(labelled: DataFrame, max_rows: int = 400, epochs: int = EPOCHS, rate:
     """Bias and bucket weights, from at most ``max_rows`` labelled rows (by a hash of the URL).
 
     With weights w = sum_i alpha_i x_i, a gradient step on the log-loss with ridge penalty is
-    alpha_i <- alpha_i (1 - rate ridge) + rate (y_i - sigmoid(sum_j K_ij alpha_j + bias)), where K = X X'.
+    alpha_i <- alpha_i (1 - rate ridge) + rate (y_i - sigmoid(sum_j K_ij alpha_j + bias)), where K = X X'; the bias
+    moves by rate times the mean error.
     """
     rows = labelled.where(F.col("label").isin(0, 1)).select("url", F.col("label").cast("double").alias("y")).orderBy(F.xxhash64("url"), "url", "y").limit(max_rows)
     numbered = rows.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("url").alias("h"), "url", "y"))).alias("all")).select(F.posexplode("all").alias("i", "r"))
@@ -100,8 +101,9 @@ def train(labelled: DataFrame, max_rows: int = 400, epochs: int = EPOCHS, rate:
 
     def step(acc: Column, _: Column) -> Column:
         moved = F.zip_with(acc["a"], error(acc), lambda a, e: a * (1 - rate * ridge) + rate * e)
-        # the bias follows the mean of the moves, as a feature that every row has
-        return F.struct(moved.alias("a"), (acc["bias"] + rate * F.aggregate(F.zip_with(moved, acc["a"], lambda m, a: m - a * (1 - rate * ridge)), F.lit(0.0), lambda s, e: s + e) / F.greatest(F.size("t"), F.lit(1)) / rate).cast("double").alias("bias"))
+        # the bias follows the mean error; what a move adds to a shrunken weight is rate times the error
+        added = F.aggregate(F.zip_with(moved, acc["a"], lambda m, a: m - a * (1 - rate * ridge)), F.lit(0.0), lambda s, e: s + e)
+        return F.struct(moved.alias("a"), (acc["bias"] + added / F.greatest(F.size("t"), F.lit(1))).alias("bias"))
 
     solved = table.select(F.aggregate(F.sequence(F.lit(1), F.lit(epochs)), start, step).alias("m"))
     alpha = solved.select("m.bias", F.posexplode("m.a").alias("i", "a"))
