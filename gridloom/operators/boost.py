@@ -12,10 +12,11 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.predicates import finite, sigmoid, softmax
+from gridloom.functions.predicates import DIAGONALS, circular_gap, finite, set_left, sigmoid, softmax, wrap
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,9 @@ class BoostSpec:
     loss: str = "l2"
     alpha: float = 0.5
     huber: float = 1.0
+    monotone: tuple[tuple[str, int], ...] = ()
+    linear: tuple[str, ...] = ()
+    ridge: float = 1.0
 
 
 @dataclass
@@ -42,10 +46,16 @@ class Node:
     n: int = 0
     left: Node | None = None
     right: Node | None = None
+    low: float = -math.inf
+    high: float = math.inf
+    slopes: dict[str, float] = field(default_factory=dict)
 
     def column(self) -> Column:
         if self.feature is None:
-            return F.lit(self.value)
+            out = F.lit(self.value)
+            for f, c in self.slopes.items():
+                out = out + F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) * c
+            return out
         x = F.col(self.feature)
         go_left = F.when(finite(x), x <= self.threshold).otherwise(F.lit(self.missing_left))
         return F.when(go_left, self.left.column()).otherwise(self.right.column())
@@ -102,21 +112,22 @@ class BoostModel:
             raise ValueError("unknown model version")
 
         def node(x: dict | None) -> Node | None:
-            return None if x is None else Node(**{**x, "left": node(x["left"]), "right": node(x["right"])})
+            return None if x is None else Node(**{**x, "left": node(x["left"]), "right": node(x["right"])})  # JSON's Infinity reads back as such
 
         return BoostModel(d["features"], d["init"], d["rate"], [node(t) for t in d["trees"]], d["loss"])
 
 
 def bin_edges(rows: DataFrame, features: Sequence[str], bins: int) -> dict[str, list[float]]:
-    """Cut points: middles between distinct values if there are few, else quantiles; bounded by bins * features."""
+    """Cut points: middles between adjacent distinct quantiles, so few distinct values are all kept apart; one job for all
+    features, and at most ``bins`` numbers a feature."""
+    levels = [i / (4 * bins) for i in range(4 * bins + 1)]
+    row = rows.agg(*(F.percentile_approx(F.when(finite(F.col(f).cast("double")), F.col(f).cast("double")), levels, 10_000).alias(f"e{i}") for i, f in enumerate(features))).first()
     out = {}
-    for f in features:
-        few = [r[0] for r in rows.where(finite(F.col(f))).select(F.col(f).cast("double").alias("v")).distinct().limit(bins + 1).collect()]
-        if len(few) <= bins:
-            v = sorted(few)
-            out[f] = [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)]
-        else:
-            out[f] = sorted(set(rows.where(finite(F.col(f))).approxQuantile(f, [i / bins for i in range(1, bins)], 0.001)))
+    for i, f in enumerate(features):
+        v = sorted(set(row[f"e{i}"] or []))
+        if len(v) > bins:
+            v = sorted({v[round(k * (len(v) - 1) / bins)] for k in range(bins + 1)})
+        out[f] = [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)]
     return out
 
 
@@ -140,7 +151,7 @@ def best_splits(hist: Sequence, features: Sequence[str], edges: dict[str, list[f
         by.setdefault((r["node"], r["feature"]), {})[r["bin"]] = (r["n"], r["w"], r["wy"], r["wyy"])
     sse = lambda s: s[3] - s[2] * s[2] / (s[1] + spec.l2) if s[1] + spec.l2 > 0 else 0.0
     plus = lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True))
-    zero, best = (0, 0.0, 0.0, 0.0), {}
+    zero, best, ordered = (0, 0.0, 0.0, 0.0), {}, dict(spec.monotone)
     for (node, f), cells in sorted(by.items()):
         whole = zero
         for s in cells.values():
@@ -154,6 +165,9 @@ def best_splits(hist: Sequence, features: Sequence[str], edges: dict[str, list[f
                 if a[0] < spec.min_leaf or b[0] < spec.min_leaf:
                     continue
                 gain = sse(whole) - sse(a) - sse(b)
+                way = ordered.get(features[f], 0)
+                if way and way * (b[2] / (b[1] + spec.l2) - a[2] / (a[1] + spec.l2)) < 0:
+                    continue
                 if gain > spec.min_gain and (node not in best or gain > best[node][0] + 1e-12):
                     best[node] = (gain, features[f], edge, to_left, a, b)
     return best
@@ -161,25 +175,60 @@ def best_splits(hist: Sequence, features: Sequence[str], edges: dict[str, list[f
 
 def grow(rows: DataFrame, features: Sequence[str], edges: dict[str, list[float]], spec: BoostSpec) -> Node:
     """One tree on binned rows with target ``_g`` and weight ``_w``; a job a level, and only bin sums leave the executors."""
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_g")).alias("wy")).first()
     leaf = lambda s: s[2] / (s[1] + spec.l2) if s[1] + spec.l2 > 0 else 0.0
-    root = Node(leaf((total["n"], total["w"] or 0.0, total["wy"] or 0.0)), n=total["n"])
-    frontier = {1: root}
-    for _ in range(spec.depth):
+    root, frontier = None, {}
+    for level in range(max(spec.depth, 1)):
         open_nodes = {k: v for k, v in frontier.items() if v.n >= 2 * spec.min_leaf}
-        if not open_nodes:
+        if level and not open_nodes:
             break
-        routed = rows.withColumn("_node", node_number(root))
-        hist = node_histograms(routed.where(F.col("_node").isin(*open_nodes)), features).collect()
+        routed = rows.withColumn("_node", F.lit(1) if root is None else node_number(root))
+        hist = node_histograms(routed.where(F.col("_node").isin(*open_nodes)) if level else routed, features).collect()
+        if root is None:  # the whole is the sum over any one feature's bins
+            whole = [sum(r[c] or 0 for r in hist if r["feature"] == 0) for c in ("n", "w", "wy")]
+            root = Node(leaf(whole), n=whole[0])
+            frontier = open_nodes = {1: root}
+            if not spec.depth or root.n < 2 * spec.min_leaf:
+                break
         frontier = {}
         for k, (gain, f, t, miss, a, b) in best_splits(hist, features, edges, spec).items():
             node = open_nodes[k]
             node.feature, node.threshold, node.missing_left, node.gain = f, t, miss, gain
-            node.left, node.right = Node(leaf(a), n=a[0]), Node(leaf(b), n=b[0])
+            held = lambda v: min(max(v, node.low), node.high)  # noqa: B023, E731
+            node.left, node.right = Node(held(leaf(a)), n=a[0], low=node.low, high=node.high), Node(held(leaf(b)), n=b[0], low=node.low, high=node.high)
+            if way := dict(spec.monotone).get(f, 0):  # what lies below must stay on its side of the middle
+                middle = (node.left.value + node.right.value) / 2
+                lower, upper = (node.left, node.right) if way > 0 else (node.right, node.left)
+                lower.high, upper.low = min(lower.high, middle), max(upper.low, middle)
             frontier |= {2 * k: node.left, 2 * k + 1: node.right}
+    if spec.linear:
+        linear_leaves(rows, root, spec)
     return root
 
 
+def linear_leaves(rows: DataFrame, root: Node, spec: BoostSpec) -> None:
+    """Ridge fits in the leaves: their normal equations are sums by leaf, (features + 1)² numbers each; a leaf whose system
+    is singular stays constant."""
+    cols = [F.lit(1.0), *(F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in spec.linear), F.col("_g")]
+    k = len(cols)
+    sums = [F.sum(F.col("_w") * cols[i] * cols[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
+    got = {r["k"]: r for r in rows.groupBy(node_number(root).alias("k")).agg(*sums).collect()}
+
+    def put(node: Node, at: int) -> None:
+        if node.feature is not None:
+            put(node.left, 2 * at)
+            put(node.right, 2 * at + 1)
+        elif at in got:
+            m = np.array([[got[at][f"s{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
+            try:
+                c = np.linalg.solve(m[:-1, :-1] + spec.ridge * np.diag([0.0] + [1.0] * len(spec.linear)), m[:-1, -1])
+            except np.linalg.LinAlgError:
+                return
+            if np.isfinite(c).all():
+                node.value, node.slopes = float(c[0]), dict(zip(spec.linear, map(float, c[1:]), strict=True))
+
+    put(root, 1)
+
+
 def node_number(node: Node, at: int = 1) -> Column:
     """The number of the leaf that a row reaches."""
     if node.feature is None:
@@ -254,11 +303,64 @@ def fit(rows: DataFrame, features: Sequence[str], label: str, spec: BoostSpec =
     return model
 
 
+@dataclass(frozen=True)
+class SplitFeatures:
+    """Derived columns that turn half-plane, radial, periodic and set predicates into threshold splits.
+
+    A half-plane is a threshold on its normal's projection, a disc one on the distance to a centre, an interval of a period
+    one on the distance to its middle, and a set split one on a 0/1 column. Centres and ids come from the training rows.
+    """
+
+    columns: tuple[tuple[str, str, tuple], ...] = ()
+
+    @staticmethod
+    def learn(rows: DataFrame, spatial: Sequence[tuple[str, str]] = (), periodic: dict[str, float] | None = None, sets: Sequence[str] = (), target: str | None = None, middles: int = 8, ids: int = 16) -> SplitFeatures:
+        out: list[tuple[str, str, tuple]] = []
+        for x, y in spatial:
+            out += [(f"{x}_{y}_diagonal{i}", "diagonal", (x, y, *n)) for i, n in enumerate(DIAGONALS)]
+            centres = [rows.agg(F.avg(x), F.avg(y)).first()]
+            if target is not None:
+                mean = rows.agg(F.avg(target)).first()[0]
+                centres += [rows.where(c).agg(F.avg(x), F.avg(y)).first() for c in (F.col(target) > mean, F.col(target) <= mean)]
+            out += [(f"{x}_{y}_radius{i}", "radial", (x, y, c[0], c[1])) for i, c in enumerate(centres) if c[0] is not None]
+        for f, period in (periodic or {}).items():
+            out += [(f"{f}_arc{i}", "periodic", (f, period, period * i / middles)) for i in range(middles)]
+        for f in sets:  # the most frequent ids: a stated number of candidates
+            top = rows.select(F.explode(F.array_distinct(f)).alias("id")).groupBy("id").count().orderBy(F.col("count").desc(), "id").limit(ids).collect()
+            out += [(f"{f}_has_{r['id']}", "set", (f, r["id"])) for r in top]
+        return SplitFeatures(tuple(out))
+
+    @property
+    def names(self) -> list[str]:
+        return [n for n, _, _ in self.columns]
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        made = {}
+        for name, kind, a in self.columns:
+            if kind == "diagonal":
+                made[name] = F.col(a[0]) * a[2] + F.col(a[1]) * a[3]
+            elif kind == "radial":
+                made[name] = F.hypot(F.col(a[0]) - a[2], F.col(a[1]) - a[3])
+            elif kind == "periodic":
+                made[name] = circular_gap(wrap(F.col(a[0]), a[1]), a[2], a[1])
+            else:
+                made[name] = set_left(F.col(a[0]), [a[1]]).cast("double")
+        return rows.withColumns(made) if made else rows
+
+
 @dataclass
 class MulticlassModel:
     classes: list
     models: list[BoostModel]
 
+    def to_json(self) -> str:
+        return json.dumps({"version": 1, "classes": self.classes, "models": [json.loads(m.to_json()) for m in self.models]})
+
+    @staticmethod
+    def from_json(text: str) -> MulticlassModel:
+        d = json.loads(text)
+        return MulticlassModel(d["classes"], [BoostModel.from_json(json.dumps(m)) for m in d["models"]])
+
     def probabilities(self) -> Column:
         return softmax(F.array(*(m.margin() for m in self.models)))
 

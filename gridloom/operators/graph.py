@@ -85,6 +85,29 @@ def sage_layer(links: DataFrame, features: DataFrame, own: Sequence[Sequence[flo
     return rows.select("id", F.array(*out).alias("vec"))
 
 
+def typed_layer(links: DataFrame, features: DataFrame, own: Sequence[Sequence[float]], near: dict[str, Sequence[Sequence[float]]], bias: Sequence[float]) -> DataFrame:
+    """One layer over typed links (node, id, rel): relu(own · x + Σ over relations of weights · mean of that relation + bias)."""
+    rows = features
+    for i, rel in enumerate(near):
+        agg = mean_neighbours(links.where(F.col("rel") == rel).select("node", "id"), features).select(F.col("node").alias("id"), F.col("vec").alias(f"_m{i}"))
+        rows = rows.join(agg, "id", "left")
+    zero = F.transform("vec", lambda v: F.lit(0.0))
+    row = lambda weights: F.array(*map(F.lit, map(float, weights)))
+    out = []
+    for k, c in enumerate(bias):
+        total = dot(F.col("vec"), row(own[k])) + float(c)
+        for i, weights in enumerate(near.values()):
+            total = total + dot(F.coalesce(f"_m{i}", zero), row(weights[k]))
+        out.append(F.greatest(total, F.lit(0.0)))
+    return rows.select("id", F.array(*out).alias("vec"))
+
+
+def sampled_links(links: DataFrame, most: int, seed: int = 7) -> DataFrame:
+    """At most ``most`` links a node, by a seeded hash (a sampling operator)."""
+    order = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64(F.lit(seed), "node", "id"), "id"))
+    return links.withColumn("_r", order).where(F.col("_r") <= most).drop("_r")
+
+
 def link_scores(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
     """sigmoid(source · target) of each pair."""
     a, b = embeddings.select(F.col("id").alias("src"), F.col("vec").alias("_a")), embeddings.select(F.col("id").alias("dst"), F.col("vec").alias("_b"))

@@ -65,6 +65,12 @@ def wrmsse(scored: DataFrame, train: DataFrame, weights: DataFrame, season: int
     return rows.withColumn("contribution", F.col("rmsse") * F.col("weight"))
 
 
+def equal_level_wrmsse(levels: dict[str, tuple[DataFrame, DataFrame, DataFrame]], season: int = 1) -> float:
+    """The mean over levels (name: scored, train, weights) of each level's weighted score."""
+    scores = [wrmsse(*parts, season=season).agg(F.sum("contribution")).first()[0] for parts in levels.values()]
+    return sum(scores) / len(scores)
+
+
 def m_competition(smape: float, mase: float, base_smape: float, base_mase: float) -> dict[str, float]:
     """Ratios to the baseline (floored) and their mean, the overall weighted average."""
     a, b = smape / max(base_smape, FLOOR), mase / max(base_mase, FLOOR)

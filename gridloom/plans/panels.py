@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.calendar import calendar_columns
 from gridloom.operators import forecast as fc
+from gridloom.operators import global_forecast as gf
 from gridloom.operators import hierarchy as hi
 from gridloom.operators import kernels
 from gridloom.operators import metrics as me
@@ -406,3 +407,50 @@ def least_squares_reconciliation(spark, sf_dir):
     tree = hi.closure(edges)
     base = tree.select(F.col("ancestor").alias("node")).distinct().withColumn("mean", F.pmod(F.xxhash64("node"), F.lit(1000)).cast("double")).withColumn("ts", F.lit(1))
     return rounded(hi.reconcile(base, tree), 4)
+
+
+@query()
+def recursive_boost_forecasts(spark, sf_dir):
+    return rounded(gf.lag_boost_forecast(daily(spark, sf_dir), 7, gf.LagSpec(lags=(1, 2, 7), roll_mean=(3,), roll_std=(7,), ewm_percent=(30,), deltas=(1,), trends=(3,), calendar=("day_of_week", "day_of_month_sin"))))
+
+
+@query()
+def seasonal_delta_forecasts(spark, sf_dir):
+    return rounded(gf.lag_boost_forecast(daily(spark, sf_dir), 7, mode="seasonal_delta"))
+
+
+@query()
+def direct_boost_forecasts(spark, sf_dir):
+    return rounded(gf.direct_boost_forecast(daily(spark, sf_dir), 3))
+
+
+@query()
+def quantile_forecasts(spark, sf_dir):
+    made = gf.quantile_boost_forecast(daily(spark, sf_dir), 2, boost=gf.BoostSpec(rounds=3, rate=0.3, depth=2, min_leaf=5, bins=8))
+    return made.withColumn("quantiles", F.transform("quantiles", lambda v: F.round(v, 6)))
+
+
+@query()
+def corrected_forecasts(spark, sf_dir):
+    return rounded(gf.corrected_forecast(daily(spark, sf_dir), 7, lambda p, h: fc.predictions(fc.histories(p), fc.window_average(7), h, "w")))
+
+
+@query()
+def hybrid_forecasts(spark, sf_dir):
+    return rounded(gf.hybrid_forecast(daily(spark, sf_dir), 7))
+
+
+@query()
+def auto_forecasts(spark, sf_dir):
+    return rounded(gf.auto_forecast(daily(spark, sf_dir).select("series_id", "ts", "y"), 5))
+
+
+@query("""with h as (select n_nationkey::varchar as name, date '2024-01-10' + n_nationkey as day from nation), o as (select unnest([-1, 0, 1, 2])::int as o) select name, o as "offset", (day + o)::date as day from h, o""")
+def holiday_table(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("name"), F.date_add(F.lit("2024-01-10").cast("date"), F.col("n_nationkey")).alias("day"))
+    return gf.holiday_windows(n, 1, 2)
+
+
+@query(f"""with {DAILY}, s as (select series_id, avg(y) as m, greatest(stddev_pop(y), 1e-6) as s from daily group by 1) select series_id, ts, round((y - m) / s, 6) as y from daily join s using (series_id)""")
+def standardised_panel(spark, sf_dir):
+    return rounded(gf.scaled(daily(spark, sf_dir).select("series_id", "ts", "y"))[0])
