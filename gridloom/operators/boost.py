@@ -281,7 +281,7 @@ def fit(rows: DataFrame, features: Sequence[str], label: str, spec: BoostSpec =
     features = list(features)
     edges = bin_edges(rows, features, spec.bins)
     y = F.log1p(F.col(label)) if spec.loss == "log_l2" else F.col(label).cast("double")
-    base = rows.select(*features, y.alias("_y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w0"), *(bin_column(F.col(f).cast("double"), edges[f]).alias(f"_b{i}") for i, f in enumerate(features))).persist()
+    base = rows.select(*dict.fromkeys([*features, *spec.linear]), y.alias("_y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w0"), *(bin_column(F.col(f).cast("double"), edges[f]).alias(f"_b{i}") for i, f in enumerate(features))).persist()
     mean = base.agg(F.sum(F.col("_w0") * F.col("_y")) / F.sum("_w0")).first()[0] or 0.0
     if spec.loss in ("l1", "quantile"):
         mean = base.approxQuantile("_y", [0.5 if spec.loss == "l1" else spec.alpha], 0.0001)[0]

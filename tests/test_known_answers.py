@@ -321,3 +321,81 @@ def test_scalars(spark):
     r = spark.range(1).select(pr.haversine_m(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("d"), pr.half_even(F.lit(2.5), 0).alias("h"), pr.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0))).alias("c"), geo_ids.zone_number(F.lit("00501-1234")).alias("z")).first()
     assert r["d"] == pytest.approx(6_371_000 * math.pi / 180) and r["h"] == 2 and r["c"] == 0 and r["z"] == 501
     assert pr.inverse_normal(0.975) == pytest.approx(1.959963984540054)
+
+
+def test_boost_options(spark):
+    rows = spark.createDataFrame([(float(i % 20), float(i // 20), float(i % 7), [i % 3, 10 + i % 5]) for i in range(400)], "x double, y double, h double, ids array<int>")
+    rows = rows.withColumn("ids", F.col("ids").cast("array<bigint>")).withColumn("t", F.when(F.hypot(F.col("x") - 10, F.col("y") - 10) < 5, 10.0).otherwise(0.0))
+    derived = bo.SplitFeatures.learn(rows, [("x", "y")], {"h": 7.0}, ["ids"], target="t")
+    wide = derived.add(rows)
+    model = bo.fit(wide, derived.names, "t", bo.BoostSpec(rounds=3, rate=1.0, depth=2, min_leaf=5))
+    plain = bo.fit(rows, ["x", "y"], "t", bo.BoostSpec(rounds=3, rate=1.0, depth=2, min_leaf=5))
+    loss = lambda m, d: m.transform(d).agg(F.avg(F.pow(F.col("prediction") - F.col("t"), 2))).first()[0]
+    assert loss(model, wide) < 0.7 * loss(plain, rows)
+    line = rows.withColumn("t", 3 * F.col("x") + 1)
+    linear = bo.fit(line, ["y"], "t", bo.BoostSpec(rounds=1, rate=1.0, depth=1, min_leaf=5, linear=("x",), ridge=0.0))
+    assert loss(linear, line) < 1e-12
+    wave = rows.withColumn("t", F.sin(F.col("x")))
+    up = bo.fit(wave, ["x"], "t", bo.BoostSpec(rounds=5, rate=0.5, depth=3, min_leaf=5, monotone=(("x", 1),)))
+    p = [r["prediction"] for r in up.transform(spark.range(20).select(F.col("id").cast("double").alias("x"))).orderBy("x").collect()]
+    assert all(b >= a - 1e-12 for a, b in zip(p, p[1:], strict=False))
+
+
+def test_global_forecasts(spark):
+    from gridloom.operators import global_forecast as gf
+
+    p = panel(spark, a=[1.0, 2, 3, 4] * 7, b=[10.0, 20, 30, 40] * 7)
+    spec, boost = gf.LagSpec(lags=(1, 4)), gf.BoostSpec(rounds=4, rate=1.0, depth=3, min_leaf=2, bins=16)
+    made = gf.lag_boost_forecast(p, 4, spec, boost, mode="seasonal_delta", season=4)
+    assert means(made) == pytest.approx([1, 2, 3, 4]) and means(made, "b") == pytest.approx([10, 20, 30, 40])
+    model = bo.fit(gf.training_rows(p, spec), spec.names(), "label", boost)
+    one = gf.recursive_predictions(p, model, spec, 1)
+    from gridloom.operators.lags import next_step
+
+    future = p.groupBy("series_id").agg((F.max("ts") + F.expr("interval 1 day")).alias("ts"))
+    want = {r["series_id"]: r["m"] for r in next_step(p, spec, future).withColumn("m", model.margin()).collect()}
+    assert {r["series_id"]: r["mean"] for r in one.collect()} == pytest.approx(want)
+    assert gf.choose_candidate({"a": 1.0, "b": float("nan"), "c": 0.999}, "a") == "a" and gf.choose_candidate({"a": 1.0, "c": 0.5}, "a") == "c"
+    with pytest.raises(ValueError, match="registered"):
+        gf.register("naive", lambda p, h: p)
+    assert gf.forecaster("theta")(p, 2).count() == 4
+    z, stats = gf.scaled(p)
+    assert gf.unscaled(fc.predictions(fc.histories(z), fc.naive, 1, "n"), stats).where("series_id = 'b'").first()["mean"] == pytest.approx(40)
+    places = spark.createDataFrame([("a", 0.0, 0.0), ("b", 1.0, 0.0)], "series_id string, x double, y double")
+    assert means(gf.kriged_levels(p, places, 2, 1.0)) == pytest.approx([4, 4], abs=1e-4)
+
+
+def test_ingest(spark):
+    import duckdb
+    import pandas as pd
+
+    from gridloom.sources import ingest
+
+    for values in (pd.DataFrame({"a": [1.0, 2.0]}), {"a": [1.0, 2.0]}, duckdb.sql("select unnest([1.0::double, 2.0]) as a"), np.array([[1.0], [2.0]])):
+        df = ingest.to_frame(spark, values, ["a"])
+        assert df.columns == ["a"] and df.agg(F.sum("a")).first()[0] == 3
+    with pytest.raises(ValueError, match="unique"):
+        ingest.FeatureSchema(("a", "a"), ("numeric", "numeric")).check()
+    with pytest.raises(ValueError, match="periods"):
+        ingest.FeatureSchema(("a",), ("periodic",)).check()
+    with pytest.raises(Exception, match="negative"):
+        ingest.check_weights(spark.createDataFrame([(-1.0,)], "w double"), "w").collect()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from gridloom.__main__ import main
+
+    (tmp_path / "d.csv").write_text("x,y\n" + "\n".join(f"{i},{2 * (i > 20)}" for i in range(60)))
+    m = str(tmp_path / "model")
+    assert main(["train", "--model", m, "--data", str(tmp_path / "d.csv"), "--target", "y", "--rounds", "2", "--rate", "1"]) == 0
+    assert main(["evaluate", "--model", m, "--data", str(tmp_path / "d.csv"), "--target", "y"]) == 0
+    assert json.loads(capsys.readouterr().out)["rmse"] < 0.3
+    main(["inspect", "--model", m])
+    assert "x <=" in capsys.readouterr().out
+    (tmp_path / "p.csv").write_text("t,v\n" + "\n".join(f"2026-01-{i + 1:02d},{i % 7}" for i in range(28)))
+    (tmp_path / "c.toml").write_text("horizon = 7\nmodels = ['seasonal_naive', 'naive']\nfolds = 1\n")
+    common = ["--data", str(tmp_path / "p.csv"), "--timestamp", "t", "--target", "v", "--config", str(tmp_path / "c.toml")]
+    main(["backtest", *common])
+    assert json.loads(capsys.readouterr().out.splitlines()[0])["mae"] == 0
+    main(["forecast", *common, "--out", str(tmp_path / "out")])
+    assert files.read_forecast(spark, str(tmp_path / "out"))[0].count() == 14
