@@ -470,3 +470,60 @@ def window_network(panel: DataFrame, horizon: int, window: int = 7, hidden: int
         return np.array(hist[-h:])
 
     return per_series(panel, horizon, model, ahead, frequency)
+
+
+# --- aggregation layers ----------------------------------------------------------------------------------------------
+
+
+def layer_step(own: np.ndarray, near: np.ndarray, bias: np.ndarray, xu: np.ndarray, mu: np.ndarray, xv: np.ndarray, mv: np.ndarray, y: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """One descent step of the link loss -log sigmoid(± z_u · z_v), z = relu(own x + near m + bias); the weights and the loss."""
+    au, av = xu @ own.T + mu @ near.T + bias, xv @ own.T + mv @ near.T + bias
+    zu, zv = np.maximum(au, 0), np.maximum(av, 0)
+    s = 1 / (1 + np.exp(-np.clip((zu * zv).sum(1), -30, 30)))
+    loss = float(-np.mean(np.where(y == 1, np.log(s + 1e-15), np.log(1 - s + 1e-15))))
+    g = ((s - y) / len(y))[:, None]
+    du, dv = g * zv * (au > 0), g * zu * (av > 0)
+    return own - rate * (du.T @ xu + dv.T @ xv), near - rate * (du.T @ mu + dv.T @ mv), bias - rate * (du + dv).sum(0), loss
+
+
+def train_layer(links: DataFrame, features: DataFrame, positives: DataFrame, negatives: DataFrame, dim: int = 8, epochs: int = 5, rate: float = 0.5, parts: int = 8, steps: int = 20, seed: int = 1) -> tuple[list, list, list, list[float]]:
+    """(own, near, bias, losses) of one mean-aggregation layer by link prediction over (src, dst) pairs.
+
+    Neighbour means are a distributed aggregation; each epoch, parts of the pairs take descent steps from shared weights, and
+    the weights are averaged, so what travels is a few small matrices a part.
+    """
+    from gridloom.operators.graph import mean_neighbours
+
+    means = mean_neighbours(links, features).select(F.col("node").alias("id"), F.col("vec").alias("m"))
+    zero = F.transform("vec", lambda v: F.lit(0.0))
+    known = features.join(means, "id", "left").select("id", F.transform("vec", lambda v: v.cast("double")).alias("x"), F.coalesce("m", zero).alias("m"))
+    pairs = positives.select("src", "dst", F.lit(1.0).alias("y")).union(negatives.select("src", "dst", F.lit(0.0)))
+    u, v = known.select(F.col("id").alias("src"), F.col("x").alias("xu"), F.col("m").alias("mu")), known.select(F.col("id").alias("dst"), F.col("x").alias("xv"), F.col("m").alias("mv"))
+    rows = pairs.join(u, "src").join(v, "dst").withColumn("part", F.pmod(F.xxhash64("src", "dst"), F.lit(parts)).cast("int")).persist()
+    width = rows.select(F.size("xu")).first()
+    width = width[0] if width else 1
+    rng = np.random.default_rng(seed)
+    own, near, bias, losses = rng.normal(0, width**-0.5, (dim, width)), rng.normal(0, width**-0.5, (dim, width)), np.zeros(dim), []
+
+    def trainer(weights):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            a, b, c = weights
+            pdf = pdf.sort_values(["src", "dst"])
+            data = [np.array(pdf[k].tolist(), float) for k in ("xu", "mu", "xv", "mv")]
+            y, loss = pdf["y"].to_numpy(float), 0.0
+            for _ in range(steps):
+                a, b, c, loss = layer_step(a, b, c, *data, y, rate)
+            return pd.DataFrame({"n": [float(len(y))], "loss": [loss], "w": [np.concatenate([a.ravel(), b.ravel(), c]).tolist()]})
+
+        return run
+
+    for _ in range(epochs):
+        got = rows.groupBy("part").applyInPandas(trainer((own, near, bias)), "n double, loss double, w array<double>").collect()  # a row a part
+        if not got:
+            break
+        n = np.array([r["n"] for r in got])
+        w = (np.array([r["w"] for r in got]) * n[:, None]).sum(0) / n.sum()
+        own, near, bias = w[: dim * width].reshape(dim, width), w[dim * width : 2 * dim * width].reshape(dim, width), w[2 * dim * width :]
+        losses.append(float((np.array([r["loss"] for r in got]) * n).sum() / n.sum()))
+    rows.unpersist()
+    return own.tolist(), near.tolist(), bias.tolist(), losses

@@ -399,3 +399,24 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.splitlines()[0])["mae"] == 0
     main(["forecast", *common, "--out", str(tmp_path / "out")])
     assert files.read_forecast(spark, str(tmp_path / "out"))[0].count() == 14
+
+
+def test_layer_training(spark):
+    rng = np.random.default_rng(0)
+    x, m = rng.normal(size=(6, 3)), rng.normal(size=(6, 3))
+    own, near, bias = rng.normal(size=(2, 3)), rng.normal(size=(2, 3)), rng.normal(size=2)
+    args = (x[:3], m[:3], x[3:], m[3:], np.array([1.0, 0.0, 1.0]))
+    loss = lambda o: ke.layer_step(o, near, bias, *args, 0.0)[3]
+    grad = own - ke.layer_step(own, near, bias, *args, 1.0)[0]
+    for i, j in ((0, 0), (1, 2)):
+        step = np.zeros_like(own)
+        step[i, j] = 1e-6
+        assert grad[i, j] == pytest.approx((loss(own + step) - loss(own - step)) / 2e-6, abs=1e-6)
+    nodes = spark.createDataFrame([(i, [1.0 if i < 5 else 0.0, 0.0 if i < 5 else 1.0, 0.1 * i]) for i in range(10)], "id long, vec array<double>")
+    near_pairs = spark.createDataFrame([(i, j) for i in range(10) for j in range(10) if i != j and (i < 5) == (j < 5)], "src long, dst long")
+    far_pairs = spark.createDataFrame([(i, j) for i in range(5) for j in range(5, 10)], "src long, dst long")
+    links = near_pairs.select(F.col("src").alias("node"), F.col("dst").alias("id"))
+    own, near, bias, losses = ke.train_layer(links, nodes, near_pairs, far_pairs, dim=8, epochs=6, parts=2)
+    out = gr.sage_layer(links, nodes, own, near, bias)
+    auc = me.roc_auc(gr.link_scores(near_pairs.withColumn("y", F.lit(1)).union(far_pairs.withColumn("y", F.lit(0))), out))
+    assert losses[-1] < losses[0] and auc.first()[0] > 0.9
