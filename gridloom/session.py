@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Adaptive execution sizes partitions and splits skewed ones; times are UTC.
@@ -17,3 +19,10 @@ def session(name: str = "gridloom", **settings: str) -> SparkSession:
     for key, value in (SETTINGS | {k.replace("_", "."): v for k, v in settings.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver's copy lies, if it isn't installed for them."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = f"{env['PYTHONPATH']}:{root}" if env.get("PYTHONPATH") else root
