@@ -196,9 +196,14 @@ def kalman_forecasts(spark, sf_dir):
     return rounded(fc.kalman_level_forecast(daily(spark, sf_dir), 7), 5)
 
 
-@query()
+@query(f"""with recursive {DAILY}, d as (select series_id, ts, y, row_number() over (partition by series_id order by ts) as i, count(*) over (partition by series_id) as n, lead(y) over (partition by series_id order by ts) - y as step from daily),
+k as (select series_id, i, n, ts, y as level, step as trend, 1.0::double as p00, 0.0::double as p01, 0.0::double as p10, 1.0::double as p11 from d where i = 1 union all
+select series_id, i, n, ts, pl + a / (a + 1) * e, trend + c / (a + 1) * e, (1 - a / (a + 1)) * a, (1 - a / (a + 1)) * b, c - c / (a + 1) * a, q - c / (a + 1) * b
+from (select d.series_id, d.i, d.n, d.ts, k.trend, k.level + k.trend as pl, d.y - (k.level + k.trend) as e, p00 + p01 + p10 + p11 + 0.1 as a, p01 + p11 as b, p10 + p11 as c, p11 + 0.01 as q from k join d on d.series_id = k.series_id and d.i = k.i + 1)),
+f as (select series_id, ts + to_days(s) as ts, s, level + s * trend as mean, greatest(p00 + s * (p01 + p10) + s * s * p11 + s * 0.1 + s * s * 0.01, 0) + 1 as v from k, (select unnest(generate_series(1, 7))::int as s) where i = n)
+select series_id, ts, s as horizon, 'kalman_trend' as model, round(mean, 4) as mean, round(v, 4) as variance, round(mean - 1.959963984540054 * sqrt(v), 4) as lower, round(mean + 1.959963984540054 * sqrt(v), 4) as upper from f""")
 def kalman_trend_forecasts(spark, sf_dir):
-    return rounded(fc.kalman_trend_forecast(daily(spark, sf_dir), 7))
+    return rounded(fc.kalman_trend_forecast(daily(spark, sf_dir), 7), 4)
 
 
 @query()
@@ -220,13 +225,19 @@ def season_trend_parts(spark, sf_dir):
     return rounded(rows.select("series_id", F.col("step").cast("long").alias("step"), "p.*"))
 
 
-@query()
+@query(f"""with {DAILY}, d as (select series_id, y, row_number() over o - 1 as i, avg(y) over (o rows between 10 preceding and 10 following) as trend from daily window o as (partition by series_id order by ts)),
+p as (select series_id, i % 7 as k, avg(y - trend) as m from d group by all), a as (select series_id, k, m - avg(m) over (partition by series_id) as s from p), e as (select d.*, a.s as s7 from d join a on a.series_id = d.series_id and a.k = d.i % 7),
+q as (select series_id, i % 10 as k, avg(y - trend - s7) as m from e group by all), b as (select series_id, k, m - avg(m) over (partition by series_id) as s from q)
+select e.series_id, e.i::int as step, round(y, 6) as y, round(trend, 6) as trend, round(s7, 6) as seasonal_7, round(b.s, 6) as seasonal_10, round(y - trend - s7 - b.s, 6) as remainder from e join b on b.series_id = e.series_id and b.k = e.i % 10""")
 def multi_season_parts(spark, sf_dir):
     d = fc.decompose(daily(spark, sf_dir), [7, 10])
     return rounded(d.select("series_id", F.posexplode(F.arrays_zip("y", "trend", "seasonal_7", "seasonal_10", "remainder")).alias("step", "p")).select("series_id", "step", "p.*"))
 
 
-@query()
+@query(f"""with {DAILY}, d as (select series_id, ts, y, row_number() over o - 1 as i, count(*) over (partition by series_id) as n, avg(y) over (o rows between 7 preceding and 7 following) as trend from daily window o as (partition by series_id order by ts)),
+p as (select series_id, i % 7 as k, avg(y - trend) as m from d group by all), q as (select series_id, k, m - avg(m) over (partition by series_id) as s from p),
+h as (select series_id, any_value(n) as n, max(ts) as last_ts, max(trend) filter (i = n - 1) as t1, max(trend) filter (i = n - 4) as t0 from d group by series_id)
+select h.series_id, last_ts + to_days(s.s) as ts, s.s as horizon, 'stl' as model, round(t1 + s.s * (t1 - t0) / 3 + q.s, 6) as mean from h, (select unnest(generate_series(1, 7))::int as s) s join q on q.series_id = h.series_id and q.k = (h.n + s.s - 1) % 7""")
 def decomposed_forecasts(spark, sf_dir):
     return rounded(fc.decomposed_forecast(daily(spark, sf_dir), 7, 7))
 
