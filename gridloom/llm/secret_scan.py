@@ -100,7 +100,7 @@ def judged_spans(found: DataFrame, max_owners: int = 1, example_owners: int = 3)
     table; its partition on the other side is split by adaptive execution.
     """
     each = found.where(F.size("_found") > 0).select("_row", F.explode("_found").alias("s")).select("_row", "s.*")
-    known = each.join(ownership(found), "value")
+    known = each.join(stage(ownership(found), "owners"), "value")  # staged, so that both sides are dealt anew
     live = F.col("owners") <= max_owners
     span = F.struct("start", "kind", "end", live.alias("live"), (F.col("owners") >= example_owners).alias("example"))
     return known.where((F.col("kind") < 3) | live).groupBy("_row").agg(F.sort_array(F.collect_list(span)).alias("spans"))
