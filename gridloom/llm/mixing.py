@@ -92,7 +92,7 @@ def apportion(parties: DataFrame, claim: str, house: Column, group: list[str], o
     return seated.join(moved, on, "left").select(*names, (F.col("_seats") + F.coalesce("_moved", F.lit(0))).cast("long").alias(out))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, epochs: int = 2, block: int = 8, shard_words: int = 2_000_000, seed: int = 17) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, epochs: int = 2, block: int = 8, shard_words: int = 250_000, seed: int = 17) -> DataFrame:
     """``doc_id``, ``size``, ``source_size``, ``target``, ``taken`` of every document, and ``_key`` of its text.
 
     ``shard_words`` is what a shard holds on average; the number of shards follows the corpus' size.
