@@ -288,20 +288,19 @@ def kalman_smoothed(y: Column, q: float, r: float) -> Column:
 
 
 def kalman_trend(y: Column, q_level: Column | float, q_trend: Column | float, r: Column | float) -> Column:
-    """Local linear trend filter: struct of level, trend, the covariance and the log-likelihood."""
-    q0, q1, r = (v if isinstance(v, Column) else F.lit(float(v)) for v in (q_level, q_trend, r))
-    y0, y1 = F.get(y, F.lit(0)), F.get(y, F.lit(1))
-    start = F.struct(y0.alias("level"), F.coalesce(y1 - y0, F.lit(ZERO)).alias("trend"), r.alias("p00"), F.lit(ZERO).alias("p01"), F.lit(ZERO).alias("p10"), r.alias("p11"), F.lit(ZERO).alias("ll"), F.lit(ZERO).alias("sse"))
+    """Local linear trend filter: struct of level, trend, their variances and covariance, and the log-likelihood."""
+    noise_level, noise_trend, noise = (v if isinstance(v, Column) else F.lit(float(v)) for v in (q_level, q_trend, r))
+    first = F.get(y, F.lit(0))
+    start = F.struct(first.alias("level"), F.coalesce(F.get(y, F.lit(1)) - first, F.lit(ZERO)).alias("trend"), noise.alias("var_level"), F.lit(ZERO).alias("cov"), noise.alias("var_trend"), F.lit(ZERO).alias("ll"))
 
     def step(a: Column, v: Column) -> Column:
-        level = a["level"] + a["trend"]
-        pp00, pp01 = a["p00"] + a["p01"] + a["p10"] + a["p11"] + q0, a["p01"] + a["p11"]
-        pp10, pp11 = a["p10"] + a["p11"], a["p11"] + q1
-        e, s = v - level, pp00 + r
-        k0, k1 = pp00 / s, pp10 / s
+        var_level = a["var_level"] + 2 * a["cov"] + a["var_trend"] + noise_level
+        cov, var_trend = a["cov"] + a["var_trend"], a["var_trend"] + noise_trend
+        miss, spread = v - a["level"] - a["trend"], var_level + noise
+        gain, pull = var_level / spread, cov / spread
         return F.struct(
-            (level + k0 * e).alias("level"), (a["trend"] + k1 * e).alias("trend"), ((1 - k0) * pp00).alias("p00"), ((1 - k0) * pp01).alias("p01"), (pp10 - k1 * pp00).alias("p10"),
-            (pp11 - k1 * pp01).alias("p11"), (a["ll"] - 0.5 * (math.log(2 * math.pi) + F.ln(s) + e * e / s)).alias("ll"), (a["sse"] + e * e).alias("sse"),
+            (a["level"] + a["trend"] + gain * miss).alias("level"), (a["trend"] + pull * miss).alias("trend"), ((1 - gain) * var_level).alias("var_level"), ((1 - gain) * cov).alias("cov"),
+            (var_trend - pull * cov).alias("var_trend"), (a["ll"] - 0.5 * (math.log(2 * math.pi) + F.ln(spread) + miss * miss / spread)).alias("ll"),
         )
 
     return F.aggregate(F.slice(y, 2, 1_000_000_000), start, step)
@@ -319,7 +318,7 @@ def kalman_trend_forecast(panel: DataFrame, horizon: int, q_level: float = 0.1,
     hist = histories(panel).withColumn("s", kalman_trend(F.col("y"), q_level, q_trend, r))
     rows = predictions(hist, lambda s: F.col("s.level") + s * F.col("s.trend"), horizon, "kalman_trend", frequency).join(hist.select("series_id", "s"), "series_id")
     h = F.col("horizon")
-    var = F.greatest(F.col("s.p00") + h * (F.col("s.p01") + F.col("s.p10")) + h * h * F.col("s.p11") + h * q_level + h * h * q_trend, F.lit(ZERO)) + r
+    var = F.greatest(F.col("s.var_level") + 2 * h * F.col("s.cov") + h * h * F.col("s.var_trend") + h * q_level + h * h * q_trend, F.lit(ZERO)) + r
     return rows.withColumn("variance", var).withColumn("lower", F.col("mean") - z * F.sqrt(var)).withColumn("upper", F.col("mean") + z * F.sqrt(var)).drop("s")
 
 
