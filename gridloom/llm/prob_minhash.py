@@ -201,8 +201,8 @@ def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     is then in the prefix of both.
     """
     each = stage(map_arrow(sets.select("n", "_set", "_count"), _tokens, "token long, n long, w long"), "tokens")
-    often = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-    lists = each.join(often, "token").groupBy("n").agg(F.sort_array(F.collect_list(F.struct("df", "token", "w"))).alias("known"))
+    often = stage(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1), "often")
+    lists = each.join(often.hint("merge"), "token").groupBy("n").agg(F.sort_array(F.collect_list(F.struct("df", "token", "w"))).alias("known"))
     size = each.groupBy("n").agg(F.count(F.lit(1)).alias("size"), F.sum("w").alias("mass"))
 
     def run(batches):
@@ -230,8 +230,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # copies collapse: a node is a distinct text, with its smallest id
     nodes = stage(signed.where(F.col("_key").isNotNull()).groupBy(F.col("_key").alias("node")).agg(F.min("_id").alias("id"), F.first("_bands").alias("bands")), "nodes")
     member = nodes.select("node", F.explode("bands").alias("bucket"))
-    crowded = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    member = stage(member.join(crowded, "bucket"), "buckets")
+    # tables that are joined back to what they sum up are staged and merged: then both sides are dealt anew at every size, and
+    # adaptive execution splits the rows of a hot key
+    crowded = stage(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "crowded")
+    member = stage(member.join(crowded.hint("merge"), "bucket"), "buckets")
 
     # the elements of the texts that stand in a crowded bucket: the others can't be linked
     wanted = stage(member.groupBy(F.col("node").alias("_key")).agg(F.sum("n").alias("degree")), "wanted")
@@ -246,19 +248,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return stage(map_arrow(both, _verified(threshold), "a binary, b binary, linked boolean").where("linked"), "links")
 
     central = member.join(wanted.withColumnRenamed("_key", "node"), "node")
-    pivot = central.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"))
-    star = member.join(pivot, "bucket").where(F.col("node") != F.col("pivot")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    pivot = stage(central.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot")), "pivots")
+    star = member.join(pivot.hint("merge"), "bucket").where(F.col("node") != F.col("pivot")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     links = verified(star)
     named = components(links)
     rooted = stage(member.select("node", "bucket").join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    several = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(F.col("x") != F.col("y")).select("bucket")
-    open_texts = stage(rooted.join(several, "bucket").select("node", "root").distinct(), "open")
+    several = stage(rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(F.col("x") != F.col("y")).select("bucket"), "several")
+    open_texts = stage(rooted.join(several.hint("merge"), "bucket").select("node", "root").distinct(), "open")
     if not open_texts.isEmpty():
         mine = stage(sets.join(open_texts.select(F.col("node").alias("_key"), "root"), "_key"), "open-elements")
         bits = [F.get("_bits", F.lit(i)).alias(f"b{i}") for i in range(BITMAP)]
         meet = stage(prefixes(mine, threshold).join(mine.select("n", F.col("_key").alias("node"), "root", "size", "even", *bits), "n").drop("n"), "meet")
         largest = meet.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "root")).alias("m"), F.count(F.lit(1)).alias("classes")).where(F.col("classes") > 1)
-        stray = meet.join(largest.select("token", F.col("m.root").alias("main")), "token").where(F.col("root") != F.col("main")).drop("main")
+        largest = stage(largest.select("token", F.col("m.root").alias("main")), "largest")
+        stray = meet.join(largest.hint("merge"), "token").where(F.col("root") != F.col("main")).drop("main")
         stray = stray.select("token", *(F.col(c).alias(f"s_{c}") for c in stray.columns if c != "token"))
         both = F.col("size") + F.col("s_size")
         apart = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"s_b{i}"))) for i in range(BITMAP)), F.lit(0))
@@ -268,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         named = components(links)
     classed = stage(nodes.select("node", "id").join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "classed")
     # the text of the smallest id stands for the class; a class without any id is stood for by its smallest key
-    best = classed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "node")).alias("best"), F.count(F.lit(1)).alias("class_texts"))
+    best = stage(classed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "node")).alias("best"), F.count(F.lit(1)).alias("class_texts")), "best")
     per_text = classed.join(best, "root").select(F.col("node").alias("_key"), F.col("best.id").alias("class_id"), (F.col("best.node") == F.col("node")).alias("stands"), "class_texts")
     result = signed.select("_id", "_key").join(per_text, "_key", "left")
     alone = F.col("_key").isNull()
