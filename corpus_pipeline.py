@@ -19,7 +19,8 @@ KEEP_FROM = 0.7
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the additive model, learned from the folder's labels, doesn't reject."""
     model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model, keep_from=KEEP_FROM, out="_score").drop("_score")
+    score = max([*docs.columns, "score"], key=len) + "_"  # a name that no column has
+    return score_quality(docs, model, keep_from=KEEP_FROM, out=score).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

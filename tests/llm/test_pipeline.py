@@ -44,3 +44,18 @@ def test_decisions_take_effect(spark, stages):
 def test_run_equals_the_stages(spark, stages):
     got = sorted(tuple(r) for r in cp.run(spark, SF).collect())
     assert got == sorted(tuple(r) for r in stages["tokens"][1].collect())
+
+
+def test_odd_rows_pass_through(spark):
+    rows = [(1, None, "en", "a", None), (1, None, "en", "a", None), (2, "", None, None, 0), (None, "some words here", "en", "a", 15), (3, "same", "en", "b", 4), (3, "same", "en", "b", 4)]
+    extra = ("_score", "_key", "_copies", "_id", "score", "c0")
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in extra:
+        frame = frame.withColumn(c, frame["lang"])
+    for name, step in cp.STAGES:
+        for docs in (frame, frame.limit(0)):
+            out = step(spark, docs, SF)
+            got = out.count()
+            assert (got == 0) == (docs is not frame) or name in ("quality", "mix")
+            if name != "tokens":
+                assert out.columns == frame.columns
