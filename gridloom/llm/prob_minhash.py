@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         largest = meet.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "root")).alias("m"), F.count(F.lit(1)).alias("classes")).where(F.col("classes") > 1)
         largest = stage(largest.select("token", F.col("m.root").alias("main")), "largest")
         stray = meet.join(largest.hint("merge"), "token").where(F.col("root") != F.col("main")).drop("main")
-        stray = stray.select("token", *(F.col(c).alias(f"s_{c}") for c in stray.columns if c != "token"))
+        stray = stage(stray.select("token", *(F.col(c).alias(f"s_{c}") for c in stray.columns if c != "token")), "strays").hint("merge")
         both = F.col("size") + F.col("s_size")
         apart = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"s_b{i}"))) for i in range(BITMAP)), F.lit(0))
         plain = (F.least("after", "s_after") >= threshold / (1 + threshold) * both - 1e-9) & (apart <= (1 - threshold) / (1 + threshold) * both + 1e-9)
