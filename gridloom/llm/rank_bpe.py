@@ -17,6 +17,7 @@ import heapq
 import json
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from gridloom.llm._shared import map_arrow, text_slices
 
 #: Bytes of the longest word that takes the scanned array.
 SHORT = 64
-#: Words that a worker's memory of encoded words holds; it is emptied when full.
-REMEMBERED = 150_000
+#: Words in each half of a worker's memory of encoded words.
+REMEMBERED = 250_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -74,6 +75,7 @@ class RankBpe:
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, tuple[int, bytes, bytes]] = {}
+        self.older: dict[str, tuple[int, bytes, bytes]] = {}
 
     def _slot(self, key: int) -> int:
         return ((key * 0x9E3779B97F4A7C15) & (2**64 - 1)) >> (64 - self.bits)
@@ -176,15 +178,16 @@ class RankBpe:
                     b = np.frombuffer(raw, np.uint8)
                     self._keep(w, self.merge_long([*self.inner[b[:-1]].tolist(), int(self.last[b[-1]])]))
                 continue
-            b = np.frombuffer(b"".join(raw for _, raw in pairs), np.uint8).reshape(len(pairs), width)
+            b = np.frombuffer(b"".join([raw for _, raw in pairs]), np.uint8).reshape(len(pairs), width)
             parts = self.inner[b]
             parts[:, -1] = self.last[b[:, -1]]
             merged, size = self.merge_rows(parts)
-            for (w, _), row, k in zip(pairs, merged.tolist(), size.tolist(), strict=True):
-                self._keep(w, row[:k])
+            raw, step, token, known = merged.astype("<u4").tobytes(), 4 * width, self.token, self.known
+            for i, ((w, _), row, k) in enumerate(zip(pairs, merged.tolist(), size.tolist(), strict=True)):
+                known[w] = k, raw[i * step : i * step + 4 * k], b" ".join([token[t] for t in row[:k]])
 
     def _keep(self, word: str, ids: list[int]) -> None:
-        self.known[word] = len(ids), np.array(ids, "<u4").tobytes(), b" ".join(map(self.token.__getitem__, ids))
+        self.known[word] = len(ids), np.array(ids, "<u4").tobytes(), b" ".join([self.token[i] for i in ids])
 
     def pieces(self, text: str) -> list[str]:
         """Words in order; a special token's string stands with a leading NUL, which no word of the pattern's kinds shares with it."""
@@ -202,17 +205,22 @@ class RankBpe:
 
     def encode(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
         """For each text: tokens, ids as little-endian 32-bit words, decoded bytes (tokens joined by a blank)."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if not self.known:
-            for s, i in self.special.items():
-                self.known["\0" + s] = 1, np.array([i], "<u4").tobytes(), s.encode()
         split = [self.pieces(t) for t in texts]
-        self.learn(list({w for words in split for w in words if w not in self.known}))
+        met = set(chain.from_iterable(split))
+        if len(self.known) > REMEMBERED:  # words that aren't met now go to the older half, whose own unmet words are forgotten
+            self.known, self.older = {}, self.known
+        if self.older:
+            self.known |= {w: self.older[w] for w in met.intersection(self.older).difference(self.known)}
+        for s, i in self.special.items():
+            self.known.setdefault("\0" + s, (1, np.array([i], "<u4").tobytes(), s.encode()))
+        self.learn(list(met.difference(self.known)))
         out = []
         for words in split:
-            got = [self.known[w] for w in words]
-            out.append((sum(g[0] for g in got), b"".join([g[1] for g in got]), b" ".join([g[2] for g in got])))
+            if words:
+                sizes, ids, decoded = zip(*map(self.known.__getitem__, words), strict=True)
+                out.append((sum(sizes), b"".join(ids), b" ".join(decoded)))
+            else:
+                out.append((0, b"", b""))
         return out
 
     def decode(self, ids: bytes) -> str:
