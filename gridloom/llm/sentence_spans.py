@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm._shared import map_arrow, stage, text_key, text_slices
+from gridloom.llm._shared import map_arrow, stage, text_key, text_slices, unstage
 
 MIN_WORDS, LONG_WORDS = 20, 50
 _BREAK = re.compile(rb"(?<=[.!?])[ \t\r\v\f]+|[ \t\r\v\f]*\n\s*")
@@ -82,8 +82,11 @@ def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     often = stage(hashed.select(F.explode("_spans.h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("h"), "often")
     each = hashed.select("_row", F.explode("_spans").alias("x")).select("_row", "x.*")
     repeated = stage(each.join(often, ["h"], "left_semi"), "repeated")
+    rows = stage(hashed.select("_row", "_id", "_key"), "rows")
+    unstage(hashed, often)
     place = F.struct(F.col("_id").isNull().alias("x"), "_id", "_key", "s")
-    placed = stage(repeated.join(hashed.select("_row", "_id", "_key"), "_row").select("h", "g", "e", "_id", "_key", "s"), "placed")
+    placed = stage(repeated.join(rows, "_row").select("h", "g", "e", "_id", "_key", "s"), "placed")
+    unstage(repeated, rows)
     first = placed.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last"))
     first = stage(first.select("h", "g", "first"), "first")  # so that both sides of the join are dealt anew, and a hot run's rows are split
     later = placed.join(first, ["h", "g"]).where(place != F.col("first"))
