@@ -1,8 +1,8 @@
 """Tool-call linking: join calls and results by identifier, order calls topologically, check arguments, canonical JSON.
 
 Calls and results meet in an equi-join on conversation and call id. A call's level is one more than the highest level of the
-calls it depends on; levels come in rounds over the calls not yet placed (as many rounds as the longest chain in a single
-conversation), each a join and a partial aggregation, so no conversation is gathered in one task. Arguments are parsed as
+calls it depends on; levels come from doubled pointers along chains and rounds over the calls with several dependencies, all
+joins and partial aggregations, so no conversation is gathered in one task. Arguments are parsed as
 variants: object keys come out sorted at every depth, and numbers in one form, which makes the JSON canonical.
 
 Defined results. Null or unparsable arguments: ``valid`` is false, the canonical arguments are null. A tool without a schema:
@@ -42,27 +42,55 @@ def valid_arguments(name: Column, arguments: Column, schemas: dict[str, Schema])
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """``conv``, ``id``, ``level`` of distinct calls (conv, id, deps array of ids); null where a cycle keeps them waiting."""
+    """``conv``, ``id``, ``level`` of distinct calls (conv, id, deps array of ids); null where a cycle keeps them waiting.
+
+    Calls with one dependency are pointed at it, and pointers are doubled until they reach a call with none or with several:
+    a chain of n calls takes log n rounds. What is left are the calls with several dependencies, placed in rounds on top of
+    the chains between them, as many as the longest run of such calls.
+    """
+    key = ["conv", "id"]
     nodes = calls.where(F.col("conv").isNotNull() & F.col("id").isNotNull())
-    edges = nodes.select("conv", "id", F.explode("deps").alias("dep")).where(F.col("dep") != F.col("id")).distinct()
-    ids = stage(nodes.select("conv", "id").distinct(), "call-ids")
+    ids = stage(nodes.select(*key).distinct(), "call-ids")
+    edges = nodes.select(*key, F.explode("deps").alias("dep")).where(F.col("dep") != F.col("id")).distinct()
     edges = stage(edges.join(ids.withColumnRenamed("id", "dep"), ["conv", "dep"]), "call-edges")
-    waits = edges.groupBy("conv", "id").agg(F.count(F.lit(1)).alias("waits"))
-    state = stage(ids.join(waits, ["conv", "id"], "left").withColumn("waits", F.coalesce("waits", F.lit(0))), "call-state")
-    placed, level = [], 0
-    while True:
-        ready = state.where(F.col("waits") == 0).select("conv", "id", F.lit(level).cast("int").alias("level"))
-        if ready.isEmpty():
+    counted = stage(ids.join(edges.groupBy(*key).agg(F.count(F.lit(1)).alias("waits")), key, "left").withColumn("waits", F.coalesce("waits", F.lit(0))), "call-waits")
+    single = counted.where(F.col("waits") == 1).select(*key)
+    ends = counted.select("conv", F.col("id").alias("dep"), (F.col("waits") != 1).alias("ends"))
+    open_rows = stage(edges.join(single, key).join(ends, ["conv", "dep"]).select(*key, F.col("dep").alias("to"), F.lit(1).cast("long").alias("far"), "ends"), "chains")
+    done = [open_rows.where("ends")]
+    open_rows = open_rows.where(~F.col("ends"))
+    longest = single.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(longest.bit_length() + 1):  # more rounds than that need a cycle
+        if open_rows.isEmpty():
             break
-        placed.append(ready)
-        waiting = state.where(F.col("waits") > 0)
-        met = edges.join(ready.select("conv", F.col("id").alias("dep")), ["conv", "dep"]).groupBy("conv", "id").agg(F.count(F.lit(1)).alias("met"))
-        state = stage(waiting.join(met, ["conv", "id"], "left").select("conv", "id", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits")), "call-state")
-        level += 1
-    out = state.select("conv", "id", F.lit(None).cast("int").alias("level"))
-    for p in placed:
-        out = out.union(p)
-    return out
+        every = open_rows
+        for d in done:
+            every = every.union(d)
+        jump = every.select("conv", F.col("id").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"), F.col("ends").alias("stops"))
+        moved = stage(open_rows.join(jump, ["conv", "to"]).select(*key, F.col("next").alias("to"), (F.col("far") + F.col("more")).alias("far"), F.col("stops").alias("ends")), "chains")
+        done.append(moved.where("ends"))
+        open_rows = moved.where(~F.col("ends"))
+    chained = counted.where(F.col("waits") != 1).select(*key, F.col("id").alias("to"), F.lit(0).cast("long").alias("far"))
+    for d in done:
+        chained = chained.union(d.select(*key, "to", "far"))
+    chained = stage(chained, "chained")
+    base = stage(counted.where(F.col("waits") == 0).select("conv", F.col("id").alias("to"), F.lit(0).cast("long").alias("base")), "roots")
+    several = counted.where(F.col("waits") > 1)
+    placed = [base]
+    if not several.isEmpty():
+        over = stage(edges.join(several.select(*key), key).join(chained.withColumnRenamed("id", "dep"), ["conv", "dep"]).select(*key, "to", "far"), "forks")
+        state, ready = stage(several.withColumn("top", F.lit(0).cast("long")), "fork-state"), base
+        while not ready.isEmpty():
+            met = over.join(ready, ["conv", "to"]).groupBy(*key).agg(F.count(F.lit(1)).alias("met"), F.max(F.col("base") + F.col("far") + 1).alias("high"))
+            state = stage(state.join(met, key, "left").select(*key, (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits"), F.greatest("top", F.coalesce("high", F.lit(0))).alias("top")), "fork-state")
+            ready = state.where(F.col("waits") == 0).select("conv", F.col("id").alias("to"), F.col("top").alias("base"))
+            placed.append(ready)
+            state = state.where(F.col("waits") > 0)
+    known = placed[0]
+    for p in placed[1:]:
+        known = known.union(p)
+    placed_calls = chained.join(known, ["conv", "to"]).select(*key, (F.col("base") + F.col("far")).cast("int").alias("level"))
+    return ids.join(placed_calls, key, "left")
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) -> DataFrame:

@@ -208,6 +208,26 @@ def test_tool_links(spark):
     assert got == [("1:0", 0, True, True), ("1:0", 0, True, True), ("1:2", 1, False, False), ("1:4", 2, False, True)]
 
 
+def test_levels_brute(spark):
+    rng = np.random.default_rng(8)
+    rows = [("chain", str(i), [str(i - 1)] if i else []) for i in range(300)]
+    for g in range(12):
+        n = 25
+        for i in range(n):
+            k = int(rng.integers(0, 4))
+            deps = [str(int(x)) for x in rng.choice(n, k, replace=False) if x < i or (g % 3 == 0 and rng.random() < 0.1)]
+            rows.append((f"g{g}", str(i), [*deps, "gone"] if i % 5 == 0 else deps))
+    want = {}
+    graph = {(c, i): [d for d in deps if d != i and any(r[0] == c and r[1] == d for r in rows)] for c, i, deps in rows}
+    while True:
+        ready = {k: 1 + max((want[k[0], d] for d in deps), default=-1) for k, deps in graph.items() if k not in want and all((k[0], d) in want for d in deps)}
+        if not ready:
+            break
+        want |= ready
+    got = {(r["conv"], r["id"]): r["level"] for r in tools.levels(spark.createDataFrame(rows, "conv string, id string, deps array<string>")).collect()}
+    assert got == {k: want.get(k) for k in graph}
+
+
 # 4 -------------------------------------------------------------------------------------------------------------------
 
 
