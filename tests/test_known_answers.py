@@ -242,9 +242,9 @@ def test_boosting(spark):
     for loss in ("l1", "huber", "quantile", "poisson", "log_l2"):
         data = rows.withColumn("y", F.abs("y") + F.col("z")) if loss in ("poisson", "log_l2") else rows
         assert bo.fit(data, ["x", "z"], "y", bo.BoostSpec(rounds=2, depth=1, min_leaf=5, loss=loss)).transform(data).count() == 100
-    p = bo.fit(rows, ["x"], "b", bo.BoostSpec(rounds=8, rate=0.5, depth=1, min_leaf=5, loss="logistic")).transform(rows)
+    p = bo.fit(rows, ["x"], "b", bo.BoostSpec(rounds=8, rate=0.5, depth=1, min_leaf=5, bins=128, loss="logistic")).transform(rows)
     assert p.where((F.col("prediction") > 0.5) != (F.col("b") == 1)).count() == 0
-    classes = bo.fit_classes(rows.withColumn("c", F.when(F.col("x") < 50, "lo").otherwise("hi")), ["x"], "c", bo.BoostSpec(rounds=3, depth=1, min_leaf=5)).transform(rows)
+    classes = bo.fit_classes(rows.withColumn("c", F.when(F.col("x") < 50, "lo").otherwise("hi")), ["x"], "c", bo.BoostSpec(rounds=3, depth=1, min_leaf=5, bins=128)).transform(rows)
     assert classes.where((F.col("prediction") == "lo") != (F.col("x") < 50)).count() == 0
     ranker = bo.fit_ranker(rows.withColumn("rel", F.col("z")), ["z", "x"], "rel", "q", "id", bo.BoostSpec(rounds=3, depth=2, min_leaf=5))
     assert me.ndcg(ranker.transform(rows), "q", "z", "prediction", "id").agg(F.avg("ndcg")).first()[0] > 0.95
