@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a side that may be broadcast: narrow rows (ids and a few numbers), so at most some 30 MB.
 BROADCAST_ROWS = 400_000
+#: Rows of an Arrow batch of texts at most: some 3 MB of ordinary documents, so that a batch with long texts stays small too.
+BATCH_ROWS = 1000
 #: Bytes of text that one slice of an Arrow batch holds; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 _U = np.uint64
@@ -43,10 +45,14 @@ def unstage(*tables: DataFrame) -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``mapInArrow`` whose workers find this package where the driver's copy lies, if it isn't installed for them."""
+    """``mapInArrow`` over batches of at most BATCH_ROWS rows (the session's setting is lowered to it if it is higher), whose
+    workers find this package where the driver's copy lies, if it isn't installed for them."""
     root, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = f"{env['PYTHONPATH']}:{root}" if env.get("PYTHONPATH") else root
+    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(rows, "10000")) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
 
 
