@@ -495,6 +495,18 @@ def test_sentence_spans(spark, docs, empty):
     assert spans.cut_repeats(docs).count() == docs.count() and spans.cut_repeats(empty).count() == 0
 
 
+def test_one_whole_sentence_between_glued_ends(spark):
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    whole, short = words("whole", 47) + ".", words("few", 19) + "."
+    rows = [
+        (1, f"{words('own', 9)}. {words('head', 6)}. {whole} {words('tail', 5)}."), (2, f"no stop before {words('head', 6)}. {whole} {words('tail', 5)} nor behind"),
+        (3, f"other glue {words('head', 6)}. {whole}\nAn end."), (4, f"one more {short} and so on"), (5, f"yet more.\n{short}\nlast"), (6, f"first.\n{short}\nother"),
+    ]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in spans.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (rows[0][1], 0) and [got[i][1] for i in (2, 3)] == [1, 1] and all("whole" not in got[i][0] and "head5" in got[i][0] for i in (2, 3))
+    assert all(got[i] == (rows[i - 1][1], 0) for i in (4, 5, 6))  # 19 words are no run
+
+
 # all -----------------------------------------------------------------------------------------------------------------
 
 
