@@ -395,8 +395,13 @@ def mirrored_edges(spark, sf_dir):
 
 
 def _nation_edges(spark, sf_dir):
-    c, s = table(spark, sf_dir, "customer").where(F.col("c_custkey") <= 300), table(spark, sf_dir, "supplier")
-    return c.join(s, F.col("c_custkey") % 100 == F.col("s_suppkey") % 100).select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
+    """Nations of customers and suppliers alike in key mod 100, over whole tables (the SQL of the queries stops at customer 300).
+
+    Both sides are reduced to (nation, remainder) first, so the join doesn't grow with the tables.
+    """
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("src"), (F.col("c_custkey") % 100).alias("k")).distinct()
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("dst"), (F.col("s_suppkey") % 100).alias("k")).distinct()
+    return c.join(s, "k").select("src", "dst").distinct()
 
 
 @query("""with e as (select distinct c_nationkey as src, s_nationkey as dst from customer join supplier on c_custkey % 100 = s_suppkey % 100 where c_custkey <= 300), p as (select src::varchar as s, dst::varchar as d, 'pair:' || src || ':' || dst as m from e)
@@ -407,7 +412,7 @@ def pair_node_edges(spark, sf_dir):
 
 @query("""with o as (select o_orderkey, o_custkey from orders where o_orderkey < 4000), a as (select o_custkey as src, l_suppkey as mid from o join lineitem on l_orderkey = o_orderkey), b as (select s_suppkey as mid, s_nationkey as dst from supplier) select src, mid, dst, count(*) as n from a join b using (mid) group by all""")
 def two_hop_paths(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") < 4000)
+    o = table(spark, sf_dir, "orders")  # all orders: the SQL stops at key 4000
     a = o.join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit("buys").alias("rel"))
     b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"), F.col("s_nationkey").cast("bigint").alias("dst"), F.lit("in").alias("rel"))
     return gr.two_hop(a.union(b), "buys", "in").select("src", "mid", F.col("dst").cast("int").alias("dst"), "n")
@@ -433,8 +438,13 @@ def _vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
+def _n_vectors(spark, sf_dir):
+    """The modulus of targets, so that any vector can be one (the SQL of the queries has 500, the size of the small tables)."""
+    return max(table(spark, sf_dir, "embeddings").count(), 1)
+
+
 def _links(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("src"), ((F.col("vec_id") * 7 + 3) % 500).alias("dst"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("src"), ((F.col("vec_id") * 7 + 3) % _n_vectors(spark, sf_dir)).alias("dst"))
 
 
 @query(f"""with {_LINKS} select src, dst, round(1 / (1 + exp(-list_inner_product(a.embedding::double[], b.embedding::double[]))), 6) as score from links join embeddings a on a.vec_id = src join embeddings b on b.vec_id = dst""")
@@ -455,7 +465,7 @@ def aggregation_layer(spark, sf_dir):
 def cosine_table(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     other = v.select(F.col("id").alias("j"), F.col("vec").alias("w"))
-    return rounded(v.join(other, (F.col("id") + 1) % 500 == F.col("j")).select("id", pr.cosine(F.col("vec"), F.col("w")).alias("cosine")))
+    return rounded(v.join(other, (F.col("id") + 1) % _n_vectors(spark, sf_dir) == F.col("j")).select("id", pr.cosine(F.col("vec"), F.col("w")).alias("cosine")))
 
 
 @query()

@@ -10,12 +10,20 @@ from test_queries_sql import TABLES, plain
 from gridloom.plans import catalog
 
 USERS = r" where user_id <= 40"
+CUSTOMERS = r" where c_custkey <= 300"
+VECTORS = (r"% 500\b", "% (select count(*) from embeddings)")
 #: By query: the tables, and what of its SQL is replaced by what.
 WHOLE = {
     "rank_bucket_table": ("sf0.01", USERS, ""),
     "rank_hit_rates": ("sf0.01", USERS, ""),
     "rank_calibration": ("sf0.01", USERS, ""),
     "extreme_portfolio": ("sf0.01", USERS, ""),
+    "mirrored_edges": ("sf0.01", CUSTOMERS, ""),
+    "pair_node_edges": ("sf0.01", CUSTOMERS, ""),
+    "two_hop_paths": ("sf0.01", r" where o_orderkey < 4000", ""),
+    "link_score_table": ("sf0.1", *VECTORS),
+    "aggregation_layer": ("sf0.1", *VECTORS),
+    "cosine_table": ("sf0.1", *VECTORS),
 }
 
 
