@@ -10,6 +10,7 @@ from test_queries_sql import TABLES, plain
 from gridloom.plans import catalog
 
 USERS = r" where user_id <= 40"
+SUPPLIERS = r" and l_suppkey <= 12"
 CUSTOMERS = r" where c_custkey <= 300"
 VECTORS = (r"% 500\b", "% (select count(*) from embeddings)")
 #: By query: the tables, and what of its SQL is replaced by what.
@@ -24,9 +25,18 @@ WHOLE = {
     "link_score_table": ("sf0.1", *VECTORS),
     "aggregation_layer": ("sf0.1", *VECTORS),
     "cosine_table": ("sf0.1", *VECTORS),
+    "panel_diagnostics": ("sf0.01", SUPPLIERS, ""),
+    "intermittent_levels": ("sf0.01", SUPPLIERS, ""),
+    "tsb_levels": ("sf0.01", SUPPLIERS, ""),
 }
 
 
+def test_every_supplier_gets_a_model(spark):
+    sf = "/root/testdata/sf0.01"
+    want = {str(r[0]) for r in spark.read.parquet(f"{sf}/lineitem.parquet").where("l_returnflag = 'R'").select("l_suppkey").distinct().collect()}
+    assert len(want) > 13 and {str(r["series_id"]) for r in catalog.QUERIES["intermittent_selection"](spark, sf).collect()} == want
+
+
 @pytest.mark.parametrize("name", WHOLE)
 def test_matches_sql_without_bound(spark, name):
     sf, bound, whole = WHOLE[name]
