@@ -115,10 +115,11 @@ def link_scores(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def negative_edges(edges: DataFrame, nodes: DataFrame, per_edge: int = 1, seed: int = 7, oversample: int = 4) -> DataFrame:
-    """(src, dst, negative): seeded targets that the source has no edge to.
+    """(src, dst, negative): seeded targets that the source has no edge to, ``per_edge`` an edge or all there are.
 
     Candidates are drawn per edge from the numbered nodes and those that are edges are dropped by an anti join, so the
-    node set is never crossed with the edges. A source that is linked to all nodes yields none.
+    node set is never crossed with the edges. Edges that are left with too few draw ranks among the source's unlinked nodes
+    instead. A source that is linked to all nodes yields none.
     """
     numbered = nodes.select("node").distinct().withColumn("k", F.row_number().over(Window.orderBy("node")) - 1)
     n = numbered.count()
@@ -128,7 +129,25 @@ def negative_edges(edges: DataFrame, nodes: DataFrame, per_edge: int = 1, seed:
     drawn = tries.join(numbered, "k").select("src", "dst", "try", F.col("node").alias("negative"))
     free = drawn.join(e.select("src", F.col("dst").alias("negative")), ["src", "negative"], "left_anti").dropDuplicates(["src", "dst", "negative"])
     kept = F.row_number().over(Window.partitionBy("src", "dst").orderBy("try"))
-    return free.withColumn("_r", kept).where(F.col("_r") <= per_edge).select("src", "dst", "negative")
+    found = free.withColumn("_r", kept).where(F.col("_r") <= per_edge).select("src", "dst", "negative")
+    linked = e.join(numbered.select(F.col("node").alias("dst"), "k"), "dst").select("src", F.col("k").cast("long").alias("k"))
+    room = linked.groupBy("src").agg((F.lit(n) - F.count(F.lit(1))).alias("_room"))
+    got = found.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("_got"))
+    short = e.join(got, ["src", "dst"], "left").join(room, "src", "left").withColumn("_room", F.coalesce("_room", F.lit(n))).withColumn("_want", F.least("_room", F.lit(per_edge)))
+    short = short.where(F.coalesce("_got", F.lit(0)) < F.col("_want")).select("src", "dst", "_room", "_want")
+    # one rank in each of as many equal parts of the unlinked nodes, turned by a draw of the edge: distinct, and any can be met
+    ranks = short.withColumn("_j", F.explode(F.sequence(F.lit(0), (F.col("_want") - 1).cast("int"))))
+    low, high = F.floor(F.col("_j") * F.col("_room") / F.col("_want")), F.floor((F.col("_j") + 1) * F.col("_room") / F.col("_want"))
+    at = low + F.floor(unit_draw(seed + 1, F.col("src"), F.col("dst"), F.col("_j")) * (high - low)) + F.floor(unit_draw(seed + 2, F.col("src"), F.col("dst")) * F.col("_room"))
+    ranks = ranks.select("src", "dst", F.pmod(at, F.col("_room")).alias("_at"), F.lit(1).alias("_kind"), F.lit(0).alias("_behind"))
+    # the unlinked node of a rank has that code plus the number of linked codes before it
+    place = F.row_number().over(Window.partitionBy("src").orderBy("k"))
+    steps = linked.join(short.select("src").distinct(), "src", "left_semi").withColumn("_behind", place)
+    steps = steps.select("src", F.lit(None).cast(e.schema["dst"].dataType).alias("dst"), (F.col("k") - F.col("_behind") + 1).alias("_at"), F.lit(0).alias("_kind"), "_behind")
+    so_far = Window.partitionBy("src").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = steps.unionByName(ranks).withColumn("k", F.col("_at") + F.max("_behind").over(so_far)).where(F.col("_kind") == 1)
+    filled = filled.join(numbered, "k").select("src", "dst", F.col("node").alias("negative"))
+    return found.join(short, ["src", "dst"], "left_anti").unionByName(filled)
 
 
 def weighted_step(edges: DataFrame, at: DataFrame, draw: Column, key: Sequence[str]) -> DataFrame:

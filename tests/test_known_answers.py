@@ -269,6 +269,19 @@ def test_graph(spark):
     assert {r["id"]: r["vec"] for r in gr.embedding_lookup(rows, table, neighbours=near, dim=2).collect()} == {1: [1, 0], 9: [0.5, 0.5], 8: [0, 0]}
 
 
+def test_negatives_of_dense_sources(spark):
+    nodes = spark.createDataFrame([(i * 3,) for i in range(25)], "node long")
+    degree = {0: 23, 3: 24, 6: 25, 9: 1, 12: 12}
+    links = {s: {(s * 5 + i * 7) % 25 * 3 for i in range(d)} for s, d in degree.items()}
+    edges = spark.createDataFrame([(s, t) for s, ts in links.items() for t in ts] + [(9, 1000)], "src long, dst long")
+    got = {}
+    for r in gr.negative_edges(edges, nodes, 2).collect():
+        got.setdefault((r["src"], r["dst"]), []).append(r["negative"])
+    assert all(len(set(v)) == len(v) and not set(v) & links[s] and all(x % 3 == 0 and x < 75 for x in v) for (s, _), v in got.items())
+    assert {k: len(v) for k, v in got.items()} == {(s, t): min(2, 25 - degree[s]) for s, ts in (links | {9: links[9] | {1000}}).items() for t in ts if degree[s] < 25}
+    assert {x for (s, _), v in got.items() if s == 12 for x in v} <= {n * 3 for n in range(25)} - links[12]
+
+
 def test_folds(spark):
     p = spark.createDataFrame([(i, float(i % 10), float(i // 10), i % 7) for i in range(100)], "id long, x double, y double, g int")
     by = fo.grouped_folds(p, "g", 3)
