@@ -339,6 +339,16 @@ def test_secrets(spark, docs, empty):
     assert out[4][0]["spans"] == "owned:4:29" and out[5][0]["spans"] == "" and out[4][0]["n_live"] == 1
 
 
+def test_secrets_of_any_length(spark):
+    tokens = {n: ("aB3dE5gH7jK9mN1pQ3sT5vW7x" * (n // 25 + 1))[:n] for n in (19, 20, 200, 201, 5000)}
+    rows = [(n, f"key {t} here", "en", "a", len(t) + 9) for n, t in tokens.items()]
+    frame = spark.createDataFrame(rows, DOCS)
+    spanned = {r["doc_id"]: r["spans"] for r in sec.digest(sec.secret_scan(frame)).collect()}
+    assert spanned == {n: f"owned:4:{4 + n}" if n >= 20 else "" for n in tokens}
+    clean = {r["doc_id"]: r["text"] for r in sec.redact(frame).collect()}
+    assert clean == {n: "key <SECRET> here" if n >= 20 else f"key {t} here" for n, t in tokens.items()}
+
+
 def test_redaction(spark, docs):
     frame = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in SECRETS], DOCS).withColumn("_key", F.lit("k"))
     clean = {r["doc_id"]: r for r in sec.redact(frame).collect()}
