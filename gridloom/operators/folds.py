@@ -2,32 +2,67 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Blocks or groups that the greedy balance takes to the driver; beyond it they are dealt by hash.
-MAX_GROUPS = 100_000
+def _deal(counts: Sequence[tuple[int, int]], folds: int) -> list[tuple[int, int, int, list[int]]]:
+    """(size, first, behind, order) for (size, number of groups) by falling size: the groups of these places, counted over all
+    sizes, go to the folds of ``order`` in turn.
+
+    Groups of one size fill the smallest folds in rounds, the same folds in the same order until the next fold is as small, so
+    a size has at most ``folds`` entries however many groups it has.
+    """
+    load, at, out = [0] * folds, 0, []
+    for size, n in counts:
+        end = at + n
+        while at < end:
+            by = sorted(range(folds), key=lambda i: (load[i], i))
+            low = by[0]
+            order = [i for i in by if (load[i], i) < (load[low] + size, low)]
+            left = end - at
+            if len(order) < folds:
+                i = by[len(order)]
+                far = load[i] - load[low]
+                rounds = far // size - (far % size == 0 and i < low)
+                left = min(left, rounds * len(order))
+            for k, i in enumerate(order):
+                load[i] += size * (left // len(order) + (k < left % len(order)))
+            out.append((size, at, at + left, order))
+            at += left
+    return out
+
+
+def _staged(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again, so that row numbers stay."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    path = f"{base.rstrip('/')}/gridloom-{spark.sparkContext.applicationId}/folds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def balanced(rows: DataFrame, group: str, folds: int) -> DataFrame:
     """``fold`` by group: largest group first into the smallest fold (ties: the group's value, the fold's number).
 
-    The table of group sizes goes to the driver if it is counted to hold at most MAX_GROUPS rows; more groups are so many
-    that a hash balances them.
+    Only the number of groups of each size goes to the driver (distinct sizes, at most the root of twice the rows). A group's
+    place comes from a range sort and the numbers of groups in the parts before, so no task holds all groups.
     """
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    if sizes.limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
-        return rows.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)).cast("int"))
-    load, places = [0] * folds, []
-    for r in sizes.orderBy(F.col("n").desc(), group).collect():
-        f = min(range(folds), key=lambda i: (load[i], i))
-        load[f] += r["n"]
-        places.append((r[group], f))
-    kind = rows.schema[group].dataType.simpleString()
-    table = rows.sparkSession.createDataFrame(places, f"_g {kind}, fold int")
-    return rows.join(F.broadcast(table), F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
+    by = [F.col("n").desc(), F.col("_g")]
+    sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("n"))
+    parts = _staged(sizes.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    counts = [(r["n"], r["c"]) for r in parts.groupBy("n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.col("n").desc()).collect()]
+    part = F.shiftright("_at", 33)
+    first = parts.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_c"))
+    before = first.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    placed = parts.withColumn("_part", part).join(F.broadcast(before), "_part").select("_g", "n", (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("_place"))
+    dealt = rows.sparkSession.createDataFrame(_deal(counts, folds), "n long, _first long, _behind long, _order array<int>")
+    here = (placed["n"] == dealt["n"]) & (F.col("_place") >= F.col("_first")) & (F.col("_place") < F.col("_behind"))
+    turn = F.get("_order", F.pmod(F.col("_place") - F.col("_first"), F.size("_order")).cast("int"))
+    table = placed.join(F.broadcast(dealt), here).select("_g", turn.alias("fold"))
+    return rows.join(table, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
 
 
 def grouped_folds(rows: DataFrame, group: str, folds: int = 5) -> DataFrame:

@@ -296,6 +296,37 @@ def test_folds(spark):
     assert fo.environmental_folds(p, ["x", "y"], 2).select("fold").distinct().count() == 2
 
 
+def greedy(sizes, folds):
+    load, out = [0] * folds, []
+    for n in sizes:
+        f = min(range(folds), key=lambda i: (load[i], i))
+        load[f] += n
+        out.append(f)
+    return out
+
+
+def test_dealt_folds_are_greedy():
+    rng = np.random.default_rng(3)
+    for trial in range(400):
+        folds, kinds = int(rng.integers(1, 7)), int(rng.integers(1, 7))
+        counts = sorted({int(s): int(rng.integers(1, 60)) for s in rng.integers(1, [4, 40, 900][trial % 3], kinds)}.items(), reverse=True)
+        got = [order[k % len(order)] for _, a, b, order in fo._deal(counts, folds) for k in range(b - a)]
+        assert got == greedy([s for s, n in counts for _ in range(n)], folds)
+        assert len(fo._deal(counts, folds)) <= folds * len(counts)
+
+
+def test_folds_of_many_groups(spark):
+    n = 100_001  # the greedy balance ended at 100,000 groups; one group here holds a third of all rows
+    rows = spark.range(n).select(F.col("id").alias("g")).union(spark.range(n // 2).select(F.lit(77).cast("long").alias("g")))
+    rows = rows.union(spark.createDataFrame([(None,), (None,), (5,)], "g long"))
+    got = fo.grouped_folds(rows, "g", 5)
+    table = {r["g"]: r["fold"] for r in got.select("g", "fold").distinct().collect()}
+    size = {g: 1 for g in range(n)} | {77: 1 + n // 2, 5: 2, None: 2}
+    order = sorted(size, key=lambda g: (-size[g], g is not None, g or 0))
+    assert table == dict(zip(order, greedy([size[g] for g in order], 5), strict=True)) and got.count() == rows.count()
+    assert fo.grouped_folds(rows.limit(0), "g", 5).count() == 0
+
+
 def test_portfolio(spark):
     rows = spark.createDataFrame([(f"s{i}", float(i), 0.01 * i) for i in range(10)], "id string, score double, ret double")
     d = {r["id"]: r["weight"] for r in ra.extreme_decisions(rows, "score", "id").collect()}
