@@ -76,8 +76,11 @@ def apportion(parties: DataFrame, claim: str, house: Column, group: list[str], o
     shared = parties.withColumn("_house", house).withColumn("_all", F.sum(claim).over(w)).withColumn("_share", F.when(F.col("_all") > 0, F.col(claim) * F.col("_house") / F.col("_all")).otherwise(0.0))
     seated = shared.withColumn("_seats", F.floor(F.col("_share") + 0.5)).withColumn("_gap", F.when(F.col("_all") > 0, F.col("_house") - F.sum("_seats").over(w)).otherwise(F.lit(0)))
     seated = seated.withColumn("_party", F.row_number().over(w.orderBy(*(F.col(n) for n in names))))
-    # a party can win or lose at most its part of the gap, and one
-    most = F.least(F.abs("_gap"), F.ceil(F.abs("_gap") * F.col("_share") / F.greatest("_house", F.lit(1))) + 1).cast("int")
+    # each rounding is off by half a seat at most, so shares scaled by 1 + n / (2 house) round to the house or more, those scaled
+    # by 1 - n / (2 house) to the house or less: a party wins or loses at most share * n / (2 house), rounded up
+    claims = F.sum((F.col("_share") > 0).cast("long")).over(w)
+    seated = seated.withColumn("_claims", claims)
+    most = F.least(F.abs("_gap"), F.ceil(F.col("_claims") * F.col("_share") / (2 * F.greatest("_house", F.lit(1)))) + 1).cast("int")
     offers = seated.where((F.col("_gap") != 0) & (F.col("_all") > 0)).select(*group, "_party", "_seats", "_share", "_gap", F.explode(F.sequence(F.lit(0), most)).alias("_k")).where(F.col("_k") < most)
     up = F.col("_share") / (2 * (F.col("_seats") + F.col("_k")) + 1)
     down = F.col("_share") / (2 * (F.col("_seats") - F.col("_k")) - 1)

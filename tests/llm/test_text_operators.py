@@ -306,6 +306,20 @@ def test_mix(docs, empty, spark):
     assert abs(mixed.select(F.sum(mix.word_count("text"))).first()[0] / (1.5 * sum(size.values())) - 1) < 0.5
 
 
+def test_apportion_many_tiny_claims(spark):
+    def quotients(claims, house):
+        seats = [0] * len(claims)
+        for _ in range(house):
+            seats[max(range(len(claims)), key=lambda i: (claims[i] / (2 * seats[i] + 1), -i))] += 1
+        return seats
+
+    odd = [1000.0 + 7 * i for i in range(40)]
+    for claims, house in (([50.0] + [0.1 + i * 1e-6 for i in range(500)], 100), ([50.0] + [0.6 + i * 1e-6 for i in range(300)], 230), ([500.0, 300.0] + [1.01 + i * 1e-5 for i in range(60)], 500), (odd, 997), ([3.1, 1.0, 0.0], 2)):
+        parties = spark.createDataFrame([(i, float(c)) for i, c in enumerate(claims)], "i int, c double")
+        got = {r["i"]: r["seats"] for r in mix.apportion(parties, "c", F.lit(house).cast("long"), [], "seats").collect()}
+        assert [got[i] for i in range(len(claims))] == quotients(claims, house)
+
+
 # 6 -------------------------------------------------------------------------------------------------------------------
 
 
