@@ -1,11 +1,12 @@
-"""Substring dedup by sliding sentence spans: hash runs of consecutive sentences, join them globally, cut repeated ones.
+"""Substring dedup by sliding sentence spans: hash every run of consecutive sentences, join them globally, cut repeated ones.
 
-A sentence ends at ``.``, ``!`` or ``?`` before a blank, or at a line's end; its words, joined by single blanks, are what is
-compared. From each sentence on, and up to each sentence, the shortest run of several (two or more) sentences with
-``min_words`` words is hashed to 128 bits; a sentence of ``min_words`` words is a run by itself. So of a repeated passage all
-sentences that are whole in both places are covered, if they hold ``min_words`` words together; a first or last sentence that
-is glued to the text around it is another sentence, and stays. The first place of a run, by doc_id and position, stays;
-sentences that any other place covers are cut.
+A sentence ends at ``.``, ``!`` or ``?`` before a blank, or at a line's end; a piece of fewer than ``PIECE_WORDS`` words (an
+abbreviation, a list mark, a heading of a word) belongs to the sentence that follows it. The words of a sentence, joined by
+single blanks, are what is compared. Every run of ``span`` consecutive sentences is hashed to 128 bits, whatever its number of
+words, so that a repeated passage of ``span`` or more sentences that are whole in both places is covered from its first to its
+last. A passage whose ends are glued to the text around it has fewer whole sentences than that; so every shorter run, down to a
+single sentence, is hashed too where it holds ``long_words`` words (None: only runs of ``span`` sentences are). The first place
+of a run, by doc_id and position, stays; sentences that any other place covers are cut.
 
 Defined results. Null text: null comes back, no sentences. Empty text: empty, no sentences. Null doc_id: comes after all
 others in the order. Rows that repeat both doc_id and text are one document and get the same result, each. Repeats inside a
@@ -25,7 +26,8 @@ from pyspark.sql import types as T
 
 from gridloom.llm._shared import map_arrow, stage, text_key, text_slices, unstage
 
-MIN_WORDS = 20
+#: Sentences of a run, words from which on a shorter run counts as well, and words of the shortest sentence of its own.
+SPAN, LONG_WORDS, PIECE_WORDS = 3, 20, 3
 _BREAK = re.compile(rb"(?<=[.!?])[ \t\r\v\f]+|[ \t\r\v\f]*\n\s*")
 
 
@@ -34,36 +36,33 @@ def sentences(text: bytes | None) -> list[bytes]:
     if not text:
         return []
     cuts = [m.end() for m in _BREAK.finditer(text)]
-    pieces = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-    return [p for p in pieces if p]
+    out, start = [], 0
+    for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True):
+        if len(text[a:b].split(None, PIECE_WORDS - 1)) >= PIECE_WORDS:
+            out.append(text[start:b])
+            start = b
+    return [*out, text[start:]] if start < len(text) else out
 
 
-def runs(text: bytes | None, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(text: bytes | None, span: int = SPAN, long_words: int | None = LONG_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First sentence, the one behind the last, and two hash words (a row each) of every run of a text."""
     words = [p.split() for p in sentences(text)]
-    n = len(words)
-    if not n:
-        return np.empty(0, np.int32), np.empty(0, np.int32), np.empty((0, 2), np.int64)
     total = np.cumsum([0, *map(len, words)])
-    at = np.arange(n)
-    end = np.maximum(np.searchsorted(total, total[:-1] + min_words), at + 2)
-    begin = np.minimum(np.searchsorted(total, total[1:] - min_words, "right") - 1, at - 1)
-    spans = {(s, e) for s, e in zip(at.tolist(), end.tolist(), strict=True) if e <= n}
-    spans |= {(s, e + 1) for s, e in zip(begin.tolist(), at.tolist(), strict=True) if s >= 0}
-    spans |= {(i, i + 1) for i in np.flatnonzero(np.diff(total) >= min_words).tolist()}
+    spans = [(i, i + span) for i in range(len(words) - span + 1)]
+    for k in range(1, span if long_words is not None else 1):
+        spans += [(i, i + k) for i in np.flatnonzero(total[k:] - total[:-k] >= long_words).tolist()]
     if not spans:
         return np.empty(0, np.int32), np.empty(0, np.int32), np.empty((0, 2), np.int64)
     one = [blake2b(b" ".join(w), digest_size=16).digest() for w in words]
-    order = sorted(spans)
-    code = b"".join([blake2b(b"".join(one[s:e]), digest_size=16).digest() for s, e in order])
-    s, e = np.array(order, np.int32).T
+    code = b"".join([blake2b(b"".join(one[s:e]), digest_size=16).digest() for s, e in spans])
+    s, e = np.array(spans, np.int32).T
     return s, e, np.frombuffer(code, np.int64).reshape(-1, 2)
 
 
-def _hashed(min_words: int):
+def _hashed(span: int, long_words: int | None):
     def run(batches):
         for rows, texts in text_slices(batches, "_text"):
-            parts = [runs(t, min_words) for t in texts.to_pylist()]
+            parts = [runs(t, span, long_words) for t in texts.to_pylist()]
             offsets = pa.array(np.cumsum([0, *(len(p[0]) for p in parts)]), pa.int32())
             columns = [np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), *np.concatenate([p[2] for p in parts]).T.copy()]
             spans = pa.StructArray.from_arrays([pa.array(c) for c in columns], ["s", "e", "h", "g"])
@@ -72,14 +71,14 @@ def _hashed(min_words: int):
     return run
 
 
-def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, long_words: int | None = LONG_WORDS) -> DataFrame:
     """``_id``, ``_key`` (128 bits of the text) and ``cut`` (numbers of sentences) for documents that lose any.
 
     Run hashes are counted with partial sums; only the runs whose 64 first bits repeat go on to the exact step, by a shuffle
     that adaptive execution can split at a hot run. The plan is the same at every size.
     """
     keyed = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), text_key(text_col).alias("_key"), F.col(text_col).alias("_text"))
-    hashed = stage(map_arrow(keyed, _hashed(min_words), "_id long, _key binary, _spans array<struct<s:int,e:int,h:long,g:long>>").withColumn("_row", F.monotonically_increasing_id()), "spans")
+    hashed = stage(map_arrow(keyed, _hashed(span, long_words), "_id long, _key binary, _spans array<struct<s:int,e:int,h:long,g:long>>").withColumn("_row", F.monotonically_increasing_id()), "spans")
     often = stage(hashed.select(F.explode("_spans.h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("h"), "often")
     each = hashed.select("_row", F.explode("_spans").alias("x")).select("_row", "x.*")
     repeated = stage(each.join(often, ["h"], "left_semi"), "repeated")
@@ -94,9 +93,9 @@ def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return later.groupBy("_id", "_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("s", F.col("e") - 1))))).alias("cut"))
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, long_words: int | None = LONG_WORDS) -> DataFrame:
     """All rows and columns of ``docs`` with repeated sentences cut from the text, and ``n_sentences`` and ``n_removed``."""
-    cut = stage(repeated_sentences(docs, id_col, text_col, min_words), "cut")
+    cut = stage(repeated_sentences(docs, id_col, text_col, span, long_words), "cut")
     names = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
     place = names.index(text_col)
     flat = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(f"`{id_col}`").cast("long").alias("_mine"), text_key(F.col(f"`{text_col}`")).alias("_mykey"))

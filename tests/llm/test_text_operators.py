@@ -477,30 +477,38 @@ def test_gam_learns_an_interaction():
 # 10 ------------------------------------------------------------------------------------------------------------------
 
 
-def brute_cut(rows):
-    seen, places = {}, []
-    for i, t in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).digest())):
-        pieces = spans.sentences(t.encode())
-        words = [p.split() for p in pieces]
-        runs = set()
-        for s in range(len(words)):
-            for e in range(s + 2, len(words) + 1):
-                if sum(map(len, words[s:e])) >= 20:
-                    runs.add((s, e))
-                    break
-        for e in range(2, len(words) + 1):
-            for s in range(e - 2, -1, -1):
-                if sum(map(len, words[s:e])) >= 20:
-                    runs.add((s, e))
-                    break
-        runs |= {(k, k + 1) for k, w in enumerate(words) if len(w) >= 50}
-        cut = set()
-        for s, e in sorted(runs):
-            key = tuple(b" ".join(w) for w in words[s:e])
-            if seen.setdefault(key, (i, t, s)) != (i, t, s):
-                cut |= set(range(s, e))
-        places.append((i, b"".join(p for k, p in enumerate(pieces) if k not in cut).decode()))
-    return places
+def brute_sentences(text):
+    """Pieces end behind .!? at a blank, or at a line's end; one of less than three words goes to the next."""
+    marks, i = [0], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in " \t\r\v\f\n":
+            j += 1
+        if j > i and ("\n" in text[i:j] or (i and text[i - 1] in ".!?")):
+            marks.append(j)
+        i = max(j, i + 1)
+    pieces, held = [], ""
+    for a, b in zip(marks, [*marks[1:], len(text)], strict=True):
+        held += text[a:b]
+        if len(text[a:b].split()) > 2:
+            pieces.append(held)
+            held = ""
+    return pieces + [held] * bool(held)
+
+
+def brute_cut(rows, span=3, long_words=20):
+    """The text of each row without the sentences of any run that stands at an earlier place, run by run."""
+    order = sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).digest()))
+    seen, cut = {}, {}
+    for i, t in order:
+        words = [tuple(p.split()) for p in brute_sentences(t)]
+        gone = cut.setdefault((i, t), set())
+        for n in range(1, span + 1):
+            for s in range(len(words) - n + 1):
+                run = tuple(words[s : s + n])
+                if (n == span or (long_words and sum(map(len, run)) >= long_words)) and seen.setdefault((n, run), (i, t, s)) != (i, t, s):
+                    gone |= set(range(s, s + n))
+    return [(i, "".join(p for k, p in enumerate(brute_sentences(t)) if k not in cut[i, t])) for i, t in order]
 
 
 def test_sentence_spans(spark, docs, empty):
@@ -516,9 +524,28 @@ def test_sentence_spans(spark, docs, empty):
     by = dict(got)
     assert passage in by[0] and all(passage.split(". ")[1] not in by[i] for i in (1, 2, 3, 21, None)) and long_one in by[4] and long_one not in by[5]
     assert by[20] == "" and by[8] == rows[8][1] and by[24] == "Ti. Ti. Ti."
+    plain = sorted(((r["doc_id"], r["text"]) for r in spans.cut_repeats(frame, long_words=None).where("text is not null").collect()), key=str)
+    assert plain == sorted(brute_cut(rows, long_words=None), key=str) != got
     assert spans.cut_repeats(docs).count() == docs.count() and spans.cut_repeats(empty).count() == 0
 
 
+def test_short_sentences_repeat(spark):
+    """Three sentences in a row are a run, however short; two of few words, and lists of single words, are none."""
+    three, two = "Aa bb cc dd. Ee ff gg hh. Ii jj kk ll.", "Mm nn oo pp. Qq rr ss tt."
+    rows = [(1, three), (2, three), (3, f"One own start here. {three} And one own end here."), (4, f"Once more own words. {two}"), (5, f"Else own words now. {two}"), (6, "of. of. of. of. of. of."), (7, "of. of. of. of."), (8, three)]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in spans.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (three, 0), 2: ("", 3), 3: ("One own start here. And one own end here.", 3), 4: (rows[3][1], 0), 5: (rows[4][1], 0), 6: (rows[5][1], 0), 7: (rows[6][1], 0), 8: ("", 3)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sentence_spans_random(spark, seed):
+    rng = np.random.default_rng(seed)
+    pool = [" ".join(rng.choice(list("abcdefghijkl"), int(rng.choice([1, 2, 3, 5, 11, 21])))) + rng.choice([".", "!", "? ", ".\n", "\n", "\n \n"]) for _ in range(25)]
+    rows = [(int(rng.integers(30)), rng.choice(["", " ", "\n"]) + " ".join(rng.choice(pool, int(rng.integers(1, 14))))) for _ in range(60)]
+    got = sorted(((r["doc_id"], r["text"]) for r in spans.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted(brute_cut(rows), key=str)
+
+
 def test_one_whole_sentence_between_glued_ends(spark):
     words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
     whole, short = words("whole", 47) + ".", words("few", 19) + "."
