@@ -96,11 +96,13 @@ from f join ok on f.source is not distinct from ok.source
 """
 
 _OP3 = """
-with u as (select conv_id, turn, text, turn - 2 * row_number() over (partition by conv_id, turn % 2 order by turn) as run from conversations where role = 'user'),
-l as (select *, (row_number() over (partition by conv_id, turn % 2, run order by turn) - 1)::int as level from u)
-select l.conv_id, l.conv_id || ':' || l.turn as call_id, l.turn, 'reply' as name, l.level, a.turn is not null as linked, l.text is not null as valid,
-  '{"arguments":{"text":' || coalesce(to_json(l.text)::varchar, 'null') || ',"turn":' || l.turn || '},"id":"' || l.conv_id || ':' || l.turn || '","name":"reply","result":' || coalesce(to_json(a.text)::varchar, 'null') || '}' as json
-from l left join conversations a on a.conv_id = l.conv_id and a.turn = l.turn + 1 and a.role = 'assistant'
+with u as (select conv_id, turn, text from conversations where role = 'user'),
+d as (select *, lag(turn) over (partition by conv_id, turn % 2 order by turn) as before from (select distinct conv_id, turn from u)),
+i as (select *, sum((before is null or turn - before > 4)::int) over (partition by conv_id, turn % 2 order by turn) as run from d),
+l as (select conv_id, turn, (row_number() over (partition by conv_id, turn % 2, run order by turn) - 1)::int as level from i)
+select u.conv_id, u.conv_id || ':' || u.turn as call_id, u.turn, 'reply' as name, l.level, a.turn is not null as linked, coalesce(length(u.text) between 1 and 300, false) and u.turn >= 0 as valid,
+  '{"arguments":{"text":' || coalesce(to_json(u.text)::varchar, 'null') || ',"turn":' || u.turn || '},"id":"' || u.conv_id || ':' || u.turn || '","name":"reply","result":' || coalesce(to_json(a.text)::varchar, 'null') || '}' as json
+from u join l using (conv_id, turn) left join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant'
 """
 
 _OP4 = """

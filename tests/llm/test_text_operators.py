@@ -1,6 +1,7 @@
 """The text operators against brute force on small tables, with the odd rows that real tables hold."""
 
 import hashlib
+import json
 import math
 import re
 from collections import Counter
@@ -197,17 +198,70 @@ def test_tool_links(spark):
     text = '{"tool_calls":[{"id":"a","name":"f","arguments":{"z":1,"a":{"y":2.50,"b":null}},"depends_on":["b"]},{"id":"b","name":"g","arguments":"x"},{"id":"c","name":"f","arguments":{"z":"1"},"depends_on":["c","d"]},{"id":"d","name":"h","arguments":{},"depends_on":["c","a"]},{"id":"e","name":"h","arguments":{},"depends_on":["a","b","gone"]}]}'
     rows = [(1, 0, "assistant", text), (1, 1, "tool", '{"tool_call_id":"a","content":"r\\"1"}'), (1, 2, "tool", '{"tool_call_id":"b","content":{"q":1}}'), (1, 3, "tool", '{"tool_call_id":"a","content":"later"}'), (None, 0, None, None), (2, None, "assistant", text), (3, 0, "user", "prose {")]
     messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("conv", F.lit("x"))
-    out = {(r["conv"], r["id"]): r for r in tools.link_tool_calls(*tools.calls_in_messages(messages), {"f": {"z": ("integer", True), "opt": ("string", False)}}).collect()}
+    out = {(r["conv"], r["id"]): r for r in tools.link_tool_calls(*tools.calls_in_messages(messages), {"f": {"required": ["z"], "properties": {"z": {"type": "integer"}, "opt": {"type": "string"}}}}).collect()}
     assert [out[1, i]["level"] for i in "baecd"] == [0, 1, 2, None, None]
     assert [out[1, i]["valid"] for i in "abcde"] == [True, False, False, True, True]
     assert out[1, "a"]["json"] == '{"arguments":{"a":{"b":null,"y":2.5},"z":1},"id":"a","name":"f","result":"r\\"1"}'
-    assert out[1, "b"]["json"].endswith('"result":"{\\"q\\":1}"}') and not out[2, "a"]["linked"] and len(out) == 10
+    assert out[1, "b"]["json"].endswith('"result":{"q":1}}') and not out[2, "a"]["linked"] and len(out) == 10
     assert tools.link_tool_calls(*tools.calls_in_messages(messages.limit(0)), {}).count() == 0
     turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "r"), (1, 2, "user", None), (1, 4, "user", "x\n\"y\""), (1, 0, "user", "q")], "conv_id long, turn long, role string, text string")
     got = [(r["id"], r["level"], r["linked"], r["valid"]) for r in tools.link_tool_calls(*tools.calls_of_turns(turns), tools.REPLY_SCHEMA).orderBy("id").collect()]
     assert got == [("1:0", 0, True, True), ("1:0", 0, True, True), ("1:2", 1, False, False), ("1:4", 2, False, True)]
 
 
+def brute_fits(x, schema, missing=object()):
+    kinds = {"string": str, "array": list, "object": dict, "boolean": bool}
+    kind = schema.get("type")
+    number = isinstance(x, (int, float)) and not isinstance(x, bool)
+    if kind and not {"integer": number and x == int(x), "number": number, "null": x is None}.get(kind, isinstance(x, kinds.get(kind, ()))):
+        return False
+    if "enum" in schema and not any(type(x) is type(e) and x == e for e in schema["enum"]):
+        return False
+    if not all((number and x >= v) if k == "minimum" else (number and x <= v) if k == "maximum" else (isinstance(x, str) and len(x) >= v) if k == "minLength" else (isinstance(x, str) and len(x) <= v) for k, v in schema.items() if k in ("minimum", "maximum", "minLength", "maxLength")):
+        return False
+    fields, required = schema.get("properties", {}), schema.get("required", ())
+    for f in [*fields, *required]:
+        v = x.get(f, missing) if isinstance(x, dict) else missing
+        if v is missing or (v is None and f not in required):
+            if f in required:
+                return False
+        elif not brute_fits(v, fields.get(f, {})):
+            return False
+    if schema.get("additionalProperties") is False and not (isinstance(x, dict) and set(x) <= set(fields)):
+        return False
+    return "items" not in schema or (isinstance(x, list) and all(brute_fits(v, schema["items"]) for v in x))
+
+
+def test_nested_schemas(spark):
+    schema = {
+        "type": "object", "required": ["a.b", "list"], "additionalProperties": False,
+        "properties": {
+            "a.b": {"type": "integer", "minimum": -2, "maximum": 10}, "it's": {"type": "string", "minLength": 2, "maxLength": 3}, "kind": {"enum": ["x", 1, None, {"k": 1}]}, "on": {"type": "boolean"},
+            "list": {"type": "array", "items": {"type": "object", "required": ["n"], "properties": {"n": {"type": "number"}, "deep": {"type": "array", "items": {"type": "array", "items": {"type": "null"}}}}}},
+        },
+    }
+    good = {"a.b": 3, "it's": "éé", "kind": "x", "on": True, "list": [{"n": 1.5, "deep": [[None], []]}, {"n": 2, "z": 0}]}
+    cases = [good, {"a.b": 3, "list": []}, {"list": []}, {**good, "a.b": 11}, {**good, "a.b": -3}, {**good, "a.b": "3"}, {**good, "a.b": 2.5}, {**good, "it's": "é"}, {**good, "it's": "abcd"}, {**good, "it's": None}, {**good, "on": 1}, {**good, "kind": 1}, {**good, "kind": {"k": 1}}, {**good, "kind": "y"}, {**good, "more": 1}, {**good, "list": [{"n": "1"}]}, {**good, "list": [{}]}, {**good, "list": {"n": 1}}, {**good, "list": [{"n": 1, "deep": [[1]]}]}, {**good, "list": [None]}, [], 1, None, "x", {"a": {"b": 3}, "list": []}]
+    rows = [(0, str(i), i, "t", json.dumps(c), []) for i, c in enumerate(cases)]
+    calls = spark.createDataFrame([*rows, (0, "bad", 99, "t", "{", []), (0, "null", 98, "t", None, [])], "conv long, id string, turn long, name string, arguments string, deps array<string>")
+    results = spark.createDataFrame([(0, "0", 1, '[2,{"b":1,"a":2.50}]'), (0, "1", 1, "[not json"), (0, "2", 1, "17")], "conv long, id string, turn long, content string")
+    got = {r["id"]: r for r in tools.link_tool_calls(calls, results, {"t": schema}).collect()}
+    assert [got[str(i)]["valid"] for i in range(len(cases))] == [isinstance(c, dict) and brute_fits(c, schema) for c in cases]
+    assert not got["bad"]["valid"] and not got["null"]["valid"]
+    assert [got[i]["json"].partition('"result":')[2] for i in "0123"] == ['[2,{"a":2.5,"b":1}]}', '"[not json"}', '"17"}', "null}"]
+    with pytest.raises(ValueError):
+        tools.fits(F.lit(None), {"patern": "x"})
+
+
+def test_forks_take_few_rounds(spark, monkeypatch):
+    """Calls that name several predecessors need no round for each step of the longest path."""
+    staged = []
+    monkeypatch.setattr(tools, "stage", lambda df, name, f=tools.stage: (staged.append(name), f(df, name))[1])
+    rows = [("c", str(i), [str(i - k) for k in (1, 2, 7) if i >= k]) for i in range(400)]
+    got = {int(r["id"]): r["level"] for r in tools.levels(spark.createDataFrame(rows, "conv string, id string, deps array<string>")).collect()}
+    assert got == {i: i for i in range(400)} and len(staged) < 120
+
+
 def test_levels_brute(spark):
     rng = np.random.default_rng(8)
     rows = [("chain", str(i), [str(i - 1)] if i else []) for i in range(300)]
