@@ -1,8 +1,11 @@
 """Quality rules judged by host: rule failures of the documents, a shrunken failure rate of each host, verdicts joined back.
 
-A document fails a base rule, or stands on a host whose posterior failure rate of some rule is above a limit. The posterior
-mean of host ``h`` is ``(failures + a) / (documents + a + b)``; ``a`` and ``b`` are fitted to all hosts by moments, so a host
-with few documents is drawn to the corpus rate and can't be rejected by one bad page.
+A document fails a base rule, or stands on a rejected host. The failure rate of host ``h`` for a rule has the posterior
+``Beta(failures + a, documents - failures + b)``; ``a`` and ``b`` are fitted to all hosts by moments, so a host with few documents
+is drawn to the corpus rate and can't be rejected by one bad page. A host is rejected when, for some rule, the lower bound of
+its rate (mean less ``caution`` standard deviations) is above a limit that the prior gives: the rate with ``multiple`` times the
+odds of the corpus rate, and ``floor`` at least, since a host's good documents go with it. Where all hosts fail alike, as if
+documents were dealt to them at random, no host is rejected.
 
 Defined results. Null text: no words, fails ``short``. Empty text: the same. Null host: a host of its own. Repeated rows: each
 counts and each is returned. Empty table: empty result. Other columns of the input, whatever their names, are not read.
@@ -96,23 +99,33 @@ def fit_priors(hosts: DataFrame, rules: list[str]) -> dict[str, BetaPrior]:
     return priors
 
 
-def host_verdicts(measures: DataFrame, rules: dict[str, Column], limit: float = 0.6) -> DataFrame:
-    """One row a host: documents, posterior rate of each rule, ``host_ok``. Partial sums come before the shuffle."""
-    hosts = stage(measures.groupBy("_host").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c.cast("long")).alias(f"f_{r}") for r, c in rules.items())), "hosts")
-    priors = fit_priors(hosts, list(rules))
-    rates = {r: (F.col(f"f_{r}") + p.a) / (F.col("n") + p.a + p.b) for r, p in priors.items()}
-    worst = F.greatest(*rates.values()) if len(rates) > 1 else next(iter(rates.values()))
-    return hosts.select(F.col("_host").alias("_judged"), F.col("n").alias("host_docs"), worst.alias("host_rate"), (worst <= limit).alias("host_ok"))
+#: Odds of failure that reject a host, as a multiple of the corpus'; the least rate that does; standard deviations taken off.
+MULTIPLE, FLOOR, CAUTION = 3.0, 0.25, 2.0
 
 
-def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = 0.6) -> DataFrame:
+def host_verdicts(measures: DataFrame, rules: dict[str, Column], multiple: float = MULTIPLE, floor: float = FLOOR, caution: float = CAUTION) -> DataFrame:
+    """One row a host: documents, highest posterior rate of any rule, ``host_ok``. Partial sums come before the shuffle."""
+    hosts = stage(measures.groupBy("_host").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c.cast("long")).alias(f"f_{r}") for r, c in rules.items())), "hosts")
+    priors = fit_priors(hosts, list(rules))
+    rates, sound = [], F.lit(True)
+    for r, p in priors.items():
+        rate = (F.col(f"f_{r}") + p.a) / (F.col("n") + p.a + p.b)
+        corpus = p.a / (p.a + p.b)
+        limit = max(multiple * corpus / (1 + (multiple - 1) * corpus), floor)
+        sound = sound & (rate - caution * F.sqrt(rate * (1 - rate) / (F.col("n") + p.a + p.b + 1)) <= limit)
+        rates.append(rate)
+    worst = F.greatest(*rates) if len(rates) > 1 else rates[0]
+    return hosts.select(F.col("_host").alias("_judged"), F.col("n").alias("host_docs"), worst.alias("host_rate"), sound.alias("host_ok"))
+
+
+def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits: float) -> DataFrame:
     """Counts, base verdict and host verdict of every document.
 
     Texts are read once; the counts (some 60 bytes a row) are staged. The host table joins by shuffle, where adaptive
     execution broadcasts it if its measured size allows and splits the partition of a hot host.
     """
     measures = stage(measured(docs, id_col, text_col, host_col), "measures")
-    hosts = host_verdicts(measures, host_rules(), limit)
+    hosts = host_verdicts(measures, host_rules(), **limits)
     failed = base_rules()
     base = failed["short"] | failed["repetitive"]
     joined = measures.join(hosts, F.col("_host").eqNullSafe(F.col("_judged")), "left")

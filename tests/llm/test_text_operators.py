@@ -87,6 +87,25 @@ def test_host_verdicts(spark):
     assert out[300]["host_ok"] and out[300]["host_rate"] < 0.6  # one bad page doesn't reject a host
 
 
+@pytest.mark.parametrize(("shares", "rejected"), [([0.1] * 30, []), ([0.02] * 29 + [0.24], []), ([0.02] * 29 + [0.6], [29]), ([0.4] * 29 + [0.6], []), ([0.4] * 29 + [0.95], [29])])
+def test_host_limit_follows_the_prior(spark, shares, rejected):
+    """The same share of failures rejects a host in a clean corpus, and not in one where most hosts are like it."""
+    good, bad = " ".join(f"w{i}" for i in range(60)), "few words"
+    rows = [(1000 * h + i, bad if i < 200 * share else good, f"h{h}") for h, share in enumerate(shares) for i in range(200)]
+    out = host.host_quality(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted({r["doc_id"] // 1000 for r in out.where("not host_ok").select("doc_id").collect()}) == rejected
+    assert out.where("kept <> (not base_failed)").count() == sum(200 - math.ceil(200 * shares[h]) for h in rejected)
+    # the posterior by hand: moments of the hosts' rates, Beta(a, b), mean less two standard deviations against the odds
+    f = [math.ceil(200 * x) for x in shares]
+    mu, inverse, mean = (sum(f) + 0.5) / (200 * len(f) + 1), 1 / 200, sum(f) / 200 / len(f)
+    spread = sum((x / 200 - mean) ** 2 for x in f) / len(f) - mu * (1 - mu) * inverse
+    strength = min(max(mu * (1 - mu) / spread - 1, 2), 10_000) if spread > 0 else 10_000
+    rate = [(x + mu * strength) / (200 + strength) for x in f]
+    low = [r - 2 * math.sqrt(r * (1 - r) / (200 + strength + 1)) for r in rate]
+    assert [h for h, x in enumerate(low) if x > max(3 * mu / (1 + 2 * mu), 0.25)] == rejected
+    assert {r["doc_id"] // 1000: pytest.approx(r["host_rate"]) for r in out.select("doc_id", "host_rate").collect()} == dict(enumerate(rate))
+
+
 # 2 -------------------------------------------------------------------------------------------------------------------
 
 
