@@ -1,11 +1,15 @@
 """Secret scans: base patterns, high-entropy candidates, and how widely each candidate's value is owned across the corpus.
 
-A value that many owners hold is a copied example; one that a single owner (or few) holds and that looks random is a
-live-looking credential. Base spans are always reported; the method adds spans of kind ``owned``: random-looking tokens beyond
-the base patterns whose value is held by at most ``max_owners`` owners. Values are compared by a 128-bit hash, never shown.
-
-Defined results. Null text: as empty, no spans. Null owner: an owner of its own. Repeated rows: each is returned with its
-spans, and counts once for its owner. Empty table: empty result. Spans are in code points, the end exclusive.
+For each value the distinct owners that hold it are counted, and the distinct repositories (an owner's documents under one
+repository name; in ``documents`` the owner is the source, and its repositories are told apart by language, since the table names
+none). A value in many owners' hands, or in many repositories, is a widely copied example; one that a single owner (or few) holds
+in few repositories is owner-specific and, as it looks random, a live-looking credential. Base spans are always reported; the
+method adds spans of kind ``owned``: random-looking tokens beyond the base patterns whose value is live-looking. Values are
+compared by a 128-bit hash, never shown.
+
+Defined results. Null text: as empty, no spans. Null owner or repository: one of its own. Repeated rows: each is returned with
+its spans, and counts once for its owner. No repository column: every owner has one repository. Empty table: empty result. Spans
+are in code points, the end exclusive.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm._shared import map_arrow, shielded, sized_join, stage, text_key, text_slices, unshielded
@@ -44,11 +48,17 @@ def base_spans(text: bytes) -> list[tuple[int, int, int, bytes]]:
 
 
 def bare_tokens(text: bytes, base: list[tuple[int, int, int, bytes]], min_entropy: float = 3.5) -> list[tuple[int, int, int, bytes]]:
-    """Random-looking tokens outside the base spans: digits, both letter cases, and enough entropy."""
-    found = []
+    """Random-looking tokens outside the base spans (sorted by start): digits, both letter cases, and enough entropy.
+
+    Tokens and base spans are met in one pass: spans that start before the token's end are taken in, and what they reach is kept.
+    """
+    found, i, reach = [], 0, 0
     for m in TOKEN.finditer(text):
+        while i < len(base) and base[i][0] < m.end():
+            reach = max(reach, base[i][1])
+            i += 1
         v = m[0]
-        if re.search(rb"[0-9]", v) and re.search(rb"[a-z]", v) and re.search(rb"[A-Z]", v) and entropy(v) >= min_entropy and not any(a < m.end() and m.start() < b for a, b, _, _ in base):
+        if reach <= m.start() and re.search(rb"[0-9]", v) and re.search(rb"[a-z]", v) and re.search(rb"[A-Z]", v) and entropy(v) >= min_entropy:
             found.append((m.start(), m.end(), 3, v))
     return found
 
@@ -78,22 +88,29 @@ _SPANS_DDL = "array<struct<kind:int,start:bigint,end:bigint,value:binary>>"
 
 def _scanned(batches):
     for rows, texts in text_slices(batches, "_text"):
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(map(scan, texts.to_pylist()), _SPANS)], ["_id", "_owner", "_found"])
+        yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(map(scan, texts.to_pylist()), _SPANS)], ["_id", "_owner", "_repo", "_found"])
+
+
+def _held_by(docs: DataFrame, owner_col: str, repo_col: str) -> list[Column]:
+    """Owner and repository of each row as strings; a column that isn't there is null."""
+    return [(F.col(f"`{c}`") if c in docs.columns else F.lit(None)).cast("string").alias(n) for c, n in ((owner_col, "_owner"), (repo_col, "_repo"))]
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """One staged row a document: a row number ``_row`` (fixed once written), ``_id``, ``_owner`` and its candidate spans."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(owner_col).cast("string").alias("_owner"), F.col(text_col).alias("_text"))
-    return stage(map_arrow(narrow, _scanned, f"_id long, _owner string, _found {_SPANS_DDL}").withColumn("_row", F.monotonically_increasing_id()), "secrets")
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang") -> DataFrame:
+    """One staged row a document: a row number ``_row`` (fixed once written), ``_id``, ``_owner``, ``_repo`` and its candidate spans."""
+    narrow = docs.select(F.col(id_col).cast("long").alias("_id"), *_held_by(docs, owner_col, repo_col), F.col(text_col).alias("_text"))
+    return stage(map_arrow(narrow, _scanned, f"_id long, _owner string, _repo string, _found {_SPANS_DDL}").withColumn("_row", F.monotonically_increasing_id()), "secrets")
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Distinct owners, and documents, of each candidate value; both sums are partial before the shuffle."""
-    each = found.select("_owner", F.explode("_found.value").alias("value"))
-    return each.groupBy("value", "_owner").agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("copies"))
+    """Distinct owners, distinct repositories (owner and name), and documents of each candidate value; sums are partial first."""
+    each = found.select("_owner", "_repo", F.explode(F.array_distinct("_found.value")).alias("value"))
+    by_repo = each.groupBy("value", "_owner", "_repo").agg(F.count(F.lit(1)).alias("n"))
+    by_owner = by_repo.groupBy("value", "_owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
+    return by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repositories"), F.sum("n").alias("documents"))
 
 
-def judged_spans(found: DataFrame, max_owners: int = 1, example_owners: int = 3) -> DataFrame:
+def judged_spans(found: DataFrame, max_owners: int = 1, example_owners: int = 3, example_repositories: int = 6) -> DataFrame:
     """Spans by document after the corpus-wide verdict: ``spans`` (kept ones) with ``live`` and ``example`` flags.
 
     Documents without candidates skip the join. A value that a third of the documents hold is one row of the frequency
@@ -101,15 +118,16 @@ def judged_spans(found: DataFrame, max_owners: int = 1, example_owners: int = 3)
     """
     each = found.where(F.size("_found") > 0).select("_row", F.explode("_found").alias("s")).select("_row", "s.*")
     known = each.join(stage(ownership(found), "owners"), "value")  # staged, so that both sides are dealt anew
-    live = F.col("owners") <= max_owners
-    span = F.struct("start", "kind", "end", live.alias("live"), (F.col("owners") >= example_owners).alias("example"))
+    example = (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)
+    live = (F.col("owners") <= max_owners) & ~example
+    span = F.struct("start", "kind", "end", live.alias("live"), example.alias("example"))
     return known.where((F.col("kind") < 3) | live).groupBy("_row").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = 1, example_owners: int = 3) -> DataFrame:
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang", max_owners: int = 1, example_owners: int = 3, example_repositories: int = 6) -> DataFrame:
     """``doc_id`` and ``spans``, an array of (start, kind, end, live, example) by start, then kind; kinds index KINDS."""
-    found = candidates(docs, id_col, text_col, owner_col)
-    spans = judged_spans(found, max_owners, example_owners)
+    found = candidates(docs, id_col, text_col, owner_col, repo_col)
+    spans = judged_spans(found, max_owners, example_owners, example_repositories)
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,live:boolean,example:boolean>>")
     return found.select("_row", F.col("_id").alias("doc_id")).join(spans, "_row", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
 
@@ -128,17 +146,17 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
-    """``documents`` with every reported span replaced by ``mark`` and ``n_chars`` set anew; all rows and columns stay.
+    """``documents`` with every reported span replaced by ``mark`` and ``n_chars``, if there, set anew; all rows and columns stay.
 
     The verdict of a span depends on the text and the corpus alone, so spans are joined by the text's 128-bit key: documents
     with spans are few beside the corpus, and the join broadcasts them only if their counted rows are few.
     """
-    keyed = docs.select(text_key("text").alias("_id"), F.col("source").cast("string").alias("_owner"), F.col("text").alias("_text"))
-    found = stage(map_arrow(keyed, _scanned, f"_id binary, _owner string, _found {_SPANS_DDL}").where(F.size("_found") > 0).withColumn("_row", F.monotonically_increasing_id()), "secrets")
+    keyed = docs.select(text_key("text").alias("_id"), *_held_by(docs, "source", "lang"), F.col("text").alias("_text"))
+    found = stage(map_arrow(keyed, _scanned, f"_id binary, _owner string, _repo string, _found {_SPANS_DDL}").where(F.size("_found") > 0).withColumn("_row", F.monotonically_increasing_id()), "secrets")
     spans = judged_spans(found).join(found.select("_row", "_id"), "_row").groupBy("_id").agg(F.first("spans").alias("_spans"))
     narrow = stage(spans.withColumnRenamed("_id", "_key"), "redact")
     flat, names = shielded(docs)
-    body, chars = F.col(names["text"]), F.col(names["n_chars"])
+    body = F.col(names["text"])
     joined = sized_join(flat.withColumn("_key", text_key(body)), narrow, ["_key"], "left")
     # overlapping spans are merged from the left: what lies before the reach of the earlier ones is not kept again
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
@@ -148,5 +166,7 @@ def redact(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
     )
     end = lambda acc: F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), F.length(body)))
     clean = joined.withColumn("_text", F.when(F.col("_spans").isNull(), body).otherwise(F.aggregate("_spans", start, step, end)))
-    clean = clean.withColumn(names["n_chars"], F.when(F.col("_spans").isNull(), chars).otherwise(F.length("_text").cast("long")))
+    if "n_chars" in names:
+        chars = F.col(names["n_chars"])
+        clean = clean.withColumn(names["n_chars"], F.when(F.col("_spans").isNull(), chars).otherwise(F.length("_text").cast("long")))
     return unshielded(clean.withColumn(names["text"], F.col("_text")), names)
