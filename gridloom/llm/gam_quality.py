@@ -15,6 +15,7 @@ share. Repeated rows: each is returned, with one score. Null doc_id: not held ou
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -57,13 +58,12 @@ def features(text: bytes | None) -> list[float]:
     k = len(words)
     if not k:
         return [0.0] * 11 + [1.0] + [0.0] * (len(FEATURES) - 12)
-    distinct = set(words)
+    often = Counter(words)
     pairs = len(set(zip(words, words[1:], strict=False))) / (k - 1) if k > 1 else 1.0
     lines = [x for x in text.split(b"\n") if x.strip()]
-    top = max(map(words[:2000].count, words[:3])) if k <= 3 else max(words.count(w) for w in (words[0], words[k // 3], words[k // 2], words[-1]))
     ended = sum(x.rstrip()[-1:] in (b".", b"?", b"!") for x in lines) / len(lines)
     return [
-        np.log1p(k), n / k, max(map(len, distinct)), *share[:8].tolist(), share[8], len(distinct) / k, pairs, top / k,
+        np.log1p(k), n / k, max(map(len, often)), *share[:8].tolist(), share[8], len(often) / k, pairs, max(often.values()) / k,
         1 - len(set(lines)) / len(lines), np.log1p(len(lines)), np.log1p(n / len(lines)), ended, float(-(p * np.log2(p)).sum()),
     ]
 
