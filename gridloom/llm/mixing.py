@@ -9,8 +9,8 @@ words are its words in those passes and blocks.
 
 The quotients are not enumerated from the first block: rounding target / block gives all but a few seats, and only the
 difference to the house size is awarded (or taken back) quotient by quotient. All steps are DataFrame expressions; the only
-values that reach the driver are sums over sources. A hot source is dealt over all shards; no window holds more than the
-documents of one source in one shard.
+values that reach the driver are sums over sources. A hot source is dealt over all shards; sources, shards and quotients are
+ordered by a range sort, and no window holds more than the documents of one source in one shard.
 
 Defined results. Null or empty text: size 0, takes nothing. Null source: the last in the order of sources. Repeated rows: each
 is laid out and returned by itself; rows alike in doc_id and size are interchangeable. Null doc_id: takes part. Empty table:
@@ -32,18 +32,32 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _ordered_sources(sized: DataFrame) -> DataFrame:
-    """One staged row a source: ``source``, ``source_size``, ``rank`` by code point from 0, null last.
+def ranked(df: DataFrame, group: list[str], by: list[Column | str], out: str, name: str) -> DataFrame:
+    """A staged copy of ``df`` with each row's place (from 0) in its group, in the order ``by``; no task holds a whole group.
 
-    Ranks come from a range sort and the numbers of rows in the parts before, so no task holds all sources.
+    Rows are dealt by ranges of (group, by), so a large group lies in many parts; a row's place is its place in its part plus
+    the rows of the parts before, less the place of its group's first row.
     """
-    by = [F.col("source").isNull(), F.encode("source", "utf-8")]
-    sums = stage(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
-    parts = stage(sums.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id()), "ordered")
-    part = F.shiftright("at", 33)
-    first = parts.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    before = first.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return parts.join(before, part == before["part"]).select("source", "source_size", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
+    keys = [k for g in group for k in (F.col(g).isNull(), F.col(g))]
+    order = [*keys, *by]
+    parts = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_at", 33)
+    sizes = parts.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row a part
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    placed = parts.join(F.broadcast(before), part == before["_part"]).withColumn("_place", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
+    if not group:
+        return placed.withColumnRenamed("_place", out)
+    firsts = placed.groupBy(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group))).agg(F.min("_place").alias("_first"))
+    on = F.lit(True)
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return placed.join(firsts, on).withColumn(out, F.col("_place") - F.col("_first")).drop("_place", "_first", *(f"_g{i}" for i in range(len(group))))
+
+
+def _ordered_sources(sized: DataFrame) -> DataFrame:
+    """One row a source: ``source``, ``source_size``, ``rank`` by code point from 0, null last."""
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    return ranked(sums, [], [F.col("source").isNull(), F.encode("source", "utf-8")], "rank", "sources")
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, epochs: int = 2) -> DataFrame:
@@ -69,30 +83,38 @@ def apportion(parties: DataFrame, claim: str, house: Column, group: list[str], o
     """Sainte-Lague seats of parties with real claims, in houses by ``group`` (no group: one house).
 
     ``house`` is the number of seats, the same in all rows of a group. Rounded shares come first; the difference is awarded
-    to the highest quotients share / (2 seats + 1), or taken from the lowest share / (2 seats - 1).
+    to the highest quotients share / (2 seats + 1), or taken from the lowest share / (2 seats - 1). Equal quotients go by the
+    parties' columns in their order. Sums are partial aggregates joined back, and places come from ``ranked``: a house of any
+    number of parties is dealt over all tasks.
     """
-    w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     names = parties.columns
-    shared = parties.withColumn("_house", house).withColumn("_all", F.sum(claim).over(w)).withColumn("_share", F.when(F.col("_all") > 0, F.col(claim) * F.col("_house") / F.col("_all")).otherwise(0.0))
-    seated = shared.withColumn("_seats", F.floor(F.col("_share") + 0.5)).withColumn("_gap", F.when(F.col("_all") > 0, F.col("_house") - F.sum("_seats").over(w)).otherwise(F.lit(0)))
-    seated = seated.withColumn("_party", F.row_number().over(w.orderBy(*(F.col(n) for n in names))))
+    base = stage(parties.withColumn("_house", house), "parties")
+
+    def beside(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
+        if not group:
+            row = df.agg(*(c.alias(n) for n, c in sums.items())).first()
+            return df.withColumns({n: F.lit(row[n]) for n in sums})
+        found = df.groupBy(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group))).agg(*(c.alias(n) for n, c in sums.items()))
+        on = F.lit(True)
+        for i, g in enumerate(group):
+            on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+        return df.join(found, on).drop(*(f"_g{i}" for i in range(len(group))))
+
+    shared = beside(base, {"_all": F.sum(claim), "_claims": F.sum((F.col(claim) > 0).cast("long"))})
+    shared = shared.withColumn("_share", F.when(F.col("_all") > 0, F.col(claim) * F.col("_house") / F.col("_all")).otherwise(0.0)).withColumn("_seats", F.floor(F.col("_share") + 0.5))
+    seated = beside(stage(shared, "shares"), {"_rounded": F.sum("_seats")})
+    seated = seated.withColumn("_gap", F.when(F.col("_all") > 0, F.col("_house") - F.col("_rounded")).otherwise(F.lit(0)))
     # each rounding is off by half a seat at most, so shares scaled by 1 + n / (2 house) round to the house or more, those scaled
     # by 1 - n / (2 house) to the house or less: a party wins or loses at most share * n / (2 house), rounded up
-    claims = F.sum((F.col("_share") > 0).cast("long")).over(w)
-    seated = seated.withColumn("_claims", claims)
     most = F.least(F.abs("_gap"), F.ceil(F.col("_claims") * F.col("_share") / (2 * F.greatest("_house", F.lit(1)))) + 1).cast("int")
-    offers = seated.where((F.col("_gap") != 0) & (F.col("_all") > 0)).select(*group, "_party", "_seats", "_share", "_gap", F.explode(F.sequence(F.lit(0), most)).alias("_k")).where(F.col("_k") < most)
+    seated = stage(seated.withColumn("_party", F.monotonically_increasing_id()), "seats")
+    offers = seated.where((F.col("_gap") != 0) & (F.col("_all") > 0)).withColumn("_most", most).withColumn("_k", F.explode(F.sequence(F.lit(0), "_most"))).where(F.col("_k") < F.col("_most"))
     up = F.col("_share") / (2 * (F.col("_seats") + F.col("_k")) + 1)
     down = F.col("_share") / (2 * (F.col("_seats") - F.col("_k")) - 1)
     offers = offers.where((F.col("_gap") > 0) | (F.col("_seats") - F.col("_k") >= 1)).withColumn("_q", F.when(F.col("_gap") > 0, -up).otherwise(down))
-    won = offers.withColumn("_r", F.row_number().over(w.orderBy("_q", "_party", "_k"))).where(F.col("_r") <= F.abs("_gap"))
-    moved = won.groupBy(*group, "_party").agg(F.sum(F.signum(F.col("_gap").cast("double"))).cast("long").alias("_moved"))
-    keys = [*group, "_party"]
-    moved = moved.select(*(F.col(k).alias(f"m{i}") for i, k in enumerate(keys)), "_moved")
-    on = F.lit(True)
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"m{i}"))
-    return seated.join(moved, on, "left").select(*names, (F.col("_seats") + F.coalesce("_moved", F.lit(0))).cast("long").alias(out))
+    placed = ranked(offers.select(*names, "_party", "_gap", "_k", "_q"), group, ["_q", *names, "_k"], "_r", "offers")
+    won = placed.where(F.col("_r") < F.abs("_gap")).groupBy("_party").agg(F.sum(F.signum(F.col("_gap").cast("double"))).cast("long").alias("_moved"))
+    return seated.join(won, "_party", "left").select(*names, (F.col("_seats") + F.coalesce("_moved", F.lit(0))).cast("long").alias(out))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, epochs: int = 2, block: int = 8, shard_words: int = 250_000, seed: int = 17) -> DataFrame:

@@ -379,6 +379,58 @@ def test_mix(docs, empty, spark):
     assert abs(mixed.select(F.sum(mix.word_count("text"))).first()[0] / (1.5 * sum(size.values())) - 1) < 0.5
 
 
+def test_taken_words_brute(spark):
+    """The words that each document gives: seats by highest quotients, then passes and a run around the end, word by word."""
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 40))), str(rng.choice(["a", "b", "c", "d"], p=[0.6, 0.3, 0.08, 0.02]))) for i in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    block, shard_words, seed = 8, 300, 17
+    total = sum(len(t.split()) for _, t, _ in rows)
+    shards = -(-total // shard_words)
+    order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.unhex(F.md5("text")))
+    dealt = [(r["doc_id"], r["source"], len(r["text"].split()), r["o"], r["h"]) for r in frame.select("*", order.alias("o"), F.pmod(F.xxhash64(order, F.lit(1)), F.lit(shards)).cast("long").alias("h")).collect()]
+    start = {(r["source"], r["h"]): r["x"] for r in spark.createDataFrame([(s, h) for s in "abcd" for h in range(shards)], "source string, h long").select("*", F.xxhash64(F.lit(seed), "source", "h").alias("x")).collect()}
+    got = {r["doc_id"]: r for r in mix.mix_sources(frame, shard_words=shard_words).collect()}
+    target = {s: next(got[d[0]]["target"] for d in dealt if d[1] == s) for s in "abcd"}
+
+    def highest(claims, house):
+        seats = dict.fromkeys(claims, 0)
+        for _ in range(house):
+            seats[min(seats, key=lambda k: (-claims[k] / (2 * seats[k] + 1), k))] += 1
+        return seats
+
+    blocks = highest(target, round(sum(target.values()) / block))
+    taken = Counter()
+    for s in "abcd":
+        parts = {}
+        for d in sorted((d for d in dealt if d[1] == s), key=lambda d: (d[3], d[0])):
+            parts.setdefault(d[4], []).extend([d[0]] * d[2])
+        for h in {d[4] for d in dealt if d[1] == s}:
+            parts.setdefault(h, [])
+        sizes = {h: len(w) for h, w in parts.items()}
+        for h, seats in (highest(sizes, blocks[s]) if sum(sizes.values()) else {}).items():
+            words = parts[h]
+            if words:
+                passes, rest = divmod(min(seats * block, 2 * len(words)), len(words))
+                at = start[s, h] % max(len(words) // block, 1) * block
+                taken.update(words * passes + [words[(at + k) % len(words)] for k in range(rest)])
+    assert {i: r["taken"] for i, r in got.items()} == {i: taken[i] for i, _, _ in rows}
+
+
+def test_ranked(spark):
+    rows = [(g, int(v), i) for i, (g, v) in enumerate(zip([None, "a", "a", "b", None, "a"] * 60, np.random.default_rng(0).integers(0, 9, 360), strict=True))]
+    frame = spark.createDataFrame(rows, "g string, v int, i int")
+    for group in ([], ["g"]):
+        got = {r["i"]: r["r"] for r in mix.ranked(frame, group, [F.col("v").desc(), "i"], "r", "t").collect()}
+        seen, want = Counter(), {}
+        for g, _, i in sorted(rows, key=lambda x: (-x[1], x[2])):
+            k = g if group else 0
+            want[i] = seen[k]
+            seen[k] += 1
+        assert got == want
+    assert mix.ranked(frame.limit(0), ["g"], ["v"], "r", "t").count() == 0
+
+
 def test_apportion_many_tiny_claims(spark):
     def quotients(claims, house):
         seats = [0] * len(claims)
