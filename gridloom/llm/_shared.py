@@ -2,35 +2,66 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.session import reachable
+
 #: Rows of a side that may be broadcast: narrow rows (ids and a few numbers), so at most some 30 MB.
 BROADCAST_ROWS = 400_000
-#: Rows of an Arrow batch of texts at most: some 3 MB of ordinary documents, so that a batch with long texts stays small too.
+#: Rows of an Arrow batch at most while a table is staged: some 3 MB of ordinary documents, so that a batch with long texts stays
+#: small too. Elsewhere the session's own setting holds, and its bound on the bytes of a batch.
 BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Bytes of text that one slice of an Arrow batch holds; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 _U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder under /tmp only where the cluster names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that driver and executors share. Where ``spark.checkpoint.dir`` is unset: a folder under /tmp if all runs in
+    this process, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "/tmp/checkpoints"
     return f"{base.rstrip('/')}/gridloom-{spark.sparkContext.applicationId}"
 
 
+def _path_of(spark: SparkSession, path: str):
+    """Hadoop's path and file system of a path."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(context._jsc.hadoopConfiguration())
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, computes it once, survives lost executors."""
+    """Write ``df`` to the shared folder and read it again: cuts lineage, computes it once, survives lost executors.
+
+    The folder of the application is deleted when the driver ends; ``unstage`` deletes a table earlier.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = spark.conf.get(_BATCH, None)
+    small = not rows or not 0 < int(rows) <= BATCH_ROWS
+    try:
+        if small:
+            spark.conf.set(_BATCH, str(BATCH_ROWS))
+        df.write.parquet(path)
+    finally:
+        if small:
+            spark.conf.set(_BATCH, rows) if rows else spark.conf.unset(_BATCH)
+    if getattr(spark.sparkContext, "_gridloom_folder", None) != shared_dir(spark):
+        at, files = _path_of(spark, shared_dir(spark))
+        files.deleteOnExit(at)
+        spark.sparkContext._gridloom_folder = shared_dir(spark)
     table = spark.read.schema(df.schema).parquet(path)
     table.staged_path = path
     return table
@@ -39,20 +70,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def unstage(*tables: DataFrame) -> None:
     """Delete staged tables that only later staged ones were made from, to free the shared folder early."""
     for table in tables:
-        context = table.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(table.staged_path)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        at, files = _path_of(table.sparkSession, table.staged_path)
+        files.delete(at, True)
 
 
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``mapInArrow`` over batches of at most BATCH_ROWS rows (the session's setting is lowered to it if it is higher), whose
-    workers find this package where the driver's copy lies, if it isn't installed for them."""
-    root, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = f"{env['PYTHONPATH']}:{root}" if env.get("PYTHONPATH") else root
-    conf, rows = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(rows, "10000")) <= BATCH_ROWS:
-        conf.set(rows, str(BATCH_ROWS))
+    """``mapInArrow`` whose workers find this package where the driver's copy lies, if it isn't installed for them."""
+    reachable(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

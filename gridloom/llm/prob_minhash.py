@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import hashed_words, map_arrow, mix64, shielded, sized_join, stage, text_key, text_slices, unshielded
+from gridloom.llm._shared import hashed_words, map_arrow, mix64, shielded, sized_join, stage, text_key, text_slices, unshielded, unstage
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 18, 4
 _U = np.uint64
@@ -171,15 +171,18 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = stage(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
     for _ in range(max_rounds):
-        near = both.join(label, both["b"] == label["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
+        named = label.select("node", "root")
+        near = both.join(named, both["b"] == named["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
         # the roots learn too: a label that a neighbour's class has is handed to the root itself
-        step = label.join(near, "node").select("node", "root", F.least("root", "m").alias("m"))
+        step = named.join(near, "node").select("node", "root", F.least("root", "m").alias("m"))
         hooks = step.where(F.col("m") < F.col("root")).groupBy(F.col("root").alias("node")).agg(F.min("m").alias("hook"))
         step = stage(step.join(hooks, "node", "left").select("node", "root", F.least("m", F.coalesce("hook", "m")).alias("m")), "hooked")
         up = step.select(F.col("node").alias("m"), F.col("m").alias("up"))
-        new = stage(step.join(up, "m", "left").select("node", F.least("m", F.coalesce("up", "m")).alias("new"), "root"), "labels")
-        label = new.select("node", F.col("new").alias("root"))
-        if new.where(F.col("new") != F.col("root")).isEmpty():
+        new = stage(step.join(up, "m", "left").select("node", F.least("m", F.coalesce("up", "m")).alias("root"), F.col("root").alias("old")), "labels")
+        unstage(label, step)
+        label = new
+        if label.where(F.col("root") != F.col("old")).isEmpty():
+            unstage(both)
             return label
     raise RuntimeError("components didn't settle")
 
@@ -191,8 +194,9 @@ def _tokens(batches):
             yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(np.full(len(value), n)), pa.array(np.frombuffer(count, np.uint32).astype(np.int64))], ["token", "n", "w"])
 
 
-def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+def prefixes(sets: DataFrame, threshold: float) -> tuple[DataFrame, list[DataFrame]]:
     """(token, n, after) of the elements by which a text must meet another one; elements of one text only are left out.
+    Beside it the staged tables that it reads.
 
     ``after`` is the number of the text's elements from that one on.
 
@@ -216,7 +220,7 @@ def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
                 token = flat.field("token").to_numpy()[ok]
                 yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.full(len(token), n.as_py())), pa.array(count[ok])], ["token", "n", "after"])
 
-    return map_arrow(lists.join(size, "n"), run, "token long, n long, after long")
+    return map_arrow(lists.join(size, "n"), run, "token long, n long, after long"), [each, often]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -234,6 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # adaptive execution splits the rows of a hot key
     crowded = stage(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "crowded")
     member = stage(member.join(crowded.hint("merge"), "bucket"), "buckets")
+    unstage(crowded)
 
     # the elements of the texts that stand in a crowded bucket: the others can't be linked
     wanted = stage(member.groupBy(F.col("node").alias("_key")).agg(F.sum("n").alias("degree")), "wanted")
@@ -251,49 +256,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivot = stage(central.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot")), "pivots")
     star = member.join(pivot.hint("merge"), "bucket").where(F.col("node") != F.col("pivot")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     links = verified(star)
+    unstage(pivot, wanted)
     named = components(links)
-    rooted = stage(member.select("node", "bucket").join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    rooted = stage(member.select("node", "bucket").join(named.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    unstage(member)
     several = stage(rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(F.col("x") != F.col("y")).select("bucket"), "several")
     open_texts = stage(rooted.join(several.hint("merge"), "bucket").select("node", "root").distinct(), "open")
+    unstage(rooted, several)
     if not open_texts.isEmpty():
         mine = stage(sets.join(open_texts.select(F.col("node").alias("_key"), "root"), "_key"), "open-elements")
         bits = [F.get("_bits", F.lit(i)).alias(f"b{i}") for i in range(BITMAP)]
-        meet = stage(prefixes(mine, threshold).join(mine.select("n", F.col("_key").alias("node"), "root", "size", "even", *bits), "n").drop("n"), "meet")
+        prefix, read = prefixes(mine, threshold)
+        meet = stage(prefix.join(mine.select("n", F.col("_key").alias("node"), "root", "size", "even", *bits), "n").drop("n"), "meet")
+        unstage(mine, *read)
         largest = meet.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "root")).alias("m"), F.count(F.lit(1)).alias("classes")).where(F.col("classes") > 1)
         largest = stage(largest.select("token", F.col("m.root").alias("main")), "largest")
         stray = meet.join(largest.hint("merge"), "token").where(F.col("root") != F.col("main")).drop("main")
-        stray = stage(stray.select("token", *(F.col(c).alias(f"s_{c}") for c in stray.columns if c != "token")), "strays").hint("merge")
+        stray = stage(stray.select("token", *(F.col(c).alias(f"s_{c}") for c in stray.columns if c != "token")), "strays")
+        other = stray.hint("merge")
         both = F.col("size") + F.col("s_size")
         apart = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"s_b{i}"))) for i in range(BITMAP)), F.lit(0))
         plain = (F.least("after", "s_after") >= threshold / (1 + threshold) * both - 1e-9) & (apart <= (1 - threshold) / (1 + threshold) * both + 1e-9)
-        far = meet.join(stray, (meet["token"] == stray["token"]) & (F.col("root") != F.col("s_root")) & (F.col("node") != F.col("s_node")) & (plain | ~(F.col("even") & F.col("s_even"))))
-        links = links.union(verified(far.select(F.least("node", "s_node").alias("a"), F.greatest("node", "s_node").alias("b")).distinct()))
-        named = components(links)
-    classed = stage(nodes.select("node", "id").join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "classed")
+        far = meet.join(other, (meet["token"] == other["token"]) & (F.col("root") != F.col("s_root")) & (F.col("node") != F.col("s_node")) & (plain | ~(F.col("even") & F.col("s_even"))))
+        more = verified(far.select(F.least("node", "s_node").alias("a"), F.greatest("node", "s_node").alias("b")).distinct())
+        unstage(meet, largest, stray, named)
+        named = components(links.union(more))
+        unstage(more)
+    unstage(sets, links, open_texts)
+    classed = stage(nodes.select("node", "id").join(named.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "classed")
+    unstage(named, nodes)
     # the text of the smallest id stands for the class; a class without any id is stood for by its smallest key
     best = stage(classed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "node")).alias("best"), F.count(F.lit(1)).alias("class_texts")), "best")
     per_text = classed.join(best, "root").select(F.col("node").alias("_key"), F.col("best.id").alias("class_id"), (F.col("best.node") == F.col("node")).alias("stands"), "class_texts")
     result = signed.select("_id", "_key").join(per_text, "_key", "left")
     alone = F.col("_key").isNull()
-    return result.select(
+    judged = result.select(
         F.col("_id").alias("doc_id"), F.when(alone, F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_texts", F.lit(1)).cast("long").alias("class_texts"),
         (alone | (F.col("stands") & F.col("_id").eqNullSafe(F.col("class_id")))).alias("kept"), "_key",
     )
+    judged = stage(judged, "judged")
+    unstage(signed, classed, best)
+    return judged
 
 
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
-    """``documents`` with one row of each class, columns as they came; rows with a null text all stay.
+    """``documents`` (columns ``doc_id`` and ``text`` at least) with one row of each class, columns as they came; rows with a null
+    text all stay.
 
     The rows to drop are a narrow table (id and key), joined by broadcast if their counted rows are few. Rows that repeat
     both id and text would all stay; they are counted, and only if there are any are the kept rows made distinct by key.
     """
-    judged = stage(near_duplicates(docs, **settings), "judged")
+    judged = near_duplicates(docs, **settings)
     gone = stage(judged.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), "_key").distinct(), "gone")
     flat, names = shielded(docs)
     keyed = flat.withColumn("_key", text_key(names["text"]))
     rows = sized_join(keyed, gone, keyed["_key"].eqNullSafe(gone["_key"]) & F.col(names["doc_id"]).cast("long").eqNullSafe(gone["_gone"]), "left_anti")
     kept = judged.where(F.col("kept") & F.col("_key").isNotNull())
     counts = kept.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_key").alias("k")).first()
+    unstage(judged)
     if counts["n"] > counts["k"]:
         rows = rows.where(F.col("_key").isNotNull()).dropDuplicates(["_key"]).union(rows.where(F.col("_key").isNull()))
     return unshielded(rows, names)
