@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm._shared import stage
+from gridloom.llm._shared import stage, unstage
 from gridloom.llm.gam_quality import quality_model, score_quality
 from gridloom.llm.mixing import apply_mix
 from gridloom.llm.prob_minhash import drop_near_duplicates
@@ -47,10 +47,12 @@ STAGES = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written and read again by the next."""
+    """All stages over ``documents``; what a stage returns is written, read again by the next and then deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        if hasattr(before, "staged_path"):
+            unstage(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
