@@ -242,10 +242,10 @@ def wape_of(actual: Column, level: Column) -> Column:
 
 
 def intermittent_selector(panel: DataFrame, holdout: int, alpha: float = 0.2, beta: float = 0.2, bucket: int = 7) -> DataFrame:
-    """By series: the method of smallest holdout WAPE (ties: croston, sba, tsb, adida), its loss, and its level on all rows."""
+    """By series: the method of smallest holdout WAPE (ties to 9 digits: croston, sba, tsb, adida), its loss, its level on all rows."""
     hist = histories(panel)
     train, test = F.slice("y", 1, F.greatest(F.col("n") - holdout, F.lit(1))), F.slice("y", F.greatest(F.col("n") - holdout, F.lit(1)) + 1, F.lit(holdout))
-    tried = [F.struct(F.coalesce(wape_of(test, f(train, alpha, beta, bucket)), F.lit(float("inf"))).alias("loss"), F.lit(i).alias("i"), F.lit(name).alias("method"), F.greatest(F.coalesce(f(F.col("y"), alpha, beta, bucket), F.lit(ZERO)), F.lit(ZERO)).alias("level")) for i, (name, f) in enumerate(INTERMITTENT.items())]
+    tried = [F.struct(F.coalesce(F.round(wape_of(test, f(train, alpha, beta, bucket)), 9), F.lit(float("inf"))).alias("loss"), F.lit(i).alias("i"), F.lit(name).alias("method"), F.greatest(F.coalesce(f(F.col("y"), alpha, beta, bucket), F.lit(ZERO)), F.lit(ZERO)).alias("level")) for i, (name, f) in enumerate(INTERMITTENT.items())]
     best = F.array_min(F.array(*tried))
     empty = F.forall("y", lambda v: v == 0)
     return hist.withColumn("b", best).select(

@@ -62,13 +62,12 @@ ORDER_DAYS = "order_days as (select o_orderpriority as series_id, date_trunc('da
 
 
 def supplier_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intermittent weekly demand: returned quantity by supplier, weeks without any as 0. All suppliers: SUPPLIER_WEEKS stops
-    at key 12."""
+    """Intermittent weekly demand: returned quantity by supplier, weeks without any as 0."""
     rows = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
     return fill_gaps(bucketed(rows, "l_shipdate", "l_suppkey", F.col("l_quantity"), "W").select("series_id", "ts", "y"), "W")
 
 
-SUPPLIER_WEEKS = """w0 as (select l_suppkey::varchar as series_id, date_trunc('week', l_shipdate)::timestamp as ts, sum(l_quantity) as y from lineitem where l_returnflag = 'R' and l_suppkey <= 12 group by all),
+SUPPLIER_WEEKS = """w0 as (select l_suppkey::varchar as series_id, date_trunc('week', l_shipdate)::timestamp as ts, sum(l_quantity) as y from lineitem where l_returnflag = 'R' group by all),
 weeks as (select s.series_id, s.ts, coalesce(w0.y, 0) as y from (select series_id, unnest(generate_series(min(ts), max(ts), interval 7 day)) as ts from w0 group by series_id) s left join w0 on w0.series_id = s.series_id and w0.ts = s.ts)"""
 
 

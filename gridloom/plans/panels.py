@@ -139,11 +139,29 @@ def theta_forecasts(spark, sf_dir):
     return rounded(fc.theta_forecast(daily(spark, sf_dir), 7, season=7))
 
 
-@query()
+@query(f"""with recursive {DAILY}, d as (select series_id, ts, y, row_number() over (partition by series_id order by ts) - 1 as i, count(*) over (partition by series_id) as n from daily),
+pat as (select series_id, i % 7 as k, avg(y) as m from d group by all), p as (select series_id, k, m - avg(m) over (partition by series_id) as s from pat),
+a as (select d.series_id, d.ts, d.i, d.n, y - s as v from d join p on p.series_id = d.series_id and p.k = d.i % 7),
+h as (select series_id, max(ts) as last_ts, any_value(n) as n, regr_slope(v, i) as slope, avg(v) - regr_slope(v, i) * (any_value(n) - 1) / 2 as mid from a group by series_id),
+e as (select series_id, alpha, i, v as level, 0.0::double as sse from a, (values (0.1::double), (0.3), (0.5), (0.8)) g(alpha) where i = 0 union all
+select e.series_id, alpha, a.i, alpha * v + (1 - alpha) * level, sse + (v - 0.5 * (level + mid + slope * a.i)) ** 2 from e join a on a.series_id = e.series_id and a.i = e.i + 1 join h on h.series_id = e.series_id),
+best as (select alpha from e join h using (series_id) where i = n - 1 group by alpha order by sum(sse) / sum(n - 1), alpha limit 1)
+select h.series_id, last_ts + to_days(s.s) as ts, s.s as horizon, 'optimized_theta' as model, round(level + (1 - 1 / 1.5::double) * slope * s.s + p.s, 6) as mean
+from h join e on e.series_id = h.series_id and e.i = h.n - 1 join best on best.alpha = e.alpha, (select unnest(generate_series(1, 7))::int as s) s join p on p.series_id = h.series_id and p.k = (h.n + s.s - 1) % 7""")
 def optimized_theta_forecasts(spark, sf_dir):
     return rounded(fc.optimized_theta(daily(spark, sf_dir), 7, season=7))
 
 
+def _ets_sql(src: str, grid: str, x: str = "") -> str:
+    """CTEs up to ``ets{x}``: states by series, step and grid point (alpha, beta, gamma, phi) of the weekly recursion over ``src``."""
+    return f"""grid{x} as ({grid}), ed{x} as (select series_id, ts, y, row_number() over (partition by series_id order by ts) - 1 as i, count(*) over (partition by series_id) as n from {src}),
+ep{x} as (select series_id, k, m - avg(m) over (partition by series_id) as m from (select series_id, i % 7 as k, avg(y) as m from ed{x} group by all)), es{x} as (select series_id, list(m order by k) as p from ep{x} group by 1),
+et{x} as (select a.series_id, sum((b.y - a.y) / 7) / 7 as t from ed{x} a join ed{x} b on b.series_id = a.series_id and b.i = a.i + 7 where a.i < 7 group by 1),
+ets{x} as (select ed{x}.series_id, alpha, beta, gamma, phi, i, n, ts, y - p[1] as level, t as trend, p as s, 0.0::double as sse from ed{x} join es{x} using (series_id) join et{x} using (series_id), grid{x} where i = 0 union all
+select series_id, alpha, beta, gamma, phi, i, n, ts, lv, beta * (lv - level) + (1 - beta) * phi * trend, list_transform(s, lambda x, j: case when j = i % 7 + 1 then gamma * (v - lv) + (1 - gamma) * x else x end), sse + (v - fit) ** 2
+from (select d.series_id, alpha, beta, gamma, phi, d.i, d.n, d.ts, level, trend, s, sse, d.y as v, level + phi * trend + s[d.i % 7 + 1] as fit, alpha * (d.y - s[d.i % 7 + 1]) + (1 - alpha) * (level + phi * trend) as lv from ets{x} e join ed{x} d on d.series_id = e.series_id and d.i = e.i + 1))"""
+
+
 @query(f"""with recursive {DAILY}, d as (select series_id, ts, y, row_number() over (partition by series_id order by ts) as i, count(*) over (partition by series_id) as n, lead(y) over (partition by series_id order by ts) - y as step from daily),
 e as (select series_id, i, n, ts, y as level, step as trend from d where i = 1 union all
 select d.series_id, d.i, d.n, d.ts, 0.3 * d.y + 0.7 * (e.level + 0.9 * e.trend), 0.1 * (0.3 * d.y + 0.7 * (e.level + 0.9 * e.trend) - e.level) + 0.9 * 0.9 * e.trend from e join d on d.series_id = e.series_id and d.i = e.i + 1)
@@ -152,12 +170,18 @@ def damped_trend_forecasts(spark, sf_dir):
     return rounded(fc.ets_forecast(daily(spark, sf_dir), 7, alpha=0.3, beta=0.1, phi=0.9), 5)
 
 
-@query()
+_ETS_POINT = "select 0.3::double as alpha, 0.1::double as beta, 0.1::double as gamma, 1.0::double as phi"
+_WEEK = "(select unnest(generate_series(1, 7))::int as s)"
+
+
+@query(f"""with recursive {DAILY}, {_ets_sql("daily", _ETS_POINT)} select series_id, ts + to_days(w.s) as ts, w.s as horizon, 'ets' as model, round(level + w.s * trend + ets.s[(n + w.s - 1) % 7 + 1], 6) as mean from ets, {_WEEK} w where i = n - 1""")
 def seasonal_ets_forecasts(spark, sf_dir):
     return rounded(fc.ets_forecast(daily(spark, sf_dir), 7, season=7))
 
 
-@query()
+@query(f"""with recursive {DAILY}, {_ets_sql("daily", "select alpha, beta, 0.1::double as gamma, 1.0::double as phi from (values (0.2::double), (0.5)) a(alpha), (values (0.0::double), (0.1)) b(beta)")},
+best as (select alpha, beta from ets where i = n - 1 group by all order by sum(sse) / sum(n - 1), alpha, beta limit 1)
+select series_id, ts + to_days(w.s) as ts, w.s as horizon, 'auto_ets' as model, round(level + w.s * trend + ets.s[(n + w.s - 1) % 7 + 1], 6) as mean from ets join best using (alpha, beta), {_WEEK} w where i = n - 1""")
 def auto_ets_forecasts(spark, sf_dir):
     return rounded(fc.auto_ets(daily(spark, sf_dir), 7, season=7, alphas=(0.2, 0.5), betas=(0.0, 0.1), gammas=(0.1,), phis=(1.0,)))
 
@@ -182,7 +206,19 @@ def tsb_levels(spark, sf_dir):
     return rounded(fc.histories(supplier_months(spark, sf_dir)).select("series_id", fc.tsb_level(F.col("y"), 0.2, 0.2).alias("tsb")))
 
 
-@query()
+@query(f"""with recursive {SUPPLIER_WEEKS}, d as (select *, row_number() over (partition by series_id order by ts) as i, count(*) over (partition by series_id) as n from weeks),
+part as (select series_id, 'all' as part, i, n as m, y from d union all select series_id, 'train', i, greatest(n - 8, 1), y from d where i <= greatest(n - 8, 1)),
+src as (select series_id, part, 'row' as kind, i, m, y, first_value(y) over (partition by series_id, part order by (y > 0)::int desc, i) as f from part union all
+select series_id, part, 'block', b + 1, (any_value(m) + 6) // 7, sum(y), 0 from (select *, (i - 1) // 7 as b from part) group by series_id, part, b),
+c as (select series_id, part, kind, i, m, case when y > 0 then y end as d, (y > 0)::int::double as g, (y <= 0)::int as e, f + 0.2 * (y > 0)::int * (y - f) as t, 0.2 * (y > 0)::int::double as p from src where i = 1 union all
+select s.series_id, s.part, s.kind, s.i, s.m, case when s.y > 0 then (case when c.d is null then s.y else c.d + 0.2 * (s.y - c.d) end) else c.d end, case when s.y > 0 then (case when c.d is null then c.e + 1 else c.g + 0.2 * (c.e + 1 - c.g) end) else c.g end,
+case when s.y > 0 then 0 else c.e + 1 end, c.t + 0.2 * (s.y > 0)::int * (s.y - c.t), c.p + 0.2 * ((s.y > 0)::int - c.p) from c join src s on s.series_id = c.series_id and s.part = c.part and s.kind = c.kind and s.i = c.i + 1),
+l as (select series_id, part, u.k, u.method, u.level from (select series_id, part, unnest(case when kind = 'row' then [{{k: 0, method: 'croston', level: d / nullif(g, 0)}}, {{k: 1, method: 'sba', level: d / nullif(g, 0) * 0.9}}, {{k: 2, method: 'tsb', level: t * p}}] else [{{k: 3, method: 'adida', level: d / nullif(g, 0) / 7}}] end) as u from c where i = m)),
+tail as (select series_id, i, y from d where i > greatest(n - 8, 1)),
+w as (select l.series_id, k, method, coalesce(round(case when coalesce(sum(abs(y)), 0) > 0 then sum(abs(y - level)) / sum(abs(y)) else 0 end, 9), 'infinity'::double) as loss from l left join tail on tail.series_id = l.series_id where part = 'train' group by all),
+b as (select * from w qualify row_number() over (partition by series_id order by loss, k) = 1), z as (select series_id, max(y) = 0 and min(y) = 0 as empty from d group by 1)
+select b.series_id, case when empty then 'zero' else b.method end as method, round(case when empty then 0 else loss end, 6) as loss, round(case when empty then 0 else greatest(coalesce(level, 0), 0) end, 6) as level
+from b join l on l.series_id = b.series_id and l.k = b.k and l.part = 'all' join z on z.series_id = b.series_id""")
 def intermittent_selection(spark, sf_dir):
     return rounded(fc.intermittent_selector(supplier_months(spark, sf_dir), 8))
 
@@ -206,12 +242,23 @@ def kalman_trend_forecasts(spark, sf_dir):
     return rounded(fc.kalman_trend_forecast(daily(spark, sf_dir), 7), 4)
 
 
-@query()
+@query(f"""with recursive {DAILY}, d as (select series_id, y, row_number() over (partition by series_id order by ts) as i, count(*) over (partition by series_id) as n from daily),
+k as (select series_id, i, n, y as level, 1.0::double as var, 0.0::double as prior from d where i = 1 union all
+select d.series_id, d.i, d.n, k.level + (k.var + 0.1) / (k.var + 1.1) * (d.y - k.level), (1 - (k.var + 0.1) / (k.var + 1.1)) * (k.var + 0.1), k.var + 0.1 from k join d on d.series_id = k.series_id and d.i = k.i + 1),
+b as (select series_id, i, level, prior from k where i = n union all select k.series_id, k.i, k.level + k.var / b.prior * (b.level - k.level), k.prior from b join k on k.series_id = b.series_id and k.i = b.i - 1)
+select series_id, (i - 1)::int as step, round(level, 6) as level from b""")
 def kalman_smoothed_levels(spark, sf_dir):
-    return fc.histories(daily(spark, sf_dir)).select("series_id", F.transform(fc.kalman_smoothed(F.col("y"), 0.1, 1.0), lambda v: F.round(v, 6)).alias("levels"))
+    hist = fc.histories(daily(spark, sf_dir)).select("series_id", F.posexplode(fc.kalman_smoothed(F.col("y"), 0.1, 1.0)).alias("step", "level"))
+    return rounded(hist)
 
 
-@query()
+@query(f"""with recursive {DAILY}, d as (select series_id, ts, y, row_number() over (partition by series_id order by ts) as i, count(*) over (partition by series_id) as n from daily),
+g as (select * from (values (0, 0.01::double, 1.0::double), (1, 0.1, 1.0), (2, 1.0, 1.0), (3, 1.0, 0.1)) t(g, q, r)),
+k as (select series_id, g, q, r, i, n, ts, y as level, r as var from d, g where i = 1 union all
+select d.series_id, g, q, r, d.i, d.n, d.ts, k.level + (k.var + q) / (k.var + q + r) * (d.y - k.level), (1 - (k.var + q) / (k.var + q + r)) * (k.var + q) from k join d on d.series_id = k.series_id and d.i = k.i + 1),
+best as (select k.g from k join d on d.series_id = k.series_id and d.i > k.i where k.i = greatest(k.n - 7, 1) group by k.g order by sum((d.y - k.level) ** 2), k.g limit 1),
+f as (select series_id, ts + to_days(s) as ts, s as horizon, level as mean, var + s * q + r as v from k join best using (g), (select unnest(generate_series(1, 7))::int as s) where i = n)
+select series_id, ts, horizon, 'kalman_level' as model, round(mean, 6) as mean, round(v, 6) as variance, round(mean - 1.959963984540054 * sqrt(v), 6) as lower, round(mean + 1.959963984540054 * sqrt(v), 6) as upper from f""")
 def auto_kalman_forecasts(spark, sf_dir):
     return rounded(fc.auto_kalman(daily(spark, sf_dir), 7))
 
@@ -312,17 +359,43 @@ def rolling_origin_backtest(spark, sf_dir):
     return rounded(fc.backtest(d, folds, lambda p: fc.predictions(fc.histories(p), fc.seasonal_naive(7), 7, "seasonal_naive")))
 
 
-@query()
+def _bank_sql(src: str, x: str) -> str:
+    """CTEs up to ``bank{x}``: the predictions of every model of the bank over the panel ``src``, a week ahead."""
+    return f"""bh{x} as (select series_id, count(*) as n, max(ts) as last_ts, list(y order by ts) as y from {src} group by 1), bw{x} as (select unnest(generate_series(1, 7))::int as s),
+bt{x} as (select series_id, regr_slope(y, i) as slope from (select *, row_number() over (partition by series_id order by ts) as i from {src}) group by 1), {_ets_sql(src, _ETS_POINT, x)},
+bk{x} as (select series_id, i, y as level, 1.0::double as var from ed{x} where i = 0 union all
+select d.series_id, d.i, k.level + (k.var + 0.1) / (k.var + 1.1) * (d.y - k.level), (1 - (k.var + 0.1) / (k.var + 1.1)) * (k.var + 0.1) from bk{x} k join ed{x} d on d.series_id = k.series_id and d.i = k.i + 1),
+bf{x} as (select series_id, last_ts, s, 'naive' as model, y[-1] as mean from bh{x}, bw{x} union all
+select series_id, last_ts, s, 'drift', y[-1] + s * (y[-1] - y[1]) / greatest(n - 1, 1) from bh{x}, bw{x} union all
+select series_id, last_ts, s, 'seasonal_naive', y[n - least(7, n) + 1 + (s - 1) % least(7, n)] from bh{x}, bw{x} union all
+select series_id, last_ts, s, 'window_average', list_avg(y[n - least(7, n) + 1 :]) from bh{x}, bw{x} union all
+select series_id, last_ts, s, 'seasonal_window_average', list_avg(list_transform(generate_series(1, greatest(least(3, n // least(7, n)), 1)), lambda k: y[n - k * least(7, n) + 1 + (s - 1) % least(7, n)])) from bh{x}, bw{x} union all
+select series_id, last_ts, s, 'mean', list_avg(y) from bh{x}, bw{x} union all
+select series_id, last_ts, s, 'theta', list_reduce(y, lambda a, v: 0.3 * v + 0.7 * a) + 0.5 * slope * s from bh{x} join bt{x} using (series_id), bw{x} union all
+select h.series_id, last_ts, w.s, 'ets', level + w.s * trend + e.s[(h.n + w.s - 1) % 7 + 1] from bh{x} h join ets{x} e on e.series_id = h.series_id and e.i = h.n - 1, bw{x} w union all
+select h.series_id, last_ts, w.s, 'kalman_level', level from bh{x} h join bk{x} k on k.series_id = h.series_id and k.i = h.n - 1, bw{x} w),
+bank{x} as (select series_id, last_ts + to_days(s) as ts, s as horizon, model, mean from bf{x})"""
+
+
+_TAIL = f"""{DAILY}, back as (select series_id, ts, y, row_number() over (partition by series_id order by ts desc) as b from daily), tr as (select series_id, ts, y from back where b > 7), te as (select series_id, ts, y from back where b <= 7), {_bank_sql("tr", "1")}"""
+_SERIES_SCORES = "scores as (select series_id, model, sum(abs(mean - y)) / sum(abs(y)) as wape from bank1 join te using (series_id, ts) group by all)"
+
+
+@query(f"""with recursive {_TAIL} select model, round(sum(abs(mean - y)) / sum(abs(y)), 6) as wape, round(sqrt(avg((mean - y) ** 2)), 6) as rmse from bank1 join te using (series_id, ts) group by model""")
 def bank_tail_scores(spark, sf_dir):
     return rounded(fc.bank_scores(daily(spark, sf_dir), 7, 7))
 
 
-@query()
+@query(f"""with recursive {_TAIL}, {_bank_sql("daily", "2")}, {_SERIES_SCORES}, best as (select series_id, model from scores where not isnan(wape) qualify row_number() over (partition by series_id order by wape, model) = 1)
+select series_id, model, ts, horizon, round(mean, 6) as mean from bank2 join best using (series_id, model)""")
 def best_of_bank_forecasts(spark, sf_dir):
     return rounded(fc.best_of_bank(daily(spark, sf_dir), 7, 7))
 
 
-@query()
+@query(f"""with recursive {_TAIL}, {_bank_sql("daily", "2")}, {_SERIES_SCORES}, r as (select *, row_number() over (partition by series_id order by wape, model) as rank from scores where not isnan(wape)),
+h as (select series_id, min(wape) filter (rank = 2) is not null and min(wape) <= min(wape) filter (rank = 2) * 0.95 as hard from r group by 1),
+w as (select series_id, model, case when hard then (rank = 1)::int::double when rank <= 3 then 1 / greatest(wape, 1e-6) else 0 end as weight from r join h using (series_id))
+select series_id, ts, horizon, round(sum(weight * mean) / sum(weight), 6) as mean, 'ensemble' as model from bank2 join w using (series_id, model) where weight > 0 group by series_id, ts, horizon""")
 def gated_ensemble(spark, sf_dir):
     d = daily(spark, sf_dir)
     scores = fc.bank_scores(d, 7, 7, by=("series_id", "model"))

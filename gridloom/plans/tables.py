@@ -95,11 +95,11 @@ def errors_by_group(spark, sf_dir):
 
 # --- ranking and portfolios --------------------------------------------------------------------------------------------
 
-_ASSETS = """a as (select extract(month from ts)::int as m, user_id as id, avg(value) as score, max(value) / 100 as ret from events where user_id <= 40 group by all)"""
+_ASSETS = """a as (select extract(month from ts)::int as m, user_id as id, avg(value) as score, max(value) / 100 as ret from events group by all)"""
 
 
 def _assets(spark, sf_dir):
-    e = table(spark, sf_dir, "events")  # all users: _ASSETS stops at id 40
+    e = table(spark, sf_dir, "events")
     return e.groupBy(F.month("ts").alias("m"), F.col("user_id").alias("id")).agg(F.avg("value").alias("score"), (F.max("value") / 100).alias("ret"))
 
 
@@ -338,12 +338,22 @@ def buffered_training_rows(spark, sf_dir):
     return fo.buffered_training(p, 1, 0.9).select("id", "fold")
 
 
-@query()
+def _balance_sql(groups: str, folds: int) -> str:
+    """CTEs up to ``deal`` (g, fold) for ``groups`` (g, n): largest first into the smallest fold."""
+    return f"""o as (select g, n, row_number() over (order by n desc, g) as i from {groups}),
+load as (select i, g, 0 as fold, [n, {", ".join(["0"] * (folds - 1))}]::bigint[] as l from o where i = 1 union all
+select o.i, o.g, list_position(l, list_min(l)) - 1, list_transform(l, lambda x, j: case when j = list_position(l, list_min(l)) then x + o.n else x end) from load join o on o.i = load.i + 1),
+deal as (select g, fold from load)"""
+
+
+@query(f"""with recursive {POINTS}, e as (select min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from points),
+b as (select id, (least(floor((x - x0) / greatest(x1 - x0, 1e-12) * 5), 4) * 5 + least(floor((y - y0) / greatest(y1 - y0, 1e-12) * 5), 4))::bigint as block from points, e),
+n as (select block as g, count(*) as n from b group by 1), {_balance_sql("n", 4)} select id, block, fold::int as fold from b join deal on g = block""")
 def spatial_block_folds(spark, sf_dir):
     return fo.spatial_blocks(supplier_points(spark, sf_dir), 4).select("id", "block", "fold")
 
 
-@query()
+@query(f"""with recursive n as (select c_nationkey as g, count(*) as n from customer group by 1), {_balance_sql("n", 5)} select c_custkey, c_nationkey, fold::int as fold from customer join deal on g = c_nationkey""")
 def grouped_fold_table(spark, sf_dir):
     return fo.grouped_folds(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", 5)
 
@@ -389,13 +399,13 @@ def directional_node_features(spark, sf_dir):
     return rounded(gr.directional_features(part_edges(spark, sf_dir)), 2)
 
 
-@query("""with e as (select distinct c_nationkey as src, s_nationkey as dst from customer join supplier on c_custkey % 100 = s_suppkey % 100 where c_custkey <= 300) select src, dst from e union all select dst, src from e where src <> dst""")
+@query("""with e as (select distinct c_nationkey as src, s_nationkey as dst from customer join supplier on c_custkey % 100 = s_suppkey % 100) select src, dst from e union all select dst, src from e where src <> dst""")
 def mirrored_edges(spark, sf_dir):
     return gr.undirected(_nation_edges(spark, sf_dir))
 
 
 def _nation_edges(spark, sf_dir):
-    """Nations of customers and suppliers alike in key mod 100, over whole tables (the SQL of the queries stops at customer 300).
+    """Nations of customers and suppliers alike in key mod 100, over whole tables.
 
     Both sides are reduced to (nation, remainder) first, so the join doesn't grow with the tables.
     """
@@ -404,15 +414,15 @@ def _nation_edges(spark, sf_dir):
     return c.join(s, "k").select("src", "dst").distinct()
 
 
-@query("""with e as (select distinct c_nationkey as src, s_nationkey as dst from customer join supplier on c_custkey % 100 = s_suppkey % 100 where c_custkey <= 300), p as (select src::varchar as s, dst::varchar as d, 'pair:' || src || ':' || dst as m from e)
+@query("""with e as (select distinct c_nationkey as src, s_nationkey as dst from customer join supplier on c_custkey % 100 = s_suppkey % 100), p as (select src::varchar as s, dst::varchar as d, 'pair:' || src || ':' || dst as m from e)
 select distinct s as src, m as dst, 'a' as rel from p union all select distinct m, d, 'b' from p""")
 def pair_node_edges(spark, sf_dir):
     return gr.pair_nodes(_nation_edges(spark, sf_dir), "a", "b")
 
 
-@query("""with o as (select o_orderkey, o_custkey from orders where o_orderkey < 4000), a as (select o_custkey as src, l_suppkey as mid from o join lineitem on l_orderkey = o_orderkey), b as (select s_suppkey as mid, s_nationkey as dst from supplier) select src, mid, dst, count(*) as n from a join b using (mid) group by all""")
+@query("""with o as (select o_orderkey, o_custkey from orders), a as (select o_custkey as src, l_suppkey as mid from o join lineitem on l_orderkey = o_orderkey), b as (select s_suppkey as mid, s_nationkey as dst from supplier) select src, mid, dst, count(*) as n from a join b using (mid) group by all""")
 def two_hop_paths(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")  # all orders: the SQL stops at key 4000
+    o = table(spark, sf_dir, "orders")
     a = o.join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit("buys").alias("rel"))
     b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"), F.col("s_nationkey").cast("bigint").alias("dst"), F.lit("in").alias("rel"))
     return gr.two_hop(a.union(b), "buys", "in").select("src", "mid", F.col("dst").cast("int").alias("dst"), "n")
@@ -431,7 +441,7 @@ def noise_distribution(spark, sf_dir):
     return rounded(gr.noise_weights(part_edges(spark, sf_dir)), 4)
 
 
-_LINKS = "links as (select vec_id as src, (vec_id * 7 + 3) % 500 as dst from embeddings)"
+_LINKS = "links as (select vec_id as src, (vec_id * 7 + 3) % (select count(*) from embeddings) as dst from embeddings)"
 
 
 def _vectors(spark, sf_dir):
@@ -439,7 +449,7 @@ def _vectors(spark, sf_dir):
 
 
 def _n_vectors(spark, sf_dir):
-    """The modulus of targets, so that any vector can be one (the SQL of the queries has 500, the size of the small tables)."""
+    """The modulus of targets, so that any vector can be one."""
     return max(table(spark, sf_dir, "embeddings").count(), 1)
 
 
@@ -461,7 +471,7 @@ def aggregation_layer(spark, sf_dir):
     return rounded(out.select("id", F.get("vec", F.lit(0)).alias("a"), F.get("vec", F.lit(1)).alias("b")))
 
 
-@query("""select e.vec_id as id, round(list_cosine_similarity(e.embedding::double[], f.embedding::double[]), 6) as cosine from embeddings e join embeddings f on f.vec_id = (e.vec_id + 1) % 500""")
+@query("""select e.vec_id as id, round(list_cosine_similarity(e.embedding::double[], f.embedding::double[]), 6) as cosine from embeddings e join embeddings f on f.vec_id = (e.vec_id + 1) % (select count(*) from embeddings)""")
 def cosine_table(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     other = v.select(F.col("id").alias("j"), F.col("vec").alias("w"))
