@@ -84,10 +84,10 @@ def dense_id_left(value: Column, members: Sequence[int]) -> Column:
 
 
 def kernel_blend(distance: Column, bandwidth: float, kernel: str) -> Column:
-    """How soft a branch is at a distance: 1 at the boundary, 0 from the bandwidth on (the two exponential ones: in the limit)."""
+    """How soft a branch is at a distance: 1 at the boundary, 0 from the bandwidth on."""
     u = F.abs(distance) / bandwidth
     shape = {
-        "linear": 1 - u, "gaussian": F.exp(-0.5 * u * u), "exponential": F.exp(-u), "bisquare": (1 - u * u) * (1 - u * u),
+        "linear": 1 - u, "gaussian": F.exp(-0.5 * (2.5 * u) * (2.5 * u)), "exponential": F.exp(-3.0 * u), "bisquare": (1 - u * u) * (1 - u * u),
         "epanechnikov": 1 - u * u, "tricube": (1 - u * u * u) * (1 - u * u * u) * (1 - u * u * u),
     }[kernel]
     return F.when(u >= 1, 0.0).otherwise(shape)

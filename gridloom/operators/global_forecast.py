@@ -29,6 +29,8 @@ def tree_values(node: Node, x: dict[str, np.ndarray], n: int) -> np.ndarray:
     """A tree's values for columns of features."""
     if node.feature is None:
         return np.full(n, node.value) + sum((np.nan_to_num(x[f]) * c for f, c in node.slopes.items()), 0.0)
+    if node.kind != "axis" or node.fuzzy:
+        raise ValueError("recursive steps know hard threshold splits")
     v = x[node.feature]
     left = np.where(np.isfinite(v), v <= node.threshold, node.missing_left)
     return np.where(left, tree_values(node.left, x, n), tree_values(node.right, x, n))
