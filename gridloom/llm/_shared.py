@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,10 +16,10 @@ from gridloom.session import reachable
 
 #: Rows of a side that may be broadcast: narrow rows (ids and a few numbers), so at most some 30 MB.
 BROADCAST_ROWS = 400_000
-#: Rows of an Arrow batch at most while a table is staged: some 3 MB of ordinary documents, so that a batch with long texts stays
-#: small too. Elsewhere the session's own setting holds, and its bound on the bytes of a batch.
+#: Rows of an Arrow batch: some 3 MB of ordinary documents, so that a batch with long texts, and its copies in the JVM and in
+#: Python, stay small too. Spark's own default is ten times as many.
 BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 #: Bytes of text that one slice of an Arrow batch holds; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 _U = np.uint64
@@ -49,15 +50,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    rows = spark.conf.get(_BATCH, None)
-    small = not rows or not 0 < int(rows) <= BATCH_ROWS
-    try:
-        if small:
-            spark.conf.set(_BATCH, str(BATCH_ROWS))
-        df.write.parquet(path)
-    finally:
-        if small:
-            spark.conf.set(_BATCH, rows) if rows else spark.conf.unset(_BATCH)
+    df.write.parquet(path)
     if getattr(spark.sparkContext, "_gridloom_folder", None) != shared_dir(spark):
         at, files = _path_of(spark, shared_dir(spark))
         files.deleteOnExit(at)
@@ -74,10 +67,29 @@ def unstage(*tables: DataFrame) -> None:
         files.delete(at, True)
 
 
+def _returned(run: Callable) -> Callable:
+    """``run``, giving memory that is free again back to the system when a partition ends: workers live on between stages."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``mapInArrow`` whose workers find this package where the driver's copy lies, if it isn't installed for them."""
+    """``mapInArrow`` whose workers find this package where the driver's copy lies, if it isn't installed for them.
+
+    A session that still has Spark's default number of rows in an Arrow batch gets BATCH_ROWS: plans read the setting when they
+    run, so it must stay. A session with another number keeps it.
+    """
     reachable(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    if df.sparkSession.conf.get(_BATCH, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
+    return df.mapInArrow(_returned(run), schema)
 
 
 def sized_join(left: DataFrame, right: DataFrame, on: list[str] | Column, how: str) -> DataFrame:

@@ -29,8 +29,8 @@ from gridloom.llm._shared import map_arrow, text_slices
 
 #: Bytes of the longest word that takes the scanned array.
 SHORT = 64
-#: Words in each half of a worker's memory of encoded words.
-REMEMBERED = 250_000
+#: Words in each half of a worker's memory of encoded words: some 20 MB, which a worker keeps between partitions.
+REMEMBERED = 60_000
 _NONE = np.int32(2**31 - 1)
 
 
