@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.session import staged
+
+
 def _deal(counts: Sequence[tuple[int, int]], folds: int) -> list[tuple[int, int, int, list[int]]]:
     """(size, first, behind, order) for (size, number of groups) by falling size: the groups of these places, counted over all
     sizes, go to the folds of ``order`` in turn.
@@ -35,15 +37,6 @@ def _deal(counts: Sequence[tuple[int, int]], folds: int) -> list[tuple[int, int,
     return out
 
 
-def _staged(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again, so that row numbers stay."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/gridloom-{spark.sparkContext.applicationId}/folds-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def balanced(rows: DataFrame, group: str, folds: int) -> DataFrame:
     """``fold`` by group: largest group first into the smallest fold (ties: the group's value, the fold's number).
 
@@ -52,7 +45,7 @@ def balanced(rows: DataFrame, group: str, folds: int) -> DataFrame:
     """
     by = [F.col("n").desc(), F.col("_g")]
     sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("n"))
-    parts = _staged(sizes.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    parts = staged(sizes.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "folds")
     counts = [(r["n"], r["c"]) for r in parts.groupBy("n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.col("n").desc()).collect()]
     part = F.shiftright("_at", 33)
     first = parts.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_c"))

@@ -483,16 +483,38 @@ def level_totals(spark, sf_dir):
     return rounded(hi.level_totals(rows, [["o_orderstatus"], ["o_orderpriority"], ["o_orderpriority", "o_orderstatus"], []]), 2)
 
 
-@query()
+def _reconciled_sql(nation: float, region: float, total: float) -> str:
+    """The projection of a three-level tree, level by level, with a variance for each level."""
+    return f"""with n as (select 'n' || n_nationkey as node, 'r' || n_regionkey as parent, n_nationkey * 37 % 101 + 0.5::double as y, {nation}::double as w from nation),
+c as (select parent, sum(y) as m, sum(w) as v from n group by 1), r0 as (select 'r' || r_regionkey as node, r_regionkey * 53 % 211 + 100.0::double as y, {region}::double as w, m, v from region left join c on parent = 'r' || r_regionkey),
+r as (select node, m, v, case when v is null then y else (y / w + m / v) / (1 / w + 1 / v) end as mr, case when v is null then w else 1 / (1 / w + 1 / v) end as vr from r0),
+a as (select (1234.5::double / {total} + sum(mr) / sum(vr)) / (1 / {total}::double + 1 / sum(vr)) as f, sum(mr) as m, sum(vr) as v from r), rf as (select node, mr + vr / a.v * (a.f - a.m) as f, r.m, r.v from r, a)
+select 1 as ts, node, round(f, 4) as mean from (select 'all' as node, f from a union all select node, f from rf union all select n.node, y + w / rf.v * (rf.f - rf.m) from n join rf on rf.node = n.parent)"""
+
+
+def _regions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The closure of nations, regions and the world, and a base forecast of each node."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    edges = n.select(key("n", "n_nationkey").alias("child"), key("r", "n_regionkey").alias("parent")).union(r.select(key("r", "r_regionkey"), F.lit("all")))
+    base = n.select(key("n", "n_nationkey").alias("node"), (F.col("n_nationkey") * 37 % 101 + 0.5).cast("double").alias("mean"))
+    base = base.union(r.select(key("r", "r_regionkey"), (F.col("r_regionkey") * 53 % 211 + 100).cast("double"))).union(spark.range(1).select(F.lit("all"), F.lit(1234.5)))
+    return hi.closure(edges), base.withColumn("ts", F.lit(1))
+
+
+@query(_reconciled_sql(1, 1, 1))
 def least_squares_reconciliation(spark, sf_dir):
-    c = table(spark, sf_dir, "nation")
-    edges = c.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("child"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"))
-    edges = edges.union(table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")), F.lit("all")))
-    tree = hi.closure(edges)
-    base = tree.select(F.col("ancestor").alias("node")).distinct().withColumn("mean", F.pmod(F.xxhash64("node"), F.lit(1000)).cast("double")).withColumn("ts", F.lit(1))
+    tree, base = _regions(spark, sf_dir)
     return rounded(hi.reconcile(base, tree), 4)
 
 
+@query(_reconciled_sql(1, 2.5, 4))
+def weighted_reconciliation(spark, sf_dir):
+    tree, base = _regions(spark, sf_dir)
+    variances = base.select("node", F.when(F.col("node") == "all", 4.0).when(F.col("node").startswith("r"), 2.5).otherwise(1.0).alias("variance"))
+    return rounded(hi.reconcile(base, tree, variances), 4)
+
+
 @query()
 def recursive_boost_forecasts(spark, sf_dir):
     return rounded(gf.lag_boost_forecast(daily(spark, sf_dir), 7, gf.LagSpec(lags=(1, 2, 7), roll_mean=(3,), roll_std=(7,), ewm_percent=(30,), deltas=(1,), trends=(3,), calendar=("day_of_week", "day_of_month_sin"))))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive execution sizes partitions and splits skewed ones; times are UTC.
 SETTINGS = {
@@ -26,3 +28,22 @@ def reachable(spark: SparkSession) -> None:
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = f"{env['PYTHONPATH']}:{root}" if env.get("PYTHONPATH") else root
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Written to the folder that driver and executors share, and read again: cuts lineage and survives lost executors.
+
+    The folder of the application is deleted when the driver ends. Without ``spark.checkpoint.dir`` all must run in one process.
+    """
+    spark = df.sparkSession
+    context, base = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "/tmp/checkpoints"
+    folder = f"{base.rstrip('/')}/gridloom-{context.applicationId}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = context._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
