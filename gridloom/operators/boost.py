@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.predicates import (
     DIAGONALS, KERNELS, axis_distance, axis_left, circular_gap, diagonal_distance, diagonal_left, finite, periodic_distance, periodic_left, radial_distance, radial_left, set_left, sigmoid, soft_left, softmax, wrap,
 )
+from gridloom.operators.order import running
 
 LOSSES = ("l2", "log_l2", "l1", "huber", "quantile", "logistic", "poisson")
 
@@ -785,26 +786,26 @@ def set_split_gains(rows: DataFrame, ids: str, target: str) -> DataFrame:
 
 
 def axis_split_gains(rows: DataFrame, feature: str, target: str) -> DataFrame:
-    """(threshold, n_left, gain): exact splits at middles between adjacent distinct values, from sums by value."""
-    from pyspark.sql import Window
-
+    """(threshold, n_left, gain): exact splits at middles between adjacent distinct values, from running sums by value."""
     v = rows.where(finite(F.col(feature))).groupBy(F.col(feature).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.sum(target).alias("s"))
-    w = Window.orderBy("v")
-    up = w.rowsBetween(Window.unboundedPreceding, 0)
-    run = v.select(((F.col("v") + F.lead("v").over(w)) / 2).alias("threshold"), F.sum("n").over(up).alias("n_left"), F.sum("s").over(up).alias("s_left"))
+    upto = running(v, ["v"], {"k": F.lit(1), "n_left": F.col("n"), "s_left": F.col("s")})
+    following = upto.select((F.col("k") - 1).alias("k"), F.col("v").alias("next"))
     t = v.agg(F.sum("n"), F.sum("s")).first()
     n, s = t[0] or 0, t[1] or 0.0
     left = F.col("s_left") * F.col("s_left") / F.col("n_left")
     right = F.pow(F.lit(s) - F.col("s_left"), 2) / F.nullif(F.lit(n) - F.col("n_left"), F.lit(0))
-    return run.where(F.col("threshold").isNotNull()).select("threshold", "n_left", (left + right - F.lit(s * s / max(n, 1))).alias("gain"))
+    return upto.join(following, "k").select(((F.col("v") + F.col("next")) / 2).alias("threshold"), "n_left", (left + right - F.lit(s * s / max(n, 1))).alias("gain"))
 
 
 def weighted_quantile(rows: DataFrame, value: str, weight: str, level: float, by: Sequence[str] = ()) -> DataFrame:
     """The first value whose cumulative weight reaches the level's share; non-finite values and weights <= 0 are left out."""
     from pyspark.sql import Window
 
-    part = Window.partitionBy(*(by or [F.lit(0)]))
     v = rows.where(finite(F.col(value)) & (F.col(weight) > 0)).groupBy(*by, F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
+    if not by:
+        total = v.agg(F.sum("w")).first()[0] or 0
+        return running(v, ["v"], {"c": F.col("w")}).where(F.col("c") >= level * F.lit(total)).agg(F.min("v").alias("quantile"))
+    part = Window.partitionBy(*by)
     v = v.withColumn("c", F.sum("w").over(part.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("t", F.sum("w").over(part))
     return v.where(F.col("c") >= level * F.col("t")).groupBy(*by).agg(F.min("v").alias("quantile"))
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.order import placed
+
 
 def target_mean(train: DataFrame, column: str, target: str, weight: str | None = None, smoothing: float = 10.0) -> DataFrame:
     """(Σ w y + s μ) / (Σ w + s) of each category; μ is the weighted mean of all rows."""
@@ -85,7 +87,7 @@ def encode(rows: DataFrame, train: DataFrame, column: str, target: str, low: int
 def dictionary(rows: DataFrame, column: str, order: str) -> DataFrame:
     """(column, code): codes from 0 by the first place (smallest ``order``) of each value."""
     first = rows.groupBy(column).agg(F.min(order).alias("_o"))
-    return first.select(column, (F.row_number().over(Window.orderBy("_o", column)) - 1).alias("code"))
+    return placed(first, ["_o", column], "_k").select(column, (F.col("_k") - 1).alias("code"))
 
 
 def class_weights(train: DataFrame, label: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.predicates import cosine, dot, sigmoid, unit_draw
+from gridloom.operators.order import placed
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def node_codes(edges: DataFrame, order: str) -> DataFrame:
     """(node, code) by first appearance in ``order``, source before target; codes from 0."""
     seen = edges.select(F.col("src").alias("node"), F.struct(F.col(order), F.lit(0)).alias("at")).union(edges.select("dst", F.struct(F.col(order), F.lit(1))))
     first = seen.groupBy("node").agg(F.min("at").alias("at"))
-    return first.select("node", (F.row_number().over(Window.orderBy("at", "node")) - 1).alias("code"))
+    return placed(first, ["at", "node"], "_k").select("node", (F.col("_k") - 1).alias("code"))
 
 
 def encode_edges(edges: DataFrame, codes: DataFrame) -> DataFrame:
@@ -121,11 +122,11 @@ def negative_edges(edges: DataFrame, nodes: DataFrame, per_edge: int = 1, seed:
     node set is never crossed with the edges. Edges that are left with too few draw ranks among the source's unlinked nodes
     instead. A source that is linked to all nodes yields none.
     """
-    numbered = nodes.select("node").distinct().withColumn("k", F.row_number().over(Window.orderBy("node")) - 1)
+    numbered = placed(nodes.select("node").distinct(), ["node"], "k").withColumn("k", F.col("k") - 1)
     n = numbered.count()
     e = edges.select("src", "dst").distinct()
     tries = e.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(per_edge * oversample - 1))))
-    tries = tries.withColumn("k", F.floor(unit_draw(seed, F.col("src"), F.col("dst"), F.col("try")) * n).cast("int"))
+    tries = tries.withColumn("k", F.floor(unit_draw(seed, F.col("src"), F.col("dst"), F.col("try")) * n).cast("long"))
     drawn = tries.join(numbered, "k").select("src", "dst", "try", F.col("node").alias("negative"))
     free = drawn.join(e.select("src", F.col("dst").alias("negative")), ["src", "negative"], "left_anti").dropDuplicates(["src", "dst", "negative"])
     kept = F.row_number().over(Window.partitionBy("src", "dst").orderBy("try"))
@@ -150,15 +151,6 @@ def negative_edges(edges: DataFrame, nodes: DataFrame, per_edge: int = 1, seed:
     return found.join(short, ["src", "dst"], "left_anti").unionByName(filled)
 
 
-def weighted_step(edges: DataFrame, at: DataFrame, draw: Column, key: Sequence[str]) -> DataFrame:
-    """One weighted random step of walkers (key, node, ...): the edge whose cumulative weight first passes the draw."""
-    w = Window.partitionBy("src").orderBy("dst")
-    cum = edges.withColumn("_hi", F.sum("weight").over(w)).withColumn("_all", F.sum("weight").over(Window.partitionBy("src")))
-    steps = at.withColumn("_u", draw).join(cum.select(F.col("src").alias("node"), F.col("dst").alias("next"), "weight", "_hi", "_all"), "node")
-    hit = (F.col("_u") * F.col("_all") < F.col("_hi")) & (F.col("_u") * F.col("_all") >= F.col("_hi") - F.col("weight"))
-    return steps.where(hit).groupBy(*key).agg(F.min("next").alias("next"))
-
-
 def walks(edges: DataFrame, starts: DataFrame, length: int, per_node: int = 1, p: float = 1.0, q: float = 1.0, seed: int = 11) -> DataFrame:
     """(start, walk, path): seeded second-order walks; weights are scaled by 1/p to go back, 1/q to leave the neighbourhood.
 

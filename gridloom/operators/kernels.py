@@ -375,7 +375,7 @@ def embedding_table(rows: DataFrame, ids: str, target: str, dim: int = 4, prior:
     head /= np.linalg.norm(head)
     top = table.agg(F.max(F.abs("r"))).first()[0] or 1.0
     vec = lambda h: F.array(*(F.greatest(F.least(F.col("r") / F.lit(top) * float(c) / float(h @ h + ridge / dim), F.lit(1.0)), F.lit(-1.0)) for c in h))
-    for _ in range(min(rounds, 3)):
+    for _ in range(rounds):
         v = table.withColumn("v", vec(head))
         sums = v.agg(*(F.sum(F.col("n") * F.get("v", F.lit(i)) * F.get("v", F.lit(j))).alias(f"a{i}_{j}") for i in range(dim) for j in range(dim)), *(F.sum(F.col("n") * F.get("v", F.lit(i)) * F.col("r") / F.lit(top)).alias(f"b{i}") for i in range(dim))).first()
         a = np.array([[sums[f"a{i}_{j}"] or 0.0 for j in range(dim)] for i in range(dim)])
@@ -383,7 +383,9 @@ def embedding_table(rows: DataFrame, ids: str, target: str, dim: int = 4, prior:
         new = np.linalg.solve(a + ridge * np.eye(dim), b)
         if not np.isfinite(new).all() or np.linalg.norm(new) < 1e-9:
             break
-        head = new / np.linalg.norm(new)
+        before, head = head, new / np.linalg.norm(new)
+        if np.abs(head - before).max() < 1e-12:  # it no longer moves
+            break
     return table.select("id", vec(head).alias("vec"))
 
 
@@ -436,31 +438,57 @@ def skip_gram(pairs: DataFrame, noise: DataFrame, dim: int = 8, epochs: int = 3,
 # --- small network ---------------------------------------------------------------------------------------------------
 
 
-def window_network(panel: DataFrame, horizon: int, window: int = 7, hidden: int = 16, epochs: int = 200, rate: float = 0.01, pool: int = 1, sample: int = 50_000, seed: int = 13, frequency: str = "D", model: str = "nbeats") -> DataFrame:
-    """One hidden-layer network on scaled windows (input pooled by ``pool``), trained on at most ``sample`` windows by hash and
-    applied recursively to each series' tail."""
+#: Windows that one part of the network's training holds; more windows make more parts.
+PART_WINDOWS = 50_000
+
+
+def window_network(panel: DataFrame, horizon: int, window: int = 7, hidden: int = 16, epochs: int = 200, rate: float = 0.01, pool: int = 1, rounds: int = 4, part_windows: int = PART_WINDOWS, seed: int = 13, frequency: str = "D", model: str = "nbeats") -> DataFrame:
+    """One hidden-layer network on scaled windows (input pooled by ``pool``), applied recursively to each series' tail.
+
+    All windows are learned from: they are dealt to parts of about ``part_windows``, each part descends from the shared weights
+    for its share of the epochs, and the weights are averaged by the parts' rows, ``rounds`` times. One part is plain descent.
+    """
     from pyspark.sql import Window
 
     order = Window.partitionBy("series_id").orderBy("ts").rowsBetween(-window, -1)
     stats = panel.agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s")).first()
     mean, scale = stats["m"] or 0.0, max(stats["s"] or 0.0, 1e-9)
     rows = panel.withColumn("x", F.collect_list("y").over(order)).where(F.size("x") == window)
-    n = rows.count()
-    share = min(1.0, sample / max(n, 1))
-    got = rows.where(F.pmod(F.xxhash64("series_id", "ts"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("series_id", "ts").limit(sample).select("x", "y").collect()
+    parts = max(1, math.ceil(rows.count() / part_windows))
+    dealt = rows.select("series_id", "ts", "x", "y", F.pmod(F.xxhash64("series_id", "ts"), F.lit(parts)).cast("int").alias("part")).persist()
     pooled = lambda x: x.reshape(len(x), -1, pool).mean(2) if pool > 1 and x.shape[1] % pool == 0 else x
     rng = np.random.default_rng(seed)
     width = window // pool if pool > 1 and window % pool == 0 else window
-    w1, b1, w2, b2 = rng.normal(0, 1 / math.sqrt(width), (width, hidden)), np.zeros(hidden), rng.normal(0, 1 / math.sqrt(hidden), hidden), 0.0
-    if got:
-        x = pooled((np.array([r["x"] for r in got], float) - mean) / scale)
-        y = (np.array([r["y"] for r in got], float) - mean) / scale
-        for _ in range(epochs):
-            a = np.maximum(x @ w1 + b1, 0)
-            e = (a @ w2 + b2 - y) / len(y)
-            back = np.outer(e, w2) * (a > 0)
-            w2, b2 = w2 - rate * len(y) ** 0.5 * (a.T @ e), b2 - rate * len(y) ** 0.5 * e.sum()
-            w1, b1 = w1 - rate * len(y) ** 0.5 * (x.T @ back), b1 - rate * len(y) ** 0.5 * back.sum(0)
+    shapes = [(width, hidden), (hidden,), (hidden,), (1,)]
+    flat = np.concatenate([rng.normal(0, 1 / math.sqrt(width), width * hidden), np.zeros(hidden), rng.normal(0, 1 / math.sqrt(hidden), hidden), [0.0]])
+
+    def unpacked(v: np.ndarray) -> list[np.ndarray]:
+        ends = np.cumsum([math.prod(s) for s in shapes])
+        return [p.reshape(s) for p, s in zip(np.split(v, ends[:-1]), shapes, strict=True)]
+
+    def trainer(start: np.ndarray, steps: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["series_id", "ts"])
+            x, y = pooled((np.array(pdf["x"].tolist(), float) - mean) / scale), (pdf["y"].to_numpy(float) - mean) / scale
+            w1, b1, w2, b2 = unpacked(start.copy())
+            for _ in range(steps):
+                a = np.maximum(x @ w1 + b1, 0)
+                e = (a @ w2 + b2 - y) / len(y)
+                back = np.outer(e, w2) * (a > 0)
+                w2, b2 = w2 - rate * len(y) ** 0.5 * (a.T @ e), b2 - rate * len(y) ** 0.5 * e.sum()
+                w1, b1 = w1 - rate * len(y) ** 0.5 * (x.T @ back), b1 - rate * len(y) ** 0.5 * back.sum(0)
+            return pd.DataFrame({"n": [len(y)], "w": [np.concatenate([w1.ravel(), b1, w2, b2]).tolist()]})
+
+        return run
+
+    rounds = 1 if parts == 1 else rounds
+    for _ in range(rounds):
+        got = dealt.groupBy("part").applyInPandas(trainer(flat, max(epochs // rounds, 1)), "n long, w array<double>")
+        each = got.select("n", F.posexplode("w").alias("i", "v")).groupBy("i").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("v")).orderBy("i").collect()
+        if each:
+            flat = np.array([r["v"] for r in each])
+    dealt.unpersist()
+    w1, b1, w2, b2 = unpacked(flat)
 
     def ahead(y: np.ndarray, h: int) -> np.ndarray:
         hist = [float(y[0])] * max(window - len(y), 0) + list(y)

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.order import placed, running
+
 FLOOR = 1e-12
 
 
@@ -41,7 +43,12 @@ def point_metrics(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str =
 
 
 def volatility(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), p: str = "mean") -> DataFrame:
-    """Mean absolute first difference of consecutive predictions; 0 for fewer than two."""
+    """Mean absolute first difference of consecutive predictions; 0 for fewer than two. Without groups the rows are ordered by a
+    range sort, and each meets the one before by its place."""
+    if not by:
+        at = placed(df.select(*order, F.col(p).alias("_p")), order, "_k").select("_k", "_p")
+        steps = at.join(at.select((F.col("_k") + 1).alias("_k"), F.col("_p").alias("_q")), "_k")
+        return steps.agg(F.coalesce(F.avg(F.abs(F.col("_p") - F.col("_q"))), F.lit(0.0)).alias("volatility"))
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
     return _g(df.withColumn("_d", F.abs(F.col(p) - F.lag(p).over(w))), by).agg(F.coalesce(F.avg("_d"), F.lit(0.0)).alias("volatility"))
 
@@ -131,17 +138,25 @@ def score_counts(df: DataFrame, by: Sequence[str], y: str, score: str) -> DataFr
 
 def roc_auc(df: DataFrame, by: Sequence[str] = (), y: str = "y", score: str = "score", one_class: float | None = None) -> DataFrame:
     """Area under the ROC curve, half credit for ties; ``one_class`` (or null) where a class is missing."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    c = score_counts(df, by, y, score).withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    counts = score_counts(df, by, y, score)
+    if by:
+        w = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+        c = counts.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    else:
+        c = running(counts, ["s"], {"_upto": F.col("n")}).withColumn("below", F.col("_upto") - F.col("n"))
     won = F.sum(F.col("p") * (F.col("below") + F.col("n") / 2))
     return _g(c, by).agg(F.when((F.sum("p") > 0) & (F.sum("n") > 0), won / (F.sum("p") * F.sum("n"))).otherwise(F.lit(one_class).cast("double")).alias("auc"))
 
 
 def average_precision(df: DataFrame, by: Sequence[str] = (), y: str = "y", score: str = "score", tie: str = "id") -> DataFrame:
     """Sum of recall steps times precision, rows ordered by falling score, ties by ``tie``."""
-    part = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col(score).desc(), tie)
-    hits = F.sum(F.col(y).cast("long")).over(part.rowsBetween(Window.unboundedPreceding, 0))
-    rows = df.withColumn("_p", hits / F.row_number().over(part))
+    if by:
+        part = Window.partitionBy(*by).orderBy(F.col(score).desc(), tie)
+        hits = F.sum(F.col(y).cast("long")).over(part.rowsBetween(Window.unboundedPreceding, 0))
+        rows = df.withColumn("_p", hits / F.row_number().over(part))
+    else:
+        upto = running(df.select(y, score, tie), [F.col(score).desc(), tie], {"_hits": F.col(y).cast("long"), "_rows": F.lit(1)})
+        rows = upto.withColumn("_p", F.col("_hits") / F.col("_rows"))
     return _g(rows, by).agg((F.sum(F.when(F.col(y) == 1, F.col("_p"))) / F.sum(F.col(y).cast("long"))).alias("average_precision"))
 
 
@@ -177,8 +192,7 @@ def conformal_quantile(df: DataFrame, alpha: float, y: str = "y", p: str = "mean
     k = min(max(math.ceil((n + 1) * (1 - alpha)), 1), n)
     # the k-th smallest, from distinct values with running counts: ties need no order, and equal values are one row
     counts = r.groupBy("r").count()
-    w = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    return float(counts.withColumn("c", F.sum("count").over(w)).where(F.col("c") >= k).agg(F.min("r")).first()[0])
+    return float(running(counts, ["r"], {"c": F.col("count")}).where(F.col("c") >= k).agg(F.min("r")).first()[0])
 
 
 def with_intervals(df: DataFrame, q: float, p: str = "mean") -> DataFrame:
@@ -242,8 +256,11 @@ def horizon_rollup(df: DataFrame, window: float = 0.1, horizon: str = "horizon")
     horizon's last row."""
     n = df.count()
     size = max(1, math.ceil(window * n))
-    w = Window.orderBy(horizon, "series_id", "ts").rowsBetween(-(size - 1), 0)
     e = F.col("mean") - F.col("y")
-    rows = df.withColumn("mae", F.avg(F.abs(e)).over(w)).withColumn("rmse", F.sqrt(F.avg(e * e).over(w)))
-    last = F.row_number().over(Window.partitionBy(horizon).orderBy(F.col("series_id").desc(), F.col("ts").desc()))
-    return rows.withColumn("_l", last).where(F.col("_l") == 1).select(horizon, "mae", "rmse")
+    upto = running(df.select(horizon, "series_id", "ts", "mean", "y"), [horizon, "series_id", "ts"], {"_k": F.lit(1), "_a": F.abs(e), "_s": e * e})
+    ends = upto.groupBy(horizon).agg(F.max(F.struct("_k", "_a", "_s")).alias("_end"))  # sums up to each horizon's last row
+    starts = upto.select(F.col("_k").alias("_from"), F.col("_a").alias("_a0"), F.col("_s").alias("_s0"))
+    both = ends.withColumn("_from", F.col("_end._k") - size).join(starts, "_from", "left")
+    held = F.least(F.col("_end._k"), F.lit(size))
+    less = lambda c: (F.col(f"_end.{c}") - F.coalesce(F.col(f"{c}0"), F.lit(0.0))) / held
+    return both.select(horizon, less("_a").alias("mae"), F.sqrt(F.greatest(less("_s"), F.lit(0.0))).alias("rmse"))

@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.metrics import rank_probability_score
+from gridloom.operators.order import placed
 
 
 def rank_buckets(rows: DataFrame, value: str, buckets: int, tie: str, by: Sequence[str] = (), out: str = "bucket") -> DataFrame:
     """floor((place from 0) * buckets / n) by rising value."""
-    part = Window.partitionBy(*(by or [F.lit(0)]))
+    if not by:
+        n = rows.count()
+        return placed(rows, [value, tie], "_k").withColumn(out, F.floor((F.col("_k") - 1) * buckets / n).cast("int")).drop("_k")
+    part = Window.partitionBy(*by)
     place = F.row_number().over(part.orderBy(value, tie)) - 1
     return rows.withColumn(out, F.floor(place * buckets / F.count(F.lit(1)).over(part)).cast("int"))
 
@@ -38,7 +42,12 @@ def calibrated_probabilities(rows: DataFrame, buckets: int, actual: str = "actua
 
 def extreme_decisions(rows: DataFrame, score: str, tie: str, by: Sequence[str] = ()) -> DataFrame:
     """Long the top fifth, short the bottom fifth (one at least), half a unit a side; ``weight`` is 0 for the rest."""
-    part = Window.partitionBy(*(by or [F.lit(0)]))
+    if not by:
+        n = rows.count()
+        k = max(n // 5, 1)
+        ends = placed(placed(rows, [score, tie], "_low"), [F.col(score).desc(), tie], "_high")
+        return ends.withColumn("weight", F.when(F.col("_high") <= k, 0.5 / k).when(F.col("_low") <= k, -0.5 / k).otherwise(0.0)).drop("_low", "_high")
+    part = Window.partitionBy(*by)
     k = F.greatest(F.floor(F.count(F.lit(1)).over(part) / 5), F.lit(1))
     low, high = F.row_number().over(part.orderBy(score, tie)), F.row_number().over(part.orderBy(F.col(score).desc(), tie))
     return rows.withColumn("weight", F.when(high <= k, 0.5 / k).when(low <= k, -0.5 / k).otherwise(0.0))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.predicates import distance_kernel, half_even, haversine_m
 from gridloom.operators.metrics import near_pairs
+from gridloom.operators.order import placed
+from gridloom.session import staged
 
 EDGE = 1e-9
 #: Zones that a broadcast may hold; more meet the points by grid cells.
@@ -52,7 +54,8 @@ def locate(points: DataFrame, zones: DataFrame, cell: float | None = None) -> Da
     if z.limit(MAX_ZONES + 1).count() <= MAX_ZONES and cell is None:
         found = points.join(F.broadcast(z), hit)
     else:
-        size = cell or 1.0
+        # by default a cell has the side of an average zone, so a zone lies in a few cells whatever its units are
+        size = cell or z.agg(F.avg(F.greatest(F.col("z_x1") - F.col("z_x0"), F.col("z_y1") - F.col("z_y0")))).first()[0] or 1.0
         span = lambda a, b: F.sequence(F.floor((F.col(a) - EDGE) / size), F.floor((F.col(b) + EDGE) / size))
         spread = z.withColumn("z_cx", F.explode(span("z_x0", "z_x1"))).withColumn("z_cy", F.explode(span("z_y0", "z_y1")))
         found = points.join(spread, (F.floor(F.col("x") / size) == F.col("z_cx")) & (F.floor(F.col("y") / size) == F.col("z_cy")) & hit).drop("z_cx", "z_cy")
@@ -74,7 +77,7 @@ def overlay(points: DataFrame, zones: DataFrame, weights: dict[str, float], prio
         metres = haversine_m(F.lit(origin[1]), F.lit(origin[0]), F.col("y"), F.col("x"))
         score = score * (1 + boost * distance_kernel(metres, bandwidth or 1.0, kernel))
     rows = rows.withColumn("boost_score", half_even(score, places))
-    return rows.select("id", F.col("z_id").alias("zone_id"), "boost_score", F.row_number().over(Window.orderBy(F.col("boost_score").desc(), "id")).alias("rank"))
+    return rows.select("id", F.col("z_id").alias("zone_id"), "boost_score").transform(lambda d: placed(d, [F.col("boost_score").desc(), "id"], "rank"))
 
 
 def neighbour_bandwidth(points: DataFrame, k: int = 3, cell: float | None = None) -> DataFrame:
@@ -146,32 +149,75 @@ def solve_kriging(xy: np.ndarray, value: np.ndarray, target: np.ndarray, rng: fl
     return float(w[:n] @ value), float(max(sill + nugget - w @ rhs, 0.0))
 
 
+def _met(points: DataFrame, targets: DataFrame, radius: float, apart: bool) -> DataFrame:
+    """Targets (id, x, y) with the points (p_id, p_x, p_y, value) within ``radius`` and their distance d, by grid cells of that
+    side; ``apart`` leaves out the point of the target's own id."""
+    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
+    offsets = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+    spread = points.withColumn("o", F.explode(offsets)).withColumn("kx", cell("p_x") + F.col("o.a")).withColumn("ky", cell("p_y") + F.col("o.b")).drop("o")
+    met = targets.select("id", "x", "y", cell("x").alias("kx"), cell("y").alias("ky")).join(spread, ["kx", "ky"]).drop("kx", "ky")
+    met = met.withColumn("d", F.hypot(F.col("x") - F.col("p_x"), F.col("y") - F.col("p_y"))).where(F.col("d") <= radius)
+    return met.where(F.col("id") != F.col("p_id")) if apart else met
+
+
+#: Points of a cell, as a multiple of the neighbours asked for, with which the search of nearest points may begin.
+CROWD = 8
+
+
+def nearest(points: DataFrame, targets: DataFrame, k: int, apart: bool = False) -> DataFrame:
+    """The k nearest points (p_id, p_x, p_y, value) of each target (id, x, y), with distance d and place r; ties by p_id.
+
+    The search begins with a radius at which no grid cell holds many points, and doubles it for the targets that have met
+    fewer than k. So dense places are done early, sparse ones late, and no step pairs a target with much more than it needs
+    (points at one and the same place excepted).
+    """
+    e = points.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{n}{c}") for c in ("p_x", "p_y") for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    f = targets.agg(*(f(c).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    keep = ["id", "x", "y", "p_id", "p_x", "p_y", "value", "d", "r"]
+    place = F.row_number().over(Window.partitionBy("id").orderBy("d", "p_id"))
+    if not e["n"] or f["lox"] is None:
+        return _met(points, targets, 1.0, apart).withColumn("r", place).select(keep).limit(0)
+    reach = 1.01 * np.hypot(max(e["hip_x"], f["hix"]) - min(e["lop_x"], f["lox"]), max(e["hip_y"], f["hiy"]) - min(e["lop_y"], f["loy"])) or 1.0
+    radius = reach / max(np.sqrt(e["n"]), 1.0)
+    places = points.select("p_x", "p_y").distinct()
+    while radius > reach * 1e-9:
+        crowd = places.groupBy(F.floor(F.col("p_x") / radius), F.floor(F.col("p_y") / radius)).count().agg(F.max("count")).first()[0]
+        if crowd <= CROWD * k:
+            break
+        radius /= 2
+    done, left = [], targets.select("id", "x", "y")
+    while True:
+        last = radius >= reach
+        near = staged(_met(points, left, radius, apart).withColumn("r", place).where(F.col("r") <= k).select(keep), "nearest")
+        if last:
+            done.append(near)
+            break
+        full = near.where(F.col("r") == k).select("id")
+        done.append(near.join(full, "id", "left_semi").select(keep))
+        left = staged(left.join(full, "id", "left_anti"), "waiting")
+        if left.isEmpty():
+            break
+        radius = min(2 * radius, reach)
+    out = done[0]
+    for d in done[1:]:
+        out = out.union(d)
+    return out
+
+
 def krige(points: DataFrame, targets: DataFrame, rng: float, nugget: float = 1e-9, sill: float = 1.0, model: str = "exponential", neighbours: int = 16, radius: float | None = None, linear: bool = False, min_neighbours: int = 1) -> DataFrame:
     """id, mean, variance, used at each target from its nearest points (ties by point id).
 
-    With a radius, neighbours come from an equi-join on grid cells, and a target's system is one small solve in a grouped
-    kernel whose group is bounded by ``neighbours``. Targets with fewer than ``min_neighbours`` come back null.
+    Neighbours come from equi-joins on grid cells: of a radius, or of radii that grow until a target has enough of them. A
+    target's system is one small solve, bounded by ``neighbours``. Targets with fewer than ``min_neighbours`` come back null.
     """
-    p = points.select(F.col("id").alias("p_id"), F.col("x").alias("p_x"), F.col("y").alias("p_y"), F.col("value").cast("double").alias("value"))
-    if radius is None:
-        met = targets.select("id", "x", "y").join(p)
-    else:
-        cell = lambda c: F.floor(F.col(c) / radius).cast("long")
-        offsets = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-        spread = p.withColumn("o", F.explode(offsets)).withColumn("kx", cell("p_x") + F.col("o.a")).withColumn("ky", cell("p_y") + F.col("o.b")).drop("o")
-        met = targets.select("id", "x", "y", cell("x").alias("kx"), cell("y").alias("ky")).join(spread, ["kx", "ky"])
-    met = met.withColumn("d", F.hypot(F.col("x") - F.col("p_x"), F.col("y") - F.col("p_y")))
-    met = met.where(F.col("d") <= radius) if radius is not None else met
-    near = met.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "p_id"))).where(F.col("r") <= neighbours)
-    packed = near.groupBy("id", "x", "y").agg(F.sort_array(F.collect_list(F.struct("r", "p_x", "p_y", "value"))).alias("near"))
+    packed = _packed(_neighbours(points, targets, neighbours, radius, False), ["id", "x", "y"])
 
     def run(batches):
         for pdf in batches:
             out = []
             for x, y, rows in zip(pdf["x"], pdf["y"], pdf["near"], strict=True):
-                xy = np.array([(r["p_x"], r["p_y"]) for r in rows], float)
                 v = np.array([r["value"] for r in rows], float)
-                out.append((*solve_kriging(xy, v, np.array([x, y], float), rng, nugget, sill, model, linear), len(v)) if len(v) >= min_neighbours else (None, None, len(v)))
+                out.append((*_solved(rows, x, y, rng, nugget, sill, model, linear), len(v)) if len(v) >= min_neighbours else (None, None, len(v)))
             pdf = pdf[["id"]].copy()
             pdf["mean"], pdf["variance"], pdf["used"] = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [])
             yield pdf
@@ -181,19 +227,33 @@ def krige(points: DataFrame, targets: DataFrame, rng: float, nugget: float = 1e-
     return targets.select("id").join(solved, "id", "left")
 
 
-def leave_one_out(points: DataFrame, rng: float, **settings) -> DataFrame:
-    """id, value, mean, variance, residual of each point from its neighbours without itself."""
-    rows = points.select("id", "x", "y", F.col("value").cast("double").alias("value"))
-    k = settings.pop("neighbours", 16)
-    other = rows.select(F.col("id").alias("p_id"), F.col("x").alias("p_x"), F.col("y").alias("p_y"), F.col("value").alias("p_v"))
-    met = rows.join(other, F.col("id") != F.col("p_id")).withColumn("d", F.hypot(F.col("x") - F.col("p_x"), F.col("y") - F.col("p_y")))
-    near = met.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "p_id"))).where(F.col("r") <= k)
-    packed = near.groupBy("id", "x", "y", "value").agg(F.sort_array(F.collect_list(F.struct("r", "p_x", "p_y", "p_v"))).alias("near"))
-    args = {"nugget": 1e-9, "sill": 1.0, "model": "exponential", "linear": False} | settings
+def _neighbours(points: DataFrame, targets: DataFrame, k: int, radius: float | None, apart: bool) -> DataFrame:
+    p = points.select(F.col("id").alias("p_id"), F.col("x").alias("p_x"), F.col("y").alias("p_y"), F.col("value").cast("double").alias("value"))
+    if radius is None:
+        return nearest(p, targets, k, apart)
+    met = _met(p, targets, radius, apart)
+    return met.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "p_id"))).where(F.col("r") <= k)
+
+
+def _packed(near: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return near.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("r", "p_x", "p_y", "value"))).alias("near"))
+
+
+def _solved(rows, x: float, y: float, *how) -> tuple[float, float]:
+    return solve_kriging(np.array([(r["p_x"], r["p_y"]) for r in rows], float), np.array([r["value"] for r in rows], float), np.array([x, y], float), *how)
+
+
+def leave_one_out(points: DataFrame, rng: float, neighbours: int = 16, radius: float | None = None, nugget: float = 1e-9, sill: float = 1.0, model: str = "exponential", linear: bool = False) -> DataFrame:
+    """id, value, mean, variance, residual of each point from its neighbours without itself, found as ``krige`` finds them.
+
+    A point without any neighbour is left out.
+    """
+    near = _packed(_neighbours(points, points, neighbours, radius, True), ["id", "x", "y"])
+    packed = near.join(points.select("id", F.col("value").cast("double").alias("value")), "id")
 
     def run(batches):
         for pdf in batches:
-            got = [solve_kriging(np.array([(r["p_x"], r["p_y"]) for r in n], float), np.array([r["p_v"] for r in n], float), np.array([x, y], float), rng, args["nugget"], args["sill"], args["model"], args["linear"]) for x, y, n in zip(pdf["x"], pdf["y"], pdf["near"], strict=True)]
+            got = [_solved(n, x, y, rng, nugget, sill, model, linear) for x, y, n in zip(pdf["x"], pdf["y"], pdf["near"], strict=True)]
             pdf = pdf[["id", "value"]].copy()
             pdf["mean"], pdf["variance"] = [g[0] for g in got], [g[1] for g in got]
             pdf["residual"] = pdf["value"] - pdf["mean"]
