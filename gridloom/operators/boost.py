@@ -357,7 +357,7 @@ def _discs(routed: DataFrame, nodes: dict[int, Node], extents: dict, spec: Boost
             d = F.hypot(F.col(x) - _by_node({k: c[i][0] if c[i][0] is not None else math.nan for k, c in centres.items()}), F.col(y) - _by_node({k: c[i][1] if c[i][1] is not None else math.nan for k, c in centres.items()}))
             rings.append(F.when(finite(d), F.greatest(F.ceil(d / reach * RINGS), F.lit(1))).otherwise(0).cast("int"))
         cells = F.array(*(F.struct(F.lit(i).alias("axis"), r.alias("bin")) for i, r in enumerate(rings)))
-        for r in _sums(mine.withColumn("_cells", cells)):
+        for r in cell_sums(mine.withColumn("_cells", cells)).collect():
             disc = out.setdefault(r["_node"], [])
             if not disc:
                 disc += [(Axis("radial", f"distance of ({x}, {y}) to ({c[0] or 0:.6g}, {c[1] or 0:.6g})", (x, y, *c), edges), np.zeros((RINGS + 2, 4))) for c in centres.get(r["_node"], [(None, None)] * 3)]
@@ -381,10 +381,16 @@ def _id_candidates(routed: DataFrame, nodes: dict[int, Node], totals: dict[int,
     return found
 
 
-def _sums(rows: DataFrame) -> list:
-    """(node, axis, bin): n, Σw, Σwy, Σwy² of rows whose ``_cells`` are unfolded in the row; one aggregation."""
+def cell_sums(rows: DataFrame) -> DataFrame:
+    """(_node, axis, bin): n, Σw, Σwy, Σwy² of rows whose ``_cells`` are unfolded in the row; one aggregation."""
     unfolded = rows.select("_node", "_w", "_g", F.explode("_cells").alias("c"))
-    return unfolded.groupBy("_node", "c.axis", "c.bin").agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_g")).alias("wy"), F.sum(F.col("_w") * F.col("_g") * F.col("_g")).alias("wyy")).collect()
+    return unfolded.groupBy("_node", "c.axis", "c.bin").agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_g")).alias("wy"), F.sum(F.col("_w") * F.col("_g") * F.col("_g")).alias("wyy"))
+
+
+def node_histograms(rows: DataFrame, features: Sequence[str], node: str = "_node") -> DataFrame:
+    """(node, feature, bin) with n, w, wy, wyy: the sums of rows binned as ``_b0``, ``_b1``, ... (features by their number)."""
+    cells = F.array(*(F.struct(F.lit(i).alias("axis"), F.col(f"_b{i}").alias("bin")) for i in range(len(features))))
+    return cell_sums(rows.withColumn("_node", F.col(node)).withColumn("_cells", cells)).withColumnsRenamed({"_node": "node", "axis": "feature"})
 
 
 def leaf_weights(node: Node, at: int = 1, weight: Column | None = None) -> list[tuple[int, Column]]:
@@ -436,7 +442,7 @@ def grow(rows: DataFrame, axes: Sequence[Axis], spec: BoostSpec, trees: int = 1,
     def aggregate(routed: DataFrame, nodes: Sequence[int] | None) -> dict[int, list[np.ndarray]]:
         out: dict[int, list[np.ndarray]] = {}
         mine = routed if nodes is None else routed.where(F.col("_node").isin(*nodes))
-        for r in _sums(mine.withColumn("_cells", cells)):
+        for r in cell_sums(mine.withColumn("_cells", cells)).collect():
             mine_ = out.setdefault(r["_node"], [np.zeros((len(a.edges) + 2, 4)) for a in axes])
             mine_[r["axis"]][r["bin"]] += (r["n"], r["w"], r["wy"], r["wyy"])
         return out
