@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.plans import panels, tables  # noqa: F401  they register their queries
+from gridloom.plans import checks, panels, tables  # noqa: F401  they register their queries
 from gridloom.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

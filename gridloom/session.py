@@ -30,20 +30,26 @@ def reachable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = f"{env['PYTHONPATH']}:{root}" if env.get("PYTHONPATH") else root
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Written to the folder that driver and executors share, and read again: cuts lineage and survives lost executors.
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; without it all must run in one process.
 
-    The folder of the application is deleted when the driver ends. Without ``spark.checkpoint.dir`` all must run in one process.
+    The folder of the application is deleted when the driver ends.
     """
-    spark = df.sparkSession
     context, base = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "/tmp/checkpoints"
     folder = f"{base.rstrip('/')}/gridloom-{context.applicationId}"
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     at = context._jvm.org.apache.hadoop.fs.Path(folder)
-    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    files = at.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Written to ``scratch`` and read again: cuts lineage and survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
