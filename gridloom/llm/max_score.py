@@ -4,8 +4,8 @@ A vector's dimensions are the terms, its integer components the impacts, and a s
 list of that term. For a query, each term adds between a lower and an upper bound of the shard; with contributions counted
 from their lower bounds, the terms of least reach whose bounds together can't lift a row above the k-th best score so far are
 non-essential. Essential postings are traversed for a run of rows at a time; only rows that may still compete have the other
-terms probed, in groups of falling reach, and leave as soon as they can't. Each pair of query block and shard gives k rows a
-query; the shards' lists are merged by score, then id.
+terms probed, in groups of falling reach, and leave as soon as they can't. A shard is read once for a group of query blocks,
+which are streamed past it; each pair gives k rows a query, and the shards' lists are merged by score, then id.
 
 Defined results. Vectors that are null or hold null or non-finite components take no part, nor do rows without an id. Empty
 vectors and missing components count as zeros. Repeated ids: each row is a candidate (and a query) of its own; a query's own
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm._shared import map_arrow, stage
 
-SHARD_ROWS, QUERY_ROWS, RUN_ROWS, PROBE = 8192, 1024, 2048, 8
+SHARD_ROWS, QUERY_ROWS, RUN_ROWS, PROBE = 16_384, 256, 2048, 8
+#: Query blocks that one copy of a shard serves.
+QUERY_GROUP = 64
 
 
 def quantised(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -69,10 +71,10 @@ def _matrix(m: bytes, width: int, kind: int, n: int) -> np.ndarray:
 
 
 def _exact_type(*matrices: np.ndarray):
-    """The fastest number type in which every partial inner product is exact."""
+    """The fastest number type in which every partial inner product, and the difference of two, is exact."""
     top = [max((abs(int(m.min())), abs(int(m.max()))), default=0) if m.size else 0 for m in matrices]
     reach = top[0] * top[1] * max(m.shape[1] for m in matrices)
-    return np.float32 if reach < 2**24 else np.float64 if reach < 2**53 else object
+    return np.float32 if reach < 2**23 else np.float64 if reach < 2**52 else object
 
 
 def search_shard(query: np.ndarray, own: int, postings: np.ndarray, high: np.ndarray, low: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,22 +115,43 @@ def search_shard(query: np.ndarray, own: int, postings: np.ndarray, high: np.nda
     return best_at, best
 
 
+class _Shard:
+    """A shard that a task holds: ids, row numbers, and its posting lists by number type."""
+
+    def __init__(self, x: dict):
+        self.ids, self.rows = np.frombuffer(x["ids"], np.int64), np.frombuffer(x["rows"], np.int64)
+        self.matrix = _matrix(x["m"], x["width"], x["kind"], len(self.ids))
+        self.held: dict[tuple, tuple] = {}
+
+    def postings(self, width: int, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if (width, kind) not in self.held:
+            lists = np.ascontiguousarray(self.matrix[:, :width].T).astype(kind)
+            none = np.empty(0, kind)
+            self.held = {(width, kind): (lists, lists.max(1) if width else none, lists.min(1) if width else none)}
+        return self.held[width, kind]
+
+
 def _searched(k: int):
     def run(batches):
+        shard = None
         for batch in batches:
-            for x in batch.to_pylist():
-                ids, rows, q_ids, q_rows = (np.frombuffer(x[n], np.int64) for n in ("ids", "rows", "q_ids", "q_rows"))
-                m, q = _matrix(x["m"], x["width"], x["kind"], len(ids)), _matrix(x["q_m"], x["q_width"], x["q_kind"], len(q_ids))
-                width = min(m.shape[1], q.shape[1])
-                m, q = m[:, :width], q[:, :width]
-                kind = _exact_type(m, q) if width else np.float32
-                postings, q = np.ascontiguousarray(m.T).astype(kind), q.astype(kind)
-                high, low = (postings.max(1), postings.min(1)) if width else (np.empty(0, kind), np.empty(0, kind))
+            for i in range(batch.num_rows):
+                x = batch.slice(i, 1).to_pylist()[0]
+                if x["q_number"] < 0:  # a shard comes before the query blocks that are to meet it
+                    shard = _Shard(x)
+                    continue
+                q_ids, q_rows = np.frombuffer(x["ids"], np.int64), np.frombuffer(x["rows"], np.int64)
+                q = _matrix(x["m"], x["width"], x["kind"], len(q_ids))
+                width = min(shard.matrix.shape[1], q.shape[1])
+                q = q[:, :width]
+                kind = _exact_type(shard.matrix[:, :width], q) if width else np.float32
+                postings, high, low = shard.postings(width, kind)
+                q = q.astype(kind)
                 out: tuple[list, list, list, list] = ([], [], [], [])
-                for i in range(len(q_ids)):
-                    at, score = search_shard(q[i], q_rows[i], postings, high, low, ids, rows, k)
+                for j in range(len(q_ids)):
+                    at, score = search_shard(q[j], q_rows[j], postings, high, low, shard.ids, shard.rows, k)
                     score = [min(max(int(s), -(2**63)), 2**63 - 1) for s in score] if kind is object else score.astype(np.int64).tolist()
-                    for into, values in zip(out, ([int(q_rows[i])] * len(at), [int(q_ids[i])] * len(at), ids[at].tolist(), score), strict=True):
+                    for into, values in zip(out, ([int(q_rows[j])] * len(at), [int(q_ids[j])] * len(at), shard.ids[at].tolist(), score), strict=True):
                         into.extend(values)
                 yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["q_row", "query_id", "vec_id", "score"])
 
@@ -138,18 +161,25 @@ def _searched(k: int):
 def max_score_search(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: the k best rows of each query, ties to the smaller id.
 
-    ``is_query`` is a condition on ``_id``. Query blocks meet shards pair by pair, each pair a row that a task of its own can
-    take; blocks hold at most QUERY_ROWS and SHARD_ROWS vectors, so a task's memory doesn't grow with the data.
+    ``is_query`` is a condition on ``_id``. A unit of work is a shard and the query blocks of one group, streamed past it; blocks
+    hold at most QUERY_ROWS and SHARD_ROWS vectors and a task holds one shard, so its memory doesn't grow with the data. A group
+    is smaller than QUERY_GROUP only where there would be fewer units than tasks.
     """
     rows = stage(quantised(vectors, scale, id_col, vector_col), "vectors")
     shards = stage(_blocks(rows.coalesce(max(1, -(-rows.count() // (4 * SHARD_ROWS)))), SHARD_ROWS, "shards"), "shards")
     found = rows.where(is_query)
     queries = stage(_blocks(found.coalesce(max(1, -(-found.count() // (4 * QUERY_ROWS)))), QUERY_ROWS, "queries"), "queries")
     n, m = queries.count(), shards.count()
-    each = queries.select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "m", "width", "kind", "number")))
-    tasks = max(1, min(n * m, 4 * vectors.sparkSession.sparkContext.defaultParallelism))
-    pairs = rows.sparkSession.range(n * m).select((F.col("id") % max(n, 1)).alias("q_number"), F.floor(F.col("id") / max(n, 1)).alias("number"))
-    pairs = pairs.join(each, "q_number").join(shards, "number").repartition(tasks, "number", "q_number")
+    spark = rows.sparkSession
+    tasks = max(1, min(n * m, 4 * spark.sparkContext.defaultParallelism))
+    size = max(1, min(QUERY_GROUP, n * m // tasks))
+    groups = -(-n // size)
+    block = ["ids", "rows", "m", "width", "kind"]
+    copies = spark.range(m * groups).select(F.floor(F.col("id") / max(groups, 1)).alias("number"), (F.col("id") % max(groups, 1)).alias("group"), F.lit(-1).cast("long").alias("q_number"))
+    meets = spark.range(n * m).select(F.floor(F.col("id") / max(n, 1)).alias("shard"), (F.col("id") % max(n, 1)).alias("number"))
+    meets = meets.join(queries, "number").select(F.col("shard").alias("number"), F.floor(F.col("number") / size).alias("group"), F.col("number").alias("q_number"), *block)
+    units = copies.join(shards, "number").select("number", "group", "q_number", *block).unionByName(meets)
+    pairs = units.repartition(tasks, "number", "group").sortWithinPartitions("number", "group", "q_number")
     lists = map_arrow(pairs, _searched(k), "q_row long, query_id long, vec_id long, score long")
     w = Window.partitionBy("q_row").orderBy(F.col("score").desc(), "vec_id")
     return lists.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -203,6 +203,16 @@ def test_signatures_estimate_probability_jaccard():
     assert pm.similarity(a[o], x[o], b[q], y[q]) == pytest.approx(max(want, 1 / 3), rel=1e-9)
 
 
+def test_links_of_documents_against_all_pairs(spark):
+    """On real rows, the classes are those of all pairs at 0.8 or more: nothing is lost in the bands."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
+    want = brute_classes(rows)
+    got = {r["doc_id"]: r["class_id"] for r in pm.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first = {}
+    assert [got[i] for i, _ in rows] == [rows[first.setdefault(c, n)][0] for n, c in enumerate(want)]
+    assert len(set(want)) < len(rows)
+
+
 def test_parity_bounds_the_difference():
     rng = np.random.default_rng(4)
     a = rng.integers(1, 2**62, 500).astype(np.uint64)
@@ -229,6 +239,14 @@ def test_tool_links(spark):
     assert got == [("1:0", 0, True, True), ("1:0", 0, True, True), ("1:2", 1, False, False), ("1:4", 2, False, True)]
 
 
+def test_tool_links_of_long_texts(spark):
+    long = "é\"\\\n" * 50_000
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", long), (1, 2, "user", long), (1, 3, "assistant", "")], "conv_id long, turn long, role string, text string")
+    got = {r["id"]: r for r in tools.link_tool_calls(*tools.calls_of_turns(turns), tools.REPLY_SCHEMA).collect()}
+    assert json.loads(got["1:0"]["json"])["result"] == long and json.loads(got["1:2"]["json"]) == {"arguments": {"text": long, "turn": 2}, "id": "1:2", "name": "reply", "result": ""}
+    assert got["1:0"]["valid"] and not got["1:2"]["valid"] and got["1:2"]["level"] == 1
+
+
 def brute_fits(x, schema, missing=object()):
     kinds = {"string": str, "array": list, "object": dict, "boolean": bool}
     kind = schema.get("type")
@@ -309,6 +327,7 @@ def test_levels_brute(spark):
 def test_max_score_brute(spark, spread, monkeypatch):
     monkeypatch.setattr(ms, "SHARD_ROWS", 64)
     monkeypatch.setattr(ms, "QUERY_ROWS", 4)
+    monkeypatch.setattr(ms, "QUERY_GROUP", 2)
     rng = np.random.default_rng(2)
     rows = [(int(i), [float(x) for x in rng.choice([-1, 0, 0.5, 1], 12) * spread * rng.random()]) for i in range(200)]
     rows += [(40, rows[40][1]), (41, rows[40][1]), (500, None), (501, [1.0, None]), (502, [float("nan")]), (503, [float("inf")]), (None, [1.0]), (520, [2.0 * spread]), (540, [])]
@@ -324,6 +343,18 @@ def test_max_score_brute(spark, spread, monkeypatch):
     assert ms.max_score_search(vectors.limit(0), F.pmod("_id", F.lit(20)) == 0).count() == 0
 
 
+def test_long_vectors(spark):
+    """20,000 components a vector, and vectors of very different lengths."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(-3, 4, 20_000 if i % 3 else 5).astype(float).tolist()) for i in range(24)]
+    got = Counter(tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in ms.max_score_search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.pmod("_id", F.lit(20)) == 0, k=3).collect())
+    whole = np.zeros((24, 20_000), np.int64)
+    for i, v in rows:
+        whole[i, : len(v)] = np.array(v, np.int64) * 64
+    want = Counter((i, r + 1, j, -s) for i in (0, 20) for r, (s, j) in enumerate(sorted((-int(whole[i] @ whole[j]), j) for j in range(24) if j != i)[:3]))
+    assert got == want
+
+
 def test_probing_skips_rows():
     """Terms that can't reach the bar aren't traversed, and the answer stays exact."""
     rng = np.random.default_rng(5)
@@ -584,6 +615,15 @@ def test_urls(spark):
         assert (r["host"], r["path"], r["rule"]) == (h, p, rule) and r["verdict"] == (verdict or ("block" if r["block_score"] > 0.5 else "allow"))
 
 
+def test_very_long_urls(spark):
+    """URLs of 100,000 characters, in the host, the path or neither, keep their rules and get a verdict."""
+    long = "ab1" * 33_000
+    rows = [(1, f"http://{long}.net/x"), (2, f"http://example.com/de/{long}"), (3, f"http://{long}.test/{long}?{long}"), (4, long)]
+    got = {r["page_id"]: r for r in url.url_verdicts(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[1]["rule"] == "net/" and got[2]["rule"] == "example.com/de/" and got[3]["rule"] is None and got[3]["path"] == f"/{long}"
+    assert got[4]["host"] == "" and all(r["verdict"] in ("allow", "block") for r in got.values())
+
+
 def test_url_regression(spark):
     table = url.labelled_urls(spark)
     told = url.url_verdicts(table.select(F.col("label").alias("page_id"), "url"), rules=())
