@@ -8,20 +8,23 @@ as arrays, so the horizon costs no shuffles and no growing plan.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import replace
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.calendar import STEPS, advance
 from gridloom.operators import forecast as fc
 from gridloom.operators.boost import BoostModel, BoostSpec, Node, fit
-from gridloom.operators.lags import LagSpec, direct_targets, lag_features, next_step
+from gridloom.operators.lags import LagSpec, direct_targets, lag_features, next_step, recency_weights, supported
 from gridloom.operators.metrics import non_crossing
 from gridloom.operators.spatial import krige
+from gridloom.session import staged
 
+Forecaster = Callable[[DataFrame, int], DataFrame]
 FORECAST = "series_id string, ts timestamp_ntz, horizon int, model string, mean double"
 
 
@@ -217,19 +220,117 @@ def holiday_windows(holidays: DataFrame, before: int = 0, after: int = 0) -> Dat
     return holidays.select("name", "day", F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("offset")).select("name", "offset", F.date_add("day", F.col("offset")).alias("day"))
 
 
-def auto_forecast(panel: DataFrame, horizon: int, season: int = 7, origins: int = 2, frequency: str = "D", baseline: str = "seasonal_naive", displacement: float = 0.03, hard: float = 0.05, top_k: int = 3) -> DataFrame:
-    """A gated ensemble of the bank and the global booster: candidates are scored on trailing origins in one replicated
-    panel; a baseline that nobody beats by ``displacement`` wins, so does a candidate that is ``hard`` better than the next."""
-    n = panel.select("ts").distinct().count()
-    folds = fc.rolling_origins(panel, horizon, horizon, max(2 * season, n - origins * horizon), n_splits=origins)
-    rows = fc.fold_rows(panel, folds).withColumn("series_id", F.concat_ws("|", F.col("fold").cast("string"), "series_id"))
-    train, valid = rows.where("part = 'train'").select("series_id", "ts", "y"), rows.where("part = 'valid'").select("series_id", "ts", "y")
-    every = lambda p: fc.bank(p, horizon, season, frequency).unionByName(lag_boost_forecast(p, horizon, season=season, frequency=frequency))
-    scored = every(train).join(valid, ["series_id", "ts"]).withColumn("series_id", F.substring_index("series_id", "|", -1))
+@dataclass(frozen=True)
+class AutoSpec:
+    """How candidates are tried and weighed. ``objective`` is wape, mae or rmse over ``origins`` trailing windows of
+    ``validation`` steps (None: the horizon). A series has weights of its own from ``series_points`` scored rows a model on, a
+    step from ``step_points``; else the next wider weights hold."""
+
+    season: int = 7
+    origins: int = 2
+    validation: int | None = None
+    objective: str = "wape"
+    lags: LagSpec = LagSpec(lags=(1, 2, 7), roll_mean=(7,), calendar=("day_of_week",))
+    boost: BoostSpec = BoostSpec(rounds=10, rate=0.3, depth=3, min_leaf=5, bins=16)
+    baseline: str = "seasonal_naive"
+    displacement: float = 0.03
+    hard: float = 0.05
+    top_k: int = 3
+    series_points: int = 4
+    step_points: int = 2
+    zero_share: float = 0.3
+    half_life: float = 10.0
+
+    def __post_init__(self):
+        if self.objective not in ("wape", "mae", "rmse"):
+            raise ValueError(f"unknown objective {self.objective}")
+        if self.origins < 1 or self.season < 1 or (self.validation is not None and self.validation < 1):
+            raise ValueError("origins, season and validation must be positive")
+
+
+@dataclass(frozen=True)
+class AutoForecast:
+    """``forecast``; ``scores`` by model, and by series or step where those columns aren't null; the three tables of weights; the
+    lags that the history supports; whether negative forecasts are cut to 0."""
+
+    forecast: DataFrame
+    scores: DataFrame
+    weights: DataFrame
+    step_weights: DataFrame
+    series_weights: DataFrame
+    lags: LagSpec
+    nonnegative: bool
+
+
+def auto_candidates(panel: DataFrame, spec: AutoSpec, frequency: str = "D") -> tuple[dict[str, Forecaster], LagSpec, bool]:
+    """The forecasters worth trying on a panel, the lags its shortest series supports, and whether no target is negative.
+
+    Always the bank, the booster over lags (with the season's lag where it is supported) and the same with recent rows weighing
+    more; on log1p where no target is negative; intermittent demand where a share of targets is 0.
+    """
+    stats = panel.agg(F.min("y").alias("low"), F.avg((F.col("y") == 0).cast("double")).alias("zeros")).first()
+    nonnegative = stats["low"] is not None and stats["low"] >= 0
+    lags = supported(panel, replace(spec.lags, lags=tuple(dict.fromkeys([*spec.lags.lags, spec.season]))))
+
+    def boosted(p: DataFrame, h: int) -> DataFrame:
+        return lag_boost_forecast(p, h, lags, spec.boost, season=spec.season, frequency=frequency)
+
+    def recent(p: DataFrame, h: int) -> DataFrame:
+        rows = recency_weights(training_rows(p, lags, "level", spec.season), spec.half_life)
+        model = fit(rows, lags.names(), "label", spec.boost, "weight")
+        return recursive_predictions(p, model, lags, h, "level", spec.season, frequency, "recency_weighted_lag")
+
+    out: dict[str, Forecaster] = {"bank": lambda p, h: fc.bank(p, h, spec.season, frequency), "lag_boost": boosted, "recency_weighted_lag": recent}
+    if nonnegative:
+        out["log1p_lag"] = lambda p, h: log_forecast(p, h, boosted).withColumn("model", F.lit("log1p_lag"))
+        if (stats["zeros"] or 0.0) >= spec.zero_share:
+            out["intermittent"] = lambda p, h: fc.intermittent_forecast(p, h, "croston", frequency=frequency).withColumn("model", F.lit("intermittent"))
+    return out, lags, nonnegative
+
+
+def auto_fit(panel: DataFrame, horizon: int, spec: AutoSpec = AutoSpec(), frequency: str = "D") -> AutoForecast:
+    """Candidates are scored on trailing origins in one replicated panel, weighed, and their forecasts combined.
+
+    A baseline that nobody beats by ``displacement`` wins, so does a candidate that is ``hard`` better than the next; else the
+    best ``top_k`` share by their inverse loss. Weights are found over all rows, by step and by series.
+    """
+    rows = panel.select("series_id", "ts", F.col("y").cast("double").alias("y"))
+    nonnegative = (rows.agg(F.min("y")).first()[0] or 0.0) >= 0
+    window, n = spec.validation or horizon, rows.select("ts").distinct().count()
+    folds = fc.rolling_origins(rows, window, window, max(min(2 * spec.season, n - window), n - spec.origins * window), n_splits=spec.origins)
+    tried = fc.fold_rows(rows, folds).withColumn("series_id", F.concat_ws("|", F.col("fold").cast("string"), "series_id"))
+    train, valid = (tried.where(F.col("part") == part).select("series_id", "ts", "y") for part in ("train", "valid"))
+    candidates, lags, _ = auto_candidates(train, spec, frequency)  # what the validation's shorter history supports
+    every = lambda p, h: reduce(DataFrame.unionByName, (f(p, h) for f in candidates.values()))
+    floor = F.lit(0.0) if nonnegative else F.lit(float("-inf"))
+    held = lambda d: d.withColumn("mean", F.greatest("mean", floor))
+    scored = staged(held(every(train, window)).join(valid, ["series_id", "ts"]).withColumn("series_id", F.expr("substr(series_id, instr(series_id, '|') + 1)")), "scored")
     e = F.abs(F.col("mean") - F.col("y"))
-    scores = scored.groupBy("series_id", "model").agg((F.sum(e) / F.greatest(F.sum(F.abs("y")), F.lit(1e-12))).alias("wape"))
-    weights = fc.gate_weights(scores, top_k=top_k, hard_gain=hard, baseline=baseline, baseline_gain=displacement)
-    return fc.weighted_ensemble(every(panel), weights, ("series_id", "model"), "auto")
+    loss = {"wape": F.sum(e) / F.greatest(F.sum(F.abs("y")), F.lit(1e-12)), "mae": F.avg(e), "rmse": F.sqrt(F.avg(e * e))}[spec.objective]
+
+    def by(*keys: str) -> DataFrame:
+        return scored.groupBy(*keys, "model").agg(loss.alias("loss"), F.count(F.lit(1)).alias("points"))
+
+    def gated(scores: DataFrame, key: Column) -> DataFrame:
+        return fc.gate_weights(scores.select(key.alias("series_id"), "model", "loss"), "loss", top_k=spec.top_k, hard_gain=spec.hard, baseline=spec.baseline, baseline_gain=spec.displacement)
+
+    whole, steps, series = by(), by("horizon"), by("series_id")
+    weights = staged(gated(whole, F.lit("*")).select("model", F.col("weight").alias("w")), "weights")
+    step_weights = staged(gated(steps.where(F.col("points") >= spec.step_points), F.col("horizon").cast("string")).select(F.col("series_id").cast("int").alias("horizon"), "model", F.col("weight").alias("wh")), "weights")
+    series_weights = staged(gated(series.where(F.col("points") >= spec.series_points), F.col("series_id")).select("series_id", "model", F.col("weight").alias("ws")), "weights")
+    none = lambda kind: F.lit(None).cast(kind)
+    scores = whole.select(none("string").alias("series_id"), none("int").alias("horizon"), "model", "loss", "points")
+    scores = scores.union(steps.select(none("string"), "horizon", "model", "loss", "points")).union(series.select("series_id", none("int"), "model", "loss", "points"))
+    members = held(every(rows, horizon)).join(weights, "model", "left").join(step_weights, ["horizon", "model"], "left").join(series_weights, ["series_id", "model"], "left")
+    members = members.join(step_weights.select("horizon", F.lit(True).alias("_h")).distinct(), "horizon", "left").join(series_weights.select("series_id", F.lit(True).alias("_s")).distinct(), "series_id", "left")
+    weight = F.when(F.col("_s"), F.col("ws")).when(F.col("_h"), F.col("wh")).otherwise(F.col("w"))
+    made = members.withColumn("weight", F.coalesce(weight, F.lit(0.0))).groupBy("series_id", "ts", "horizon").agg((F.sum(F.col("weight") * F.col("mean")) / F.sum("weight")).alias("mean"))
+    return AutoForecast(made.withColumn("model", F.lit("auto")), scores, weights.withColumnRenamed("w", "weight"), step_weights.withColumnRenamed("wh", "weight"), series_weights.withColumnRenamed("ws", "weight"), lags, nonnegative)
+
+
+def auto_forecast(panel: DataFrame, horizon: int, season: int = 7, origins: int = 2, frequency: str = "D", **settings) -> DataFrame:
+    """The forecast of ``auto_fit``."""
+    return auto_fit(panel, horizon, AutoSpec(season=season, origins=origins, **settings), frequency).forecast
 
 
 def choose_candidate(scores: dict[str, float], current: str, min_gain: float = 0.01) -> str:
@@ -241,7 +342,6 @@ def choose_candidate(scores: dict[str, float], current: str, min_gain: float = 0
     return best if current not in finite or finite[best] < finite[current] * (1 - min_gain) else current
 
 
-Forecaster = Callable[[DataFrame, int], DataFrame]
 _MODELS: dict[str, Forecaster] = {}
 
 
