@@ -17,6 +17,7 @@ import json
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -157,6 +158,17 @@ class Node:
         own = (tree, at, self.feature, self.threshold, self.missing_left, self.value, self.n)
         return [own] if self.feature is None else [own, *self.left.rows(tree, 2 * at), *self.right.rows(tree, 2 * at + 1)]
 
+    def key(self) -> str:
+        """The column, or columns, that the split looks at."""
+        return self.feature if self.kind == "axis" else ",".join(self.params[:2]) if self.kind in ("diagonal", "radial") else self.params[0]
+
+    def leaf_paths(self, path: tuple = ()) -> list[tuple[Node, tuple]]:
+        """Leaves with the splits above them: (key, share of the row that goes on, share of the training rows that did)."""
+        if self.feature is None:
+            return [(self, path)]
+        share, cover = self.share(), self.left.n / max(self.left.n + self.right.n, 1)
+        return self.left.leaf_paths((*path, (self.key(), share, cover))) + self.right.leaf_paths((*path, (self.key(), 1 - share, 1 - cover)))
+
     def leaves(self, at: int = 1) -> list[tuple[int, Node]]:
         return [(at, self)] if self.feature is None else [*self.left.leaves(2 * at), *self.right.leaves(2 * at + 1)]
 
@@ -182,6 +194,37 @@ class BoostModel:
         """[init, first tree, second tree, ...] of a row; they add up to the margin."""
         return F.array(F.lit(self.init), *(self.rate * t.column() for t in self.trees))
 
+    def shapley(self, most: int = 6) -> dict[str, Column]:
+        """Exact Shapley values of the margin by column, and ``base``; they add up to the margin.
+
+        Unknown columns send a row both ways by the shares of the training rows. In a leaf's part of the margin only the columns
+        on its path play, so the sum runs over subsets of those: at most ``most`` columns a path (more are an error).
+        """
+        out: dict[str, Column] = {"base": F.lit(self.init)}
+        for tree in self.trees:
+            for leaf, path in tree.leaf_paths():
+                if leaf.slopes:
+                    raise ValueError("Shapley values are for constant leaves")
+                known: dict[str, Column] = {}
+                cover: dict[str, float] = {}
+                for key, share, part in path:
+                    known[key], cover[key] = known[key] * share if key in known else share, cover.get(key, 1.0) * part
+                keys, worth = list(known), self.rate * leaf.value
+                if len(keys) > most:
+                    raise ValueError(f"a path looks at more than {most} columns")
+                out["base"] = out["base"] + worth * math.prod(cover.values())
+                for j in keys:
+                    rest, total = [k for k in keys if k != j], F.lit(0.0)
+                    for size in range(len(rest) + 1):
+                        order = math.factorial(size) * math.factorial(len(rest) - size) / math.factorial(len(keys))
+                        for played in combinations(rest, size):
+                            term = F.lit(order * worth * math.prod(cover[k] for k in rest if k not in played))
+                            for k in played:
+                                term = term * known[k]
+                            total = total + term
+                    out[j] = out.get(j, F.lit(0.0)) + total * (known[j] - cover[j])
+        return out
+
     def transform(self, rows: DataFrame, out: str = "prediction") -> DataFrame:
         return rows.withColumn(out, self.prediction())
 

@@ -75,6 +75,17 @@ def model_text_round_trip(spark, sf_dir):
     return rounded(again.transform(rows).select("l_orderkey", "l_linenumber", "prediction"), 4)
 
 
+def _part_sql(j: int) -> str:
+    return " + ".join(f"case when (select j from b{r}_0) = {j} then c{r} - avg(c{r}) over () else 0 end" for r in (1, 2, 3))
+
+
+@query(f"""with {_trees_sql(3, 1, 0.5)} select l_orderkey, l_linenumber, round({_part_sql(0)}, 4) as l_quantity, round({_part_sql(1)}, 4) as l_discount, round({_part_sql(2)}, 4) as l_tax, round((select avg(m) from m3), 4) as base from m3""")
+def shapley_values(spark, sf_dir):
+    rows = _lines(spark, sf_dir)
+    parts = bo.fit(rows, _LEAVES, "y", bo.BoostSpec(rounds=3, rate=0.5, depth=1, min_leaf=20, splitter="exact")).shapley()
+    return rounded(rows.select("l_orderkey", "l_linenumber", *(parts.get(c, F.lit(0.0)).alias(c) for c in (*_LEAVES, "base"))), 4)
+
+
 @query(f"""with {_trees_sql(1, 2, 0.5)}, root as (select * from b1_0), low as (select node, n as nl, s as sl, nn - n as nr, ss - s as sr, j, t from b1_1)
 select 0 as tree, 1 as node, ['l_quantity', 'l_discount', 'l_tax'][j + 1] as feature, round(t, 6) as threshold, nn::bigint as n from root union all
 select 0, node, ['l_quantity', 'l_discount', 'l_tax'][j + 1], round(t, 6), (nl + nr)::bigint from low""")

@@ -173,3 +173,39 @@ def test_odd_rows(spark):
         assert model.transform(rows.withColumn("x", F.col("x") * sign)).where("abs(prediction - y) > 1e-9").count() == 0
     for few in (rows.where("i % 5 = 0"), rows.where("i = 7"), rows.withColumn("y", F.lit(2.0))):
         assert bo.fit(few, ["x"], "y", bo.BoostSpec(rounds=2)).transform(few).select("prediction").distinct().count() == 1
+
+
+def test_shapley_values_by_all_orders(spark):
+    """Each column's value is its mean gain over all orders in which columns become known."""
+    from itertools import permutations
+
+    rng = np.random.default_rng(8)
+    x = np.round(rng.random((120, 3)) * 10, 1)
+    y = x[:, 0] * (x[:, 1] > 5) + np.where(x[:, 2] < 3, 4.0, 0.0)
+    rows = table(spark, {f"x{j}": x[:, j] for j in range(3)}, y)
+    model = bo.fit(rows, ["x0", "x1", "x2"], "y", bo.BoostSpec(rounds=2, rate=0.7, depth=3, min_leaf=5, splitter="exact"))
+    parts = model.shapley()
+    got = rows.select("i", model.margin().alias("m"), *(parts.get(c, F.lit(0.0)).alias(c) for c in ("base", "x0", "x1", "x2"))).orderBy("i").collect()
+
+    def worth(node, row, known):
+        if node.feature is None:
+            return node.value
+        if node.feature in known:
+            return worth(node.left if row[node.feature] <= node.threshold else node.right, row, known)
+        a, b = node.left.n, node.right.n
+        return (a * worth(node.left, row, known) + b * worth(node.right, row, known)) / (a + b)
+
+    for i in range(0, 120, 7):
+        row = {f"x{j}": x[i, j] for j in range(3)}
+        value = lambda known: model.init + sum(0.7 * worth(t, row, known) for t in model.trees)  # noqa: B023, E731
+        want = dict.fromkeys(row, 0.0)
+        for order in permutations(row):
+            for k, name in enumerate(order):
+                want[name] += (value(set(order[: k + 1])) - value(set(order[:k]))) / 6
+        assert {c: got[i][c] for c in row} == pytest.approx(want) and got[i]["base"] == pytest.approx(value(set()))
+        assert got[i]["base"] + sum(got[i][c] for c in row) == pytest.approx(got[i]["m"])
+    soft = bo.fit(rows, ["x0", "x1"], "y", bo.BoostSpec(rounds=2, rate=0.7, depth=2, min_leaf=5, fuzzy=1.0))
+    total = sum(soft.shapley().values(), F.lit(0.0))
+    assert rows.where(F.abs(total - soft.margin()) > 1e-9).count() == 0
+    with pytest.raises(ValueError, match="more than 1"):
+        model.shapley(1)
