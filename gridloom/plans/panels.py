@@ -412,9 +412,14 @@ def temporal_block_sums(spark, sf_dir):
     return rounded(temporal_blocks(daily(spark, sf_dir), 5))
 
 
-@query()
+@query(f"""with recursive {DAILY}, z as (select series_id, ts, y, y - lag(y) over (partition by series_id order by ts) as z from daily), x as (select *, lag(z) over (partition by series_id order by ts) as x1, lag(z, 2) over (partition by series_id order by ts) as x2 from z),
+m as (select series_id, avg(z) as mz, avg(x1) as m1, avg(x2) as m2, covar_pop(x1, x1) as s11, covar_pop(x2, x2) as s22, covar_pop(x1, x2) as s12, covar_pop(z, x1) as c1, covar_pop(z, x2) as c2 from x where x2 is not null group by 1),
+b as (select series_id, (c1 * s22 - c2 * s12) / (s11 * s22 - s12 * s12) as b1, (c2 * s11 - c1 * s12) / (s11 * s22 - s12 * s12) as b2, mz, m1, m2 from m),
+f as (select series_id, arg_max(ts, ts) as ts, 0 as s, arg_max(z, ts) as z, arg_max(x1, ts) as before, arg_max(y, ts) as level from x group by 1 union all
+select series_id, ts, s + 1, n, z, level + n from (select f.*, mz - b1 * m1 - b2 * m2 + b1 * z + b2 * before as n from f join b using (series_id) where s < 7))
+select series_id, ts + to_days(s) as ts, s as horizon, 'arima' as model, round(level, 3) as mean from f where s > 0""")
 def arima_forecasts(spark, sf_dir):
-    return rounded(kernels.arima_forecast(daily(spark, sf_dir), 7))
+    return rounded(kernels.arima_forecast(daily(spark, sf_dir), 7), 3)
 
 
 @query()
@@ -536,7 +541,15 @@ def quantile_forecasts(spark, sf_dir):
     return made.withColumn("quantiles", F.transform("quantiles", lambda v: F.round(v, 6)))
 
 
-@query()
+@query(f"""with {DAILY}, b as (select *, row_number() over (partition by series_id order by ts desc) as back from daily), tr as (select series_id, avg(y) as mean from b where back between 8 and 14 group by 1),
+s0 as (select series_id, ts, y, (8 - back)::int as horizon, (date_diff('day', date '1970-01-01', ts::date) % 7)::int as phase, mean from b join tr using (series_id) where back <= 7),
+c1 as (select horizon, sum(y - mean) / (count(*) + 10) as c from s0 group by 1), t1 as (select s0.*, c from s0 join c1 using (horizon)), k1 as (select (avg((y - mean - c) ** 2) <= avg((y - mean) ** 2))::int as k from t1),
+s1 as (select series_id, ts, y, horizon, phase, mean + k * c as mean from t1, k1),
+c2 as (select phase, sum(y - mean) / (count(*) + 10) as c from s1 group by 1), t2 as (select s1.*, c from s1 join c2 using (phase)), k2 as (select (avg((y - mean - c) ** 2) <= avg((y - mean) ** 2))::int as k from t2),
+s2 as (select series_id, ts, y, horizon, phase, mean + k * c as mean from t2, k2),
+c3 as (select series_id, sum(y - mean) / (count(*) + 10) as c from s2 group by 1), t3 as (select s2.*, c from s2 join c3 using (series_id)), k3 as (select (avg((y - mean - c) ** 2) <= avg((y - mean) ** 2))::int as k from t3),
+f as (select series_id, max(ts) as last_ts, avg(y) filter (back <= 7) as mean from b group by 1), g as (select series_id, last_ts + to_days(s) as ts, s as horizon, mean, (date_diff('day', date '1970-01-01', (last_ts + to_days(s))::date) % 7)::int as phase from f, (select unnest(generate_series(1, 7))::int as s))
+select g.series_id, g.ts, g.horizon, 'corrected' as model, round(g.mean + k1.k * coalesce(c1.c, 0) + k2.k * coalesce(c2.c, 0) + k3.k * coalesce(c3.c, 0), 6) as mean from g left join c1 on c1.horizon = g.horizon left join c2 on c2.phase = g.phase left join c3 on c3.series_id = g.series_id, k1, k2, k3""")
 def corrected_forecasts(spark, sf_dir):
     return rounded(gf.corrected_forecast(daily(spark, sf_dir), 7, lambda p, h: fc.predictions(fc.histories(p), fc.window_average(7), h, "w")))
 

@@ -506,4 +506,4 @@ def id_embeddings(spark, sf_dir):
 def skip_gram_vectors(spark, sf_dir):
     e = _nation_edges(spark, sf_dir).withColumn("weight", F.lit(1.0))
     pairs = gr.context_pairs(gr.walks(gr.undirected(e), table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node")), 6, per_node=4), 2)
-    return kernels.skip_gram(pairs, gr.noise_weights(e), dim=4, epochs=2).select("id", F.size("vec").alias("dim"))
+    return kernels.skip_gram(pairs, gr.noise_weights(e), dim=4, epochs=2).select("id", F.transform("vec", lambda v: F.round(v, 4)).alias("vec"))
