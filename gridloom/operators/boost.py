@@ -28,6 +28,8 @@ from gridloom.functions.predicates import (
 )
 from gridloom.operators.order import running
 
+#: fixed value: by how much, as a share of the gain, a half-plane or disc must beat another kind of split
+SPATIAL_MARGIN = 0.1
 LOSSES = ("l2", "log_l2", "l1", "huber", "quantile", "logistic", "poisson")
 
 
@@ -36,7 +38,8 @@ class BoostSpec:
     """``splitter`` histogram: at most ``bins`` cuts a feature, at quantiles; exact: every middle between two distinct values.
 
     ``diagonal`` and ``radial`` name pairs of columns, ``periodic`` columns with their period, ``sets`` columns of id lists.
-    ``refresh`` is the number of rounds between two writings of the margin column.
+    ``missing`` values go left at every split but those by id sets, or to the side of the larger gain (best). ``refresh`` is the
+    number of rounds between two writings of the margin column.
     """
 
     rounds: int = 20
@@ -59,6 +62,7 @@ class BoostSpec:
     sets: tuple[str, ...] = ()
     fuzzy: float = 0.0
     kernel: str = "linear"
+    missing: str = "left"
     refresh: int = 4
 
     def __post_init__(self):
@@ -80,6 +84,7 @@ class BoostSpec:
         need(self.splitter in ("histogram", "exact"), f"unknown splitter {self.splitter}")
         need(real(self.fuzzy) and self.fuzzy >= 0, "the bandwidth must be a number of 0 or more")
         need(self.kernel in KERNELS, f"unknown kernel {self.kernel}")
+        need(self.missing in ("left", "best"), f"missing values go left or to the best side, not {self.missing}")
         need(all(w in (-1, 0, 1) for _, w in self.monotone), "a monotone direction is -1, 0 or 1")
         need(not (any(w for _, w in self.monotone) and (self.diagonal or self.radial or self.periodic or self.sets)), "monotone constraints go with threshold splits only")
         need(all(real(p) and p > 0 for _, p in self.periodic), "periods must be positive")
@@ -338,7 +343,7 @@ def _leaf(s, l2: float) -> float:
 def axis_candidate(axis: Axis, cells: np.ndarray, spec: BoostSpec) -> tuple | None:
     """The split of largest gain on one axis: (gain, axis, threshold or interval, missing_left, left sums, right sums).
 
-    ``cells`` holds (n, w, wy, wyy) by bin, bin 0 for missing values. Equal gains go to the first cut, missing values right.
+    ``cells`` holds (n, w, wy, wyy) by bin, bin 0 for missing values. Equal gains go to the first cut or narrowest interval.
     """
     whole, missing, body = cells.sum(0), cells[0], cells[1:]
     run = np.vstack([np.zeros(4), np.cumsum(body, 0)])
@@ -351,7 +356,7 @@ def axis_candidate(axis: Axis, cells: np.ndarray, spec: BoostSpec) -> tuple | No
     if not len(cuts):
         return None
     best = None
-    for to_left in (False, True) if missing[0] else (False,):
+    for to_left in (True, False) if missing[0] and spec.missing == "best" else (True,):
         left = inside + missing if to_left else inside
         right = whole - left
         gain = _loss(whole, spec.l2) - _loss(left, spec.l2) - _loss(right, spec.l2)
@@ -361,6 +366,9 @@ def axis_candidate(axis: Axis, cells: np.ndarray, spec: BoostSpec) -> tuple | No
             ok &= way * (mean(right) - mean(left)) >= 0
         gain = np.where(ok, gain, -np.inf)
         i = int(gain.argmax())
+        if axis.kind == "periodic" and np.isfinite(gain[i]):  # of equal gains the narrowest interval
+            same = np.flatnonzero(gain >= gain[i] - 1e-12)
+            i = int(min(same, key=lambda x: (np.subtract(*_interval(axis, cuts[x])[::-1]), x)))
         if gain[i] > spec.min_gain and (best is None or gain[i] > best[0] + 1e-12):
             best = (float(gain[i]), axis, cuts[i], to_left, left[i], right[i])
     return best
@@ -522,7 +530,11 @@ def grow(rows: DataFrame, axes: Sequence[Axis], spec: BoostSpec, trees: int = 1,
         best: dict[int, tuple] = {}
 
         def offer(k: int, c: tuple | None) -> None:
-            if c is not None and (k not in best or c[0] > best[k][0] + 1e-12):  # noqa: B023
+            old = best.get(k)  # noqa: B023
+            if c is None:
+                return
+            spatial = lambda x: x[1].kind in ("diagonal", "radial")
+            if old is None or c[0] > old[0] + (SPATIAL_MARGIN * max(abs(old[0]), 1e-12) if spatial(c) and not spatial(old) else 1e-12):
                 best[k] = c  # noqa: B023
 
         for k in open_nodes:

@@ -152,7 +152,7 @@ def test_ranking_by_ndcg(spark):
         assert me.ndcg(model.transform(rows), "q", "rel", "prediction", "id").agg(F.avg("ndcg")).first()[0] == pytest.approx(1.0)
 
 
-@pytest.mark.parametrize("bad", [{"rounds": 0}, {"rate": 0.0}, {"rate": math.nan}, {"depth": -1}, {"min_leaf": 0}, {"min_gain": -1.0}, {"l2": -0.1}, {"bins": 1}, {"loss": "no"}, {"alpha": 1.0}, {"huber": 0.0}, {"splitter": "no"}, {"fuzzy": -1.0}, {"kernel": "no"}, {"monotone": (("x", 2),)}, {"monotone": (("x", 1),), "diagonal": (("x", "y"),)}, {"periodic": (("h", 0.0),)}])
+@pytest.mark.parametrize("bad", [{"rounds": 0}, {"rate": 0.0}, {"rate": math.nan}, {"depth": -1}, {"min_leaf": 0}, {"min_gain": -1.0}, {"l2": -0.1}, {"bins": 1}, {"loss": "no"}, {"alpha": 1.0}, {"huber": 0.0}, {"splitter": "no"}, {"fuzzy": -1.0}, {"kernel": "no"}, {"monotone": (("x", 2),)}, {"monotone": (("x", 1),), "diagonal": (("x", "y"),)}, {"periodic": (("h", 0.0),)}, {"missing": "no"}])
 def test_settings_are_checked(bad):
     with pytest.raises(ValueError, match=r"\w"):
         bo.BoostSpec(**bad)
@@ -168,7 +168,7 @@ def test_odd_rows(spark):
     """Missing values go to the better side; all missing, one row and equal targets give a constant."""
     rows = spark.createDataFrame([(i, None if i % 5 == 0 else float("nan") if i % 5 == 1 else float(i), 9.0 if i % 5 < 2 or i >= 50 else 0.0) for i in range(100)], "i int, x double, y double")
     for sign in (1, -1):  # the side with the large values is the right one, then the left one
-        model = bo.fit(rows.withColumn("x", F.col("x") * sign), ["x"], "y", bo.BoostSpec(**STUMP, splitter="exact"))
+        model = bo.fit(rows.withColumn("x", F.col("x") * sign), ["x"], "y", bo.BoostSpec(**STUMP, splitter="exact", missing="best"))
         assert model.trees[0].missing_left == (sign < 0)
         assert model.transform(rows.withColumn("x", F.col("x") * sign)).where("abs(prediction - y) > 1e-9").count() == 0
     for few in (rows.where("i % 5 = 0"), rows.where("i = 7"), rows.withColumn("y", F.lit(2.0))):
@@ -209,3 +209,23 @@ def test_shapley_values_by_all_orders(spark):
     assert rows.where(F.abs(total - soft.margin()) > 1e-9).count() == 0
     with pytest.raises(ValueError, match="more than 1"):
         model.shapley(1)
+
+
+def test_dense_table_known_answer(spark):
+    """Five trees of depth two over six rows, to the last digits."""
+    rows = table(spark, {"f0": [0.10, 0.15, 0.20, 0.75, 0.80, 0.85], "f1": [0.05, 0.07, 0.10, 0.70, 0.74, 0.79], "f2": [0.90, 0.85, 0.80, 0.25, 0.20, 0.15], "f3": [0.88, 0.80, 0.72, 0.20, 0.15, 0.12], "f4": [10, 50, 120, 220, 300, 340]}, [140, 145, 155, 250, 265, 275])
+    model = bo.fit(rows, [f"f{j}" for j in range(5)], "y", bo.BoostSpec(rounds=5, rate=0.25, depth=2, min_leaf=1, splitter="exact"))
+    assert model.init == 205.0 and model.trees[0].feature == "f0" and model.trees[0].missing_left
+    assert predictions(model, rows) == pytest.approx([156.1846923828125, 159.17205810546875, 166.17156982421875, 240.3466796875, 251.19140625, 256.93359375], abs=1e-9)
+    # a missing value goes left at every split
+    assert predictions(model, rows.withColumn("f0", F.lit(None).cast("double")).limit(1)) == pytest.approx([156.1846923828125], abs=1e-9)
+
+
+def test_spatial_splits_need_a_margin(spark):
+    """A disc that is little better than a threshold isn't taken, one that is much better is."""
+    ring = [(x / 2, y / 2, 1.0 if x * x + y * y < 40 else 0.0) for x in range(-8, 9) for y in range(-8, 9)]
+    rows = table(spark, {"a": [r[0] for r in ring], "b": [r[1] for r in ring]}, [r[2] for r in ring])
+    spec = bo.BoostSpec(**{**STUMP, "min_leaf": 5}, radial=(("a", "b"),))
+    assert bo.fit(rows, ["a", "b"], "y", spec).trees[0].kind == "radial"
+    flat = rows.withColumn("y", (F.col("a") > 0.2).cast("double"))
+    assert bo.fit(flat, ["a", "b"], "y", bo.BoostSpec(**STUMP, diagonal=(("a", "b"),), radial=(("a", "b"),))).trees[0].kind == "axis"
