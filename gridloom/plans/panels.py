@@ -561,7 +561,7 @@ def hybrid_forecasts(spark, sf_dir):
 
 @query()
 def auto_forecasts(spark, sf_dir):
-    return rounded(gf.auto_forecast(daily(spark, sf_dir).select("series_id", "ts", "y"), 5))
+    return rounded(gf.auto_forecast(daily(spark, sf_dir).select("series_id", "ts", "y"), 5, boost=gf.BoostSpec(rounds=4, rate=0.5, depth=2, min_leaf=5, bins=16)))
 
 
 @query("""with h as (select n_nationkey::varchar as name, date '2024-01-10' + n_nationkey as day from nation), o as (select unnest([-1, 0, 1, 2])::int as o) select name, o as "offset", (day + o)::date as day from h, o""")
