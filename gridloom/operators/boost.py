@@ -310,9 +310,15 @@ def _edges(rows: DataFrame, columns: dict[str, Column], bins: int, exact: bool =
 
 
 def bin_column(value: Column, edges: Sequence[float]) -> Column:
-    """0 for missing, else 1 + number of edges below the value."""
-    place = F.size(F.filter(F.array(*map(F.lit, edges)) if edges else F.array().cast("array<double>"), lambda e: value > e))
-    return F.when(finite(value), place + 1).otherwise(0).cast("short")
+    """0 for missing, else 1 + number of edges below the value: a binary search as nested cases, which stays in generated code."""
+
+    def below(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low + 1)
+        middle = (low + high) // 2
+        return F.when(value > edges[middle], below(middle + 1, high)).otherwise(below(low, middle))
+
+    return F.when(finite(value), below(0, len(edges))).otherwise(0).cast("short")
 
 
 def candidate_axes(rows: DataFrame, features: Sequence[str], spec: BoostSpec) -> list[Axis]:

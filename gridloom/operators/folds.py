@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.session import staged
+from gridloom.operators.order import placed
 
 
 def _deal(counts: Sequence[tuple[int, int]], folds: int) -> list[tuple[int, int, int, list[int]]]:
@@ -43,18 +43,14 @@ def balanced(rows: DataFrame, group: str, folds: int) -> DataFrame:
     Only the number of groups of each size goes to the driver (distinct sizes, at most the root of twice the rows). A group's
     place comes from a range sort and the numbers of groups in the parts before, so no task holds all groups.
     """
-    by = [F.col("n").desc(), F.col("_g")]
     sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("n"))
-    parts = staged(sizes.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "folds")
-    counts = [(r["n"], r["c"]) for r in parts.groupBy("n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.col("n").desc()).collect()]
-    part = F.shiftright("_at", 33)
-    first = parts.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_c"))
-    before = first.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    placed = parts.withColumn("_part", part).join(F.broadcast(before), "_part").select("_g", "n", (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("_place"))
+    ordered = placed(sizes, [F.col("n").desc(), F.col("_g")], "_place").withColumn("_place", F.col("_place") - 1)
+    counts = [(r["n"], r["c"]) for r in ordered.groupBy("n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.col("n").desc()).collect()]
     dealt = rows.sparkSession.createDataFrame(_deal(counts, folds), "n long, _first long, _behind long, _order array<int>")
-    here = (placed["n"] == dealt["n"]) & (F.col("_place") >= F.col("_first")) & (F.col("_place") < F.col("_behind"))
+    here = (ordered["n"] == dealt["n"]) & (F.col("_place") >= F.col("_first")) & (F.col("_place") < F.col("_behind"))
     turn = F.get("_order", F.pmod(F.col("_place") - F.col("_first"), F.size("_order")).cast("int"))
-    table = placed.join(F.broadcast(dealt), here).select("_g", turn.alias("fold"))
+    # a row for each distinct size and round of folds: at most ``folds`` times the root of twice the rows
+    table = ordered.join(F.broadcast(dealt), here).select("_g", turn.alias("fold"))
     return rows.join(table, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
 
 

@@ -456,6 +456,7 @@ def fold_rows(panel: DataFrame, folds: DataFrame) -> DataFrame:
     """Panel rows replicated to the folds that use them, with ``part`` train or valid; timestamps get their dense number by
     a join with the distinct ones (a calendar, small beside the panel)."""
     days = panel.select("ts").distinct().withColumn("t", F.row_number().over(Window.orderBy("ts")) - 1)
+    # folds: a row an origin
     rows = panel.join(days, "ts").join(F.broadcast(folds), (F.col("t") >= F.col("train_from")) & (F.col("t") < F.col("valid_to")))
     return rows.withColumn("part", F.when(F.col("t") < F.col("train_to"), "train").otherwise("valid"))
 

@@ -159,6 +159,7 @@ def rectified_forecast(panel: DataFrame, horizon: int, spec: LagSpec = LagSpec(l
     missed = lag_boost_forecast(train, horizon, spec, boost, frequency=frequency).join(test.select("series_id", "ts", "y"), ["series_id", "ts"])
     fix = fc.residual_corrections(missed, ["horizon"], 5.0)
     made = lag_boost_forecast(panel, horizon, spec, boost, frequency=frequency, name="rectified")
+    # fix: a row a step of the horizon
     return made.join(F.broadcast(fix), "horizon", "left").select("series_id", "ts", "horizon", "model", (F.col("mean") + F.coalesce("correction", F.lit(0.0))).alias("mean"))
 
 

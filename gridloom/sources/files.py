@@ -75,7 +75,7 @@ def top_groups_panel(trips: DataFrame, group: Sequence[str], ts: str, top: int)
     """Daily counts of the most frequent groups over the full calendar, 0 where there are none (a top-k report)."""
     day = F.to_date(ts)
     sizes = trips.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), *group).limit(top).drop("n")
-    rows = trips.join(F.broadcast(sizes), list(group))
+    rows = trips.join(F.broadcast(sizes), list(group))  # ``top`` rows
     counts = rows.groupBy(*group, day.alias("ts")).agg(F.count(F.lit(1)).alias("y"))
     ends = rows.agg(F.min(day).alias("a"), F.max(day).alias("b"))
     spine = sizes.join(ends).select(*group, F.explode(F.sequence("a", "b")).alias("ts"))
