@@ -6,9 +6,10 @@ rows are its time steps.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -181,23 +182,65 @@ def piecewise_parts(model: dict, dates: np.ndarray, spec: PiecewiseSpec) -> dict
     return out
 
 
+def piecewise_text(model: dict, spec: PiecewiseSpec) -> str:
+    """A fitted model with its settings as JSON."""
+    plain = {k: v.tolist() if isinstance(v, np.ndarray) else str(v.astype("datetime64[s]")) if isinstance(v, np.datetime64) else v for k, v in model.items()}
+    return json.dumps({"version": 1, "spec": asdict(spec), "model": plain})
+
+
+def piecewise_of_text(text: str) -> tuple[dict, PiecewiseSpec]:
+    d = json.loads(text)
+    if d.get("version") != 1:
+        raise ValueError("unknown model version")
+    spec, model = d["spec"], d["model"]
+    model |= {"beta": np.array(model["beta"], float), "knots": np.array(model["knots"], float), "first": np.datetime64(model["first"], "s")}
+    return model, PiecewiseSpec(**{**spec, "events": tuple(map(tuple, spec["events"]))})
+
+
+def _piecewise_rows(series: str, model: dict, spec: PiecewiseSpec, last: np.datetime64, horizon: int, z: float, frequency: str) -> pd.DataFrame:
+    ahead = last + np.timedelta64(STEPS[frequency], "s") * np.arange(1, horizon + 1)
+    parts = piecewise_parts(model, ahead, spec)
+    zero = np.zeros(horizon)
+    return pd.DataFrame({
+        "series_id": series, "ts": ahead.astype("datetime64[us]"), "horizon": np.arange(1, horizon + 1, dtype="int32"), "model": "piecewise", "mean": parts["mean"],
+        "trend": parts["trend"], "weekly": parts.get("weekly", zero), "yearly": parts.get("yearly", zero), "lower": parts["mean"] - z * model["sigma"], "upper": parts["mean"] + z * model["sigma"],
+    })
+
+
+_PIECEWISE = FORECAST + ", trend double, weekly double, yearly double, lower double, upper double"
+
+
 def piecewise_forecast(panel: DataFrame, horizon: int, spec: PiecewiseSpec = PiecewiseSpec(), z: float = 1.959963984540054, frequency: str = "D") -> DataFrame:
     """Predictions with trend, weekly and yearly components and normal intervals."""
-    step = np.timedelta64(STEPS[frequency], "s")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts")
         dates, y = pdf["ts"].to_numpy("datetime64[s]"), pdf["y"].to_numpy(float)
-        model = fit_piecewise(dates, y, spec)
-        ahead = dates[-1] + step * np.arange(1, horizon + 1)
-        parts = piecewise_parts(model, ahead, spec)
-        zero = np.zeros(horizon)
-        return pd.DataFrame({
-            "series_id": pdf["series_id"].iloc[0], "ts": ahead.astype("datetime64[us]"), "horizon": np.arange(1, horizon + 1, dtype="int32"), "model": "piecewise", "mean": parts["mean"],
-            "trend": parts["trend"], "weekly": parts.get("weekly", zero), "yearly": parts.get("yearly", zero), "lower": parts["mean"] - z * model["sigma"], "upper": parts["mean"] + z * model["sigma"],
-        })
-
-    return panel.select("series_id", "ts", "y").groupBy("series_id").applyInPandas(run, FORECAST + ", trend double, weekly double, yearly double, lower double, upper double")
+        return _piecewise_rows(pdf["series_id"].iloc[0], fit_piecewise(dates, y, spec), spec, dates[-1], horizon, z, frequency)
+
+    return panel.select("series_id", "ts", "y").groupBy("series_id").applyInPandas(run, _PIECEWISE)
+
+
+def piecewise_models(panel: DataFrame, spec: PiecewiseSpec = PiecewiseSpec()) -> DataFrame:
+    """(series_id, last_ts, text): each series' fitted model as JSON, to be written as any table is."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts")
+        model = fit_piecewise(pdf["ts"].to_numpy("datetime64[s]"), pdf["y"].to_numpy(float), spec)
+        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "last_ts": [pdf["ts"].iloc[-1]], "text": [piecewise_text(model, spec)]})
+
+    return panel.select("series_id", "ts", "y").groupBy("series_id").applyInPandas(run, "series_id string, last_ts timestamp_ntz, text string")
+
+
+def piecewise_from_models(models: DataFrame, horizon: int, z: float = 1.959963984540054, frequency: str = "D") -> DataFrame:
+    """What ``piecewise_forecast`` gives, from written models."""
+
+    def run(batches):
+        for pdf in batches:
+            for series, last, text in zip(pdf["series_id"], pdf["last_ts"].to_numpy("datetime64[s]"), pdf["text"], strict=True):
+                yield _piecewise_rows(series, *piecewise_of_text(text), last, horizon, z, frequency)
+
+    return models.select("series_id", "last_ts", "text").mapInPandas(run, _PIECEWISE)
 
 
 # --- sequences over a reference axis -----------------------------------------------------------------------------------

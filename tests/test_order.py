@@ -107,3 +107,17 @@ def test_embedding_rounds_and_network_parts(spark):
     panel = days.withColumn("series_id", F.lit("a"))
     whole, parts = (sorted((r["horizon"], r["mean"]) for r in ke.window_network(panel, 4, part_windows=n).collect()) for n in (1000, 20))
     assert len(whole) == len(parts) == 4 and all(abs(a[1] - b[1]) < 3 for a, b in zip(whole, parts, strict=True)) and all(8 < m < 15 for _, m in parts)
+
+
+def test_written_piecewise_models_forecast_alike(spark, tmp_path):
+    days = spark.range(60).select(F.expr("timestamp_ntz'2026-01-01' + make_interval(0, 0, 0, cast(id as int))").alias("ts"), (10 + F.col("id") % 7 + F.col("id") / 5).cast("double").alias("y"))
+    panel = days.withColumn("series_id", F.lit("a")).unionByName(days.withColumn("series_id", F.lit("b")).withColumn("y", 50 - F.col("y")))
+    for spec in (ke.PiecewiseSpec(), ke.PiecewiseSpec(changepoints=3, huber=1.0, growth="logistic", cap=90.0)):
+        path = str(tmp_path / f"models{spec.changepoints}")
+        ke.piecewise_models(panel, spec).write.parquet(path)
+        again = ke.piecewise_from_models(spark.read.parquet(path), 5)
+        key = ["series_id", "horizon"]
+        a, b = (sorted(map(tuple, d.drop("model").select(*key, "ts", "mean", "trend", "weekly", "lower", "upper").collect())) for d in (again, ke.piecewise_forecast(panel, 5, spec)))
+        assert len(a) == 10 and all(x[:3] == y[:3] and x[3:] == pytest.approx(y[3:]) for x, y in zip(a, b, strict=True))
+    with pytest.raises(ValueError, match="version"):
+        ke.piecewise_of_text('{"version": 2}')
