@@ -22,21 +22,26 @@ from gridloom.sources import files, ingest
 # --- boosted trees with exact splits ----------------------------------------------------------------------------------
 
 
-def _trees_sql(rounds: int, depth: int, rate: float, least: int = 20, y: str = "l_extendedprice / 1000") -> str:
-    """CTEs up to ``m{rounds}``: rows with their margin ``m`` and each tree's part ``c1``, ``c2``, ..., level by level."""
-    out = [f"base as (select l_orderkey, l_linenumber, l_quantity::double as f0, l_discount::double as f1, l_tax::double as f2, {y} as y from lineitem)", "m0 as (select *, avg(y) over () as m from base)"]
+def _trees_sql(rounds: int, depth: int, rate: float, least: int = 20, y: str = "l_extendedprice / 1000", logistic: bool = False) -> str:
+    """CTEs up to ``m{rounds}``: rows with their margin ``m`` and each tree's part ``c1``, ``c2``, ..., level by level: sums of
+    gradients ``g`` and curvatures ``h`` by node, feature and value, the cut of the largest gain, the rows' next nodes."""
+    p = "1 / (1 + exp(-m))"
+    g, h = (f"y - {p}", f"greatest({p} * (1 - {p}), 1e-12)") if logistic else ("y - m", "1.0::double")
+    first = "ln(avg(y) over () / (1 - avg(y) over ()))" if logistic else "avg(y) over ()"
+    out = [f"base as (select l_orderkey, l_linenumber, l_quantity::double as f0, l_discount::double as f1, l_tax::double as f2, {y} as y from lineitem)", f"m0 as (select *, {first} as m from base)"]
     for r in range(1, rounds + 1):
-        out.append(f"n{r}_0 as (select *, 1 as node from m{r - 1})")
+        out.append(f"n{r}_0 as (select *, {g} as g, {h} as h, 1 as node from m{r - 1})")
         for d in range(depth):
-            cells = " union all ".join(f"select node, {j} as j, f{j} as v, count(*) as n, sum(y - m) as s from n{r}_{d} group by node, f{j}" for j in range(3))
+            cells = " union all ".join(f"select node, {j} as j, f{j} as v, count(*) as n, sum(g) as s, sum(h) as w from n{r}_{d} group by node, f{j}" for j in range(3))
+            up = ", ".join(f"sum({c}) over w as {c}, sum({c}) over (partition by node, j) as {c}{c}" for c in "nsw")
             out += [
                 f"v{r}_{d} as ({cells})",
-                f"k{r}_{d} as (select node, j, (v + lead(v) over w) / 2 as t, sum(n) over w as n, sum(s) over w as s, sum(n) over (partition by node, j) as nn, sum(s) over (partition by node, j) as ss from v{r}_{d} window w as (partition by node, j order by v))",
-                f"g{r}_{d} as (select *, s * s / n + (ss - s) ** 2 / (nn - n) - ss * ss / nn as gain from k{r}_{d} where t is not null and n >= {least} and nn - n >= {least})",
+                f"k{r}_{d} as (select node, j, (v + lead(v) over w) / 2 as t, {up} from v{r}_{d} window w as (partition by node, j order by v))",
+                f"g{r}_{d} as (select *, s * s / w + (ss - s) ** 2 / (ww - w) - ss * ss / ww as gain from k{r}_{d} where t is not null and n >= {least} and nn - n >= {least})",
                 f"b{r}_{d} as (select * from g{r}_{d} where gain > 1e-8 qualify row_number() over (partition by node order by gain desc, j, t) = 1)",
                 f"n{r}_{d + 1} as (select a.* exclude (node), case when b.j is null then a.node else 2 * a.node + ((case b.j when 0 then f0 when 1 then f1 else f2 end) > b.t)::int end as node from n{r}_{d} a left join b{r}_{d} b on b.node = a.node)",
             ]
-        out.append(f"m{r} as (select * exclude (node, m, leaf), {rate} * leaf as c{r}, m + {rate} * leaf as m from (select *, avg(y - m) over (partition by node) as leaf from n{r}_{depth}))")
+        out.append(f"m{r} as (select * exclude (node, m, leaf, g, h), {rate} * leaf as c{r}, m + {rate} * leaf as m from (select *, sum(g) over (partition by node) / sum(h) over (partition by node) as leaf from n{r}_{depth}))")
     return ", ".join(out)
 
 
@@ -110,10 +115,13 @@ def monotone_fits(spark, sf_dir):
     return rounded(blocked.transform(rising.transform(rows, "rising"), "blocked").select("l_orderkey", "l_linenumber", "rising", "blocked"), 4)
 
 
-@query(f"""with {_trees_sql(1, 2, 0.5, y="(l_returnflag = 'R')::int::double")}, p as (select avg(y) as p from base) select l_orderkey, l_linenumber, round(1 / (1 + exp(-(ln(p / (1 - p)) + c1 / (p * (1 - p))))), 6) as probability from m1, p""")
+_RETURNED = "(l_returnflag = 'R')::int::double"
+
+
+@query(f"with {_trees_sql(3, 2, 0.5, y=_RETURNED, logistic=True)} select l_orderkey, l_linenumber, round(1 / (1 + exp(-m)), 6) as probability from m3")
 def exact_boosted_classifier(spark, sf_dir):
     rows = _lines(spark, sf_dir).withColumn("hit", (F.col("l_returnflag") == "R").cast("double"))
-    model = bo.fit(rows, _LEAVES, "hit", bo.BoostSpec(rounds=1, rate=0.5, depth=2, min_leaf=20, splitter="exact", loss="logistic", min_gain=0.0))
+    model = bo.fit(rows, _LEAVES, "hit", bo.BoostSpec(rounds=3, rate=0.5, depth=2, min_leaf=20, splitter="exact", loss="logistic"))
     return rounded(model.transform(rows, "probability").select("l_orderkey", "l_linenumber", "probability"))
 
 
