@@ -102,7 +102,8 @@ def test_zones_in_metres(spark):
 def test_embedding_rounds_and_network_parts(spark):
     rows = spark.createDataFrame([(i % 9, float(i % 9) * 2 + i % 4) for i in range(900)], "k int, y double")
     one, many = (ke.embedding_table(rows, "k", "y", 3, rounds=n).orderBy("id").collect() for n in (1, 20))
-    assert [r["id"] for r in many] == list(range(9)) and np.abs(np.array([r["vec"] for r in one]) - np.array([r["vec"] for r in many])).max() >= 0
+    # each id is one number times the head, so the head's direction settles at once, however many rounds are asked for
+    assert [r["id"] for r in many] == list(range(9)) and np.array([r["vec"] for r in one]) == pytest.approx(np.array([r["vec"] for r in many]))
     days = spark.range(80).select(F.expr("timestamp_ntz'2026-01-01' + make_interval(0, 0, 0, cast(id as int))").alias("ts"), (10 + F.col("id") % 4).cast("double").alias("y"))
     panel = days.withColumn("series_id", F.lit("a"))
     whole, parts = (sorted((r["horizon"], r["mean"]) for r in ke.window_network(panel, 4, part_windows=n).collect()) for n in (1000, 20))
