@@ -12,6 +12,7 @@ from gridloom.functions import predicates as pr
 from gridloom.operators import boost as bo
 from gridloom.operators import folds as fo
 from gridloom.operators import forecast as fc
+from gridloom.operators import global_forecast as gf
 from gridloom.operators import graph as gr
 from gridloom.operators import metrics as me
 from gridloom.operators import spatial as sp
@@ -327,3 +328,51 @@ def competition_scores(spark, sf_dir):
     season, naive = (me.point_metrics(me.align(fc.predictions(hist, f, 7, n), test)).first() for f, n in ((fc.seasonal_naive(7), "season"), (fc.naive, "naive")))
     got = me.m_competition(season["smape"], season["mae"], naive["smape"], naive["mae"])
     return rounded(spark.createDataFrame([tuple(float(v) for v in got.values())], ", ".join(f"{k} double" for k in got)))
+
+
+# --- ingest, registry, settings, maps ---------------------------------------------------------------------------------
+
+
+@query("select kind, n_nationkey::double as n_nationkey, n_regionkey::double as n_regionkey from nation, (select unnest(['arrow', 'pandas', 'columns', 'rows']) as kind)")
+def ingested_frames(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select(*(F.col(c).cast("double").alias(c) for c in ("n_nationkey", "n_regionkey")))
+    held = rows.toPandas()  # a table of fixed size, as other libraries hold it
+    made = {"arrow": rows.toArrow(), "pandas": held, "columns": {c: held[c].tolist() for c in held}, "rows": held.to_numpy()}
+    return reduce(DataFrame.unionByName, (ingest.to_frame(spark, v, list(held.columns)).withColumn("kind", F.lit(k)) for k, v in made.items()))
+
+
+@query(f"""with {DAILY}, h as (select series_id, max(ts) as last_ts, arg_max(y, ts) as y, avg(y) filter (r <= 7) as m from (select *, row_number() over (partition by series_id order by ts desc) as r from daily) group by 1)
+select name, series_id, last_ts + to_days(s) as ts, s as horizon, round(case name when 'naive' then y else m end, 6) as mean from h, (select unnest([1, 2, 3, 4])::int as s), (select unnest(['naive', 'window_average']) as name)""")
+def configured_forecasts(spark, sf_dir):
+    """The models of a settings text, by their names in the registry."""
+    config = files.ForecastConfig.parse('{"horizon": 4, "models": ["naive", "window_average"], "note": "kept"}')
+    panel = daily(spark, sf_dir).select("series_id", "ts", "y")
+    made = [gf.forecaster(name)(panel, config.horizon).select(F.lit(name).alias("name"), "series_id", "ts", "horizon", "mean") for name in config.models]
+    return rounded(reduce(DataFrame.unionByName, made))
+
+
+@query("""select o_orderpriority, 0.1::double as q, round(quantile_cont(o_totalprice, 0.1), 4) as value from orders group by 1 union all
+select o_orderpriority, 0.5, round(quantile_cont(o_totalprice, 0.5), 4) from orders group by 1 union all select o_orderpriority, 0.95, round(quantile_cont(o_totalprice, 0.95), 4) from orders group by 1""")
+def interpolated_quantiles(spark, sf_dir):
+    levels = (0.1, 0.5, 0.95)
+    each = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.percentile("o_totalprice", F.array(*map(F.lit, levels))).alias("v"))
+    pairs = F.arrays_zip(F.array(*map(F.lit, levels)).alias("q"), F.col("v").alias("value"))
+    return rounded(each.select("o_orderpriority", F.explode(pairs).alias("x")).select("o_orderpriority", F.col("x.q").alias("q"), F.round("x.value", 4).alias("value")))
+
+
+@query(f"""with {DAILY} select series_id, count(*)::int as days, round(max(y), 4) as top, round(sum(y) / sum(sum(y)) over (), 6) as share from daily group by 1""")
+def value_maps(spark, sf_dir):
+    """By series a map from day to value, and the series' weights normalised to one."""
+    maps = daily(spark, sf_dir).groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("ts", "y"))).alias("m"))
+    sums = maps.withColumn("total", F.aggregate(F.map_values("m"), F.lit(0.0), lambda a, v: a + v))
+    whole = sums.agg(F.sum("total")).first()[0]
+    return rounded(sums.select("series_id", F.size("m").alias("days"), F.round(F.array_max(F.map_values("m")), 4).alias("top"), (F.col("total") / F.lit(whole)).alias("share")))
+
+
+@query("select 1 as place, 'supplier' as source, 'ships' as relation, 'order' as target union all select 2, 'part', 'of', 'order'")
+def metapath_faults(spark, sf_dir):
+    """The steps of a path that a schema of node types lacks, or that don't go on from the step before."""
+    schema = [("customer", "places", "order"), ("order", "holds", "part"), ("part", "of", "order")]
+    path = [("customer", "places", "order"), ("supplier", "ships", "order"), ("part", "of", "order"), ("order", "holds", "part")]
+    rows = [(path.index(step), *step) for step in gr.invalid_metapath_steps(path, schema)]
+    return spark.createDataFrame(rows, "place int, source string, relation string, target string")
